@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fernweh.llm import mail, passages
+from fernweh.llm import leaks, lookalikes, mail, passages
 from fernweh.runtime import read
 
 
@@ -26,7 +26,22 @@ def p7_new_text(spark, d):
     return mail.new_text(read(spark, d, "mail_parts"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p7_found, p7_new_text)}
+def p9_found(spark, d):
+    """Documents that hold passages of test items."""
+    return leaks.leaks(read(spark, d, "documents"), read(spark, d, "eval_items"))
+
+
+def p10_found(spark, d):
+    """Pairs of documents that are different strings but look the same."""
+    return lookalikes.same_look(read(spark, d, "documents"))
+
+
+def p10_forms(spark, d):
+    """The one form of each document."""
+    return lookalikes.forms(read(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p7_found, p7_new_text, p9_found, p10_found, p10_forms)}
 
 SQL = {
     "p1_found": r"""
