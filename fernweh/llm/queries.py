@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from fernweh.llm import leaks, lookalikes, mail, passages
+from pyspark.sql import functions as F
+
+from fernweh.llm import encoding, leaks, lookalikes, mail, passages
 from fernweh.runtime import read
 
 
@@ -16,6 +18,16 @@ def p1_pieces(spark, d):
     return passages.split_oversized(read(spark, d, "passages"), read(spark, d, "texts"), read(spark, d, "content_map"))
 
 
+def p2_found(spark, d):
+    """Texts that hold a stretch decoded with a wrong encoding."""
+    return encoding.restore(read(spark, d, "texts")).select(F.col("id").alias("text_id")).distinct()
+
+
+def p2_restored(spark, d):
+    """Those texts with their wording restored."""
+    return encoding.restore(read(spark, d, "texts"))
+
+
 def p7_found(spark, d):
     """Lines of mails that their senders didn't newly write."""
     return mail.foreign_lines(read(spark, d, "mail_parts"))
@@ -41,7 +53,7 @@ def p10_forms(spark, d):
     return lookalikes.forms(read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p7_found, p7_new_text, p9_found, p10_found, p10_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_restored, p7_found, p7_new_text, p9_found, p10_found, p10_forms)}
 
 SQL = {
     "p1_found": r"""
