@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fernweh.llm import encoding, leaks, lookalikes, mail, passages
+from fernweh.llm import encoding, leaks, lookalikes, mail, passages, scans
 from fernweh.runtime import read
 
 
@@ -28,6 +28,16 @@ def p2_restored(spark, d):
     return encoding.restore(read(spark, d, "texts"))
 
 
+def p4_found(spark, d):
+    """Lines of scans that are furniture, end in a divided word, or hold a misread one."""
+    return scans.noise(read(spark, d, "ocr_cache"))
+
+
+def p4_text(spark, d):
+    """The scans' texts as continuous paragraphs."""
+    return scans.repaired(read(spark, d, "ocr_cache"))
+
+
 def p7_found(spark, d):
     """Lines of mails that their senders didn't newly write."""
     return mail.foreign_lines(read(spark, d, "mail_parts"))
@@ -53,7 +63,7 @@ def p10_forms(spark, d):
     return lookalikes.forms(read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_restored, p7_found, p7_new_text, p9_found, p10_found, p10_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_restored, p4_found, p4_text, p7_found, p7_new_text, p9_found, p10_found, p10_forms)}
 
 SQL = {
     "p1_found": r"""
