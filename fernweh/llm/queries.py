@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fernweh.llm import encoding, leaks, lookalikes, mail, passages, scans
+from fernweh.llm import encoding, leaks, lookalikes, mail, neighbours, packing, passages, scans
 from fernweh.runtime import read
 
 
@@ -38,6 +38,16 @@ def p4_text(spark, d):
     return scans.repaired(read(spark, d, "ocr_cache"))
 
 
+def p5_found(spark, d):
+    """Pairs of vectors of which one is among the five most similar to the other."""
+    return neighbours.pairs(read(spark, d, "vectors"))
+
+
+def p5_nearest(spark, d):
+    """The five most similar others of every usable vector."""
+    return neighbours.nearest(read(spark, d, "vectors"))
+
+
 def p7_found(spark, d):
     """Lines of mails that their senders didn't newly write."""
     return mail.foreign_lines(read(spark, d, "mail_parts"))
@@ -48,6 +58,11 @@ def p7_new_text(spark, d):
     return mail.new_text(read(spark, d, "mail_parts"))
 
 
+def p8_containers(spark, d):
+    """Containers of at most 2,048 tokens and what they hold."""
+    return packing.containers(read(spark, d, "documents"))
+
+
 def p9_found(spark, d):
     """Documents that hold passages of test items."""
     return leaks.leaks(read(spark, d, "documents"), read(spark, d, "eval_items"))
@@ -63,7 +78,7 @@ def p10_forms(spark, d):
     return lookalikes.forms(read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_restored, p4_found, p4_text, p7_found, p7_new_text, p9_found, p10_found, p10_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_restored, p4_found, p4_text, p5_found, p5_nearest, p7_found, p7_new_text, p8_containers, p9_found, p10_found, p10_forms)}
 
 SQL = {
     "p1_found": r"""
