@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fernweh.llm import encoding, leaks, lookalikes, mail, neighbours, packing, passages, scans
+from fernweh.llm import encoding, leaks, lookalikes, mail, markup, neighbours, packing, passages, scans
 from fernweh.runtime import read
 
 
@@ -48,6 +48,16 @@ def p5_nearest(spark, d):
     return neighbours.nearest(read(spark, d, "vectors"))
 
 
+def p6_found(spark, d):
+    """Kinds of markup in each text."""
+    return markup.kinds(read(spark, d, "texts"))
+
+
+def p6_clean(spark, d):
+    """The texts as clean text."""
+    return markup.cleaned(read(spark, d, "texts"))
+
+
 def p7_found(spark, d):
     """Lines of mails that their senders didn't newly write."""
     return mail.foreign_lines(read(spark, d, "mail_parts"))
@@ -78,7 +88,7 @@ def p10_forms(spark, d):
     return lookalikes.forms(read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_restored, p4_found, p4_text, p5_found, p5_nearest, p7_found, p7_new_text, p8_containers, p9_found, p10_found, p10_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_restored, p4_found, p4_text, p5_found, p5_nearest, p6_found, p6_clean, p7_found, p7_new_text, p8_containers, p9_found, p10_found, p10_forms)}
 
 SQL = {
     "p1_found": r"""
