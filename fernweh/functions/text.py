@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 
 def _latin() -> tuple[str, str]:
@@ -123,7 +124,7 @@ def osa(a: str, b: str, most: int) -> int:
     return min(one[-1], most + 1)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def osa_udf(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else osa(x, y, int(m)) for x, y, m in zip(a, b, most)], dtype="Int32")
 
