@@ -52,7 +52,7 @@ def find(c: Corpus, q: Query, limit: int = 200) -> DataFrame:
 
 def decorated(c: Corpus, fused: DataFrame, k: int) -> DataFrame:
     """Frecency and recency boosts, the total order, the limit."""
-    opens = ranking.frecency(c.table("opens")).select("path", "count", (F.unix_micros("last") / 1000).alias("last_ms")).withColumnRenamed("count", "opened")
+    opens = ranking.frecency(c.table("opens")).select("path", "count", (F.unix_micros(F.col("last").cast("timestamp")) / 1000).alias("last_ms")).withColumnRenamed("count", "opened")
     hits = fused.join(c.files.select("id", "path", "mtime"), "id").join(opens, "path", "left")
     score = ranking.boosted(F.col("score"), ranking.frecency_points(F.col("opened"), F.col("last_ms"), c.now), ranking.recency_points(F.col("mtime"), c.now))
     return hits.withColumn("score", score).orderBy(F.desc("score"), F.desc("mtime"), "id").limit(k).drop("opened", "last_ms")
@@ -134,7 +134,7 @@ def fuzzy_names(c: Corpus, query: str, limit: int = 50, filters=None) -> DataFra
     files = c.catalog.filter(fuzzy.may_match(F.col("display"), terms))
     if filters is not None:
         files = files.filter(passes(filters, c.home))
-    opens = ranking.frecency(c.table("opens")).select("path", F.col("count").alias("opened"), (F.unix_micros("last") / 1000).alias("last_ms"))
+    opens = ranking.frecency(c.table("opens")).select("path", F.col("count").alias("opened"), (F.unix_micros(F.col("last").cast("timestamp")) / 1000).alias("last_ms"))
     hits = files.select("id", "path", "display", "mtime", fuzzy.score(F.col("display"), terms).alias("raw")).filter(F.col("raw").isNotNull()).join(opens, "path", "left")
     score = F.col("raw") + ranking.frecency_points(F.col("opened"), F.col("last_ms"), c.now) + ranking.recency_points(F.col("mtime"), c.now) - F.length("display") / 1000.0
     return hits.select("id", "path", score.alias("score")).orderBy(F.desc("score"), "id").limit(max(2 * limit, 100))
@@ -189,6 +189,6 @@ def search(c: Corpus, raw: str, mode: str = "find", limit: int = 200) -> DataFra
 
 def empty_query(c: Corpus, limit: int) -> DataFrame:
     """The files opened last, then the newest others."""
-    opened = ranking.frecency(c.table("opens")).join(c.files.select("id", "path"), "path").orderBy(F.desc("last"), "id").limit(min(limit, 20)).select("id", "path", F.lit(0).alias("part"), F.unix_micros("last").alias("at"))
+    opened = ranking.frecency(c.table("opens")).join(c.files.select("id", "path"), "path").orderBy(F.desc("last"), "id").limit(min(limit, 20)).select("id", "path", F.lit(0).alias("part"), F.unix_micros(F.col("last").cast("timestamp")).alias("at"))
     rest = ranking.newest(c.files.filter(~F.col("is_dir")), limit + 20).join(opened.select("id"), "id", "left_anti").select("id", "path", F.lit(1).alias("part"), (F.col("mtime") * 1000).alias("at"))
     return opened.unionByName(rest).orderBy("part", F.desc("at"), "id").limit(limit)
