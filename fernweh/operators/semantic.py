@@ -166,10 +166,10 @@ def scored(passages_: DataFrame, vectors: DataFrame, query: list[float]) -> Data
 def meaning(rows: DataFrame) -> DataFrame:
     """z: how far a score stands out from those of its modality, in deviations of all. rows: score, modality, sets_scale."""
     scale = rows.filter("sets_scale")
-    means = scale.groupBy("modality").agg(F.avg("score").alias("own"), F.count("*").alias("n"))
+    means = scale.groupBy("modality").agg(F.avg("score").alias("own"), F.count("*").alias("of_modality"))
     everything = scale.agg(F.coalesce(F.avg("score"), F.lit(0.0)).alias("overall"))
     m = rows.join(F.broadcast(means), "modality", "left").crossJoin(F.broadcast(everything))  # two modalities, one row
-    m = m.withColumn("centred", F.col("score") - F.when(F.coalesce("n", F.lit(0)) >= 20, F.col("own")).otherwise(F.col("overall"))).drop("own", "n", "overall")
+    m = m.withColumn("centred", F.col("score") - F.when(F.coalesce("of_modality", F.lit(0)) >= 20, F.col("own")).otherwise(F.col("overall"))).drop("own", "of_modality", "overall")
     dev = m.filter("sets_scale").agg(F.coalesce(F.avg("centred"), F.lit(0.0)).alias("mid"), F.greatest(F.coalesce(F.stddev_pop("centred"), F.lit(0.0)), F.lit(FLOOR)).alias("dev"))
     return m.crossJoin(F.broadcast(dev)).withColumn("z", (F.col("centred") - F.col("mid")) / F.col("dev")).drop("centred", "mid", "dev")
 
