@@ -101,7 +101,7 @@ _LINE = [
 _SETEXT = re.compile(r"^(=+|-{3,})\s*$")
 _CODE = re.compile(
     r"^\s*(?:(?:async )?def \w+\(.*|class \w+.*:|return\b.*|(?:if|elif|while|for|with|switch) .*[:{]|(?:else|try|finally)\s*[:{]|except\b.*:|import \w[\w.]*(?: as \w+)?;?|from [\w.]+ import .*|(?:const|let|var) \w+ ?=.*|(?:public|private|static|export|function|func|fn) .*[({].*|"
-    r"#include.*|using \w.*;|SELECT .*|\w[\w.]*(?:\[[^\]]*\])? ?[+*/-]?= ?[^=].*[\w)\]};\"']|\w[\w.]*\([^()]*\);?|\}.*|[{}();\]]+|//.*|/\*.*|\$ \S.*|>>> .*|#!.*)\s*$"
+    r"#include.*|using \w.*;|SELECT .*|\w[\w.]*(?:\[[^\]]*\])? ?[+*/-]?= ?[^=].*[\w)\]};\"']|\w[\w.]*\([^()]*\);?|\}(?!\}).*|[{}();\]]+(?<!\}\})|//.*|/\*.*|\$ \S.*|>>> .*|#!.*)\s*$"
 )
 _INLINE_RX = re.compile("|".join(f"(?P<f{k}>{p.replace('(?m)', '')})" for k, (_, p) in enumerate(_INLINE)), re.M | re.S | re.I)
 _MAYBE = re.compile(r"[<&\\$`{}~*_\[|]|^[#>=-]|^\s*\d+[.)] |''|^[;:]", re.M)

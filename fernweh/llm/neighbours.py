@@ -36,7 +36,7 @@ K = 5
 SAMPLE = 40_000
 LEAF = 64  # sample vectors per leaf, at most
 REPLICAS, CLOSURE = 4, 1.12  # lists a vector is put into, and how much farther than the nearest they may be
-PROBES, RATIO = 20, 1.45
+PROBES, RATIO, PROBES_LEAST = 20, 1.45, 6
 BLOCK = 20_000
 
 
@@ -141,7 +141,7 @@ def _place(frames, index: Index):
             d0 = d[:, :1]
             slack = 0.02  # so that vectors on a centroid still look around
             member = (d <= (d0 + slack) * CLOSURE**2) & (np.arange(d.shape[1]) < REPLICAS)
-            probe = d <= (d0 + slack) * RATIO**2
+            probe = (d <= (d0 + slack) * RATIO**2) | (np.arange(d.shape[1]) < PROBES_LEAST)
             groups = index.group[best]
             for i in range(len(best)):
                 for g in np.unique(groups[i][probe[i]]):

@@ -86,6 +86,7 @@ def pack(tokens: list[int], capacity: int = CAPACITY, rounds: int = 4) -> list[l
 
 def improve(bins: list[list[int]], tokens: list[int], capacity: int, rounds: int) -> list[list[int]]:
     """Local search: every step takes tokens from an emptier bin into a fuller one, so the sum of squared fills grows."""
+    bins = list(bins)
     fill = [sum(tokens[i] for i in b) for b in bins]
     for _ in range(rounds):
         moved = False

@@ -260,10 +260,10 @@ def _tokens(frames, skip: frozenset, id_col: str, column: str):
             if not text:
                 continue
             page = Page(text)
-            seen = {w.lower() for row in page.rows for w, *_ in row}
-            for _, a, b in page.divided:
+            seen = {w.lower() for row in page.rows for w, *_ in row} - skip
+            for _, a, b in page.divided:  # both readings need their counts, however frequent they are
                 seen.update((f"{a}-{b}".lower(), f"{a}{b}".lower()))
-            out.extend((i, w) for w in seen if w not in skip and len(w) > 1 and not w.isdigit())
+            out.extend((i, w) for w in seen if len(w) > 1 and not w.isdigit())
         yield pd.DataFrame(out, columns=["id", "word"])
 
 
