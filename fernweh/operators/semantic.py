@@ -10,10 +10,12 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import DoubleType
 
 from fernweh.functions import text as T
 from fernweh.operators.duplicates import text_hash
@@ -145,16 +147,43 @@ def prompt_hash(col: Column) -> Column:
 # --- scores ---
 
 
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=np.float64) for v in vectors]) if len(vectors) else np.zeros((0, 0))
+
+
 def dot(a: Column, b) -> Column:
-    other = F.array(*[F.lit(float(x)) for x in b]) if isinstance(b, (list, tuple)) else b
-    return F.aggregate(F.zip_with(a, other, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    """Dot product with a fixed vector or, row by row, with another column; a batch at a time as one matrix product. Higher-order functions of the JVM are interpreted and took ten times as long."""
+    if isinstance(b, (list, tuple)):
+        q = np.asarray(b, dtype=np.float64)
+
+        @F.pandas_udf(DoubleType())
+        def fixed(v: pd.Series) -> pd.Series:
+            return pd.Series(_matrix(v) @ q if len(v) else [], dtype="float64")
+
+        return fixed(a)
+
+    @F.pandas_udf(DoubleType())
+    def pairs(v: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series(np.einsum("ij,ij->i", _matrix(v), _matrix(w)) if len(v) else [], dtype="float64")
+
+    return pairs(a, b)
+
+
+def _units(frames):
+    for pdf in frames:
+        out = []
+        for h, v in zip(pdf["hash"], pdf["vec"]):
+            x = np.asarray(v, dtype=np.float64)
+            n = np.sqrt((x * x).sum())
+            if np.isfinite(n) and n > 0:
+                out.append((h, x / n))
+        yield pd.DataFrame(out, columns=["hash", "vec"])
 
 
 def usable_vectors(vectors: DataFrame, dim: int) -> DataFrame:
     """One vector per hash, of length one; null, cut-off, zero and broken vectors left out."""
-    v = vectors.filter((F.size("vec") == dim) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x))).groupBy("hash").agg(F.min("vec").alias("vec"))
-    norm = F.sqrt(dot(F.col("vec"), F.col("vec")))
-    return v.withColumn("norm", norm).filter("norm > 0").select("hash", F.transform("vec", lambda x: x.cast("double") / F.col("norm")).alias("vec"))
+    v = vectors.filter((F.size("vec") == dim) & ~F.array_contains("vec", F.lit(float("nan")).cast("float"))).groupBy("hash").agg(F.min("vec").alias("vec"))
+    return v.mapInPandas(_units, "hash string, vec array<double>")
 
 
 def scored(passages_: DataFrame, vectors: DataFrame, query: list[float]) -> DataFrame:

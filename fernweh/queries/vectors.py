@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fernweh.corpus import Corpus
 from fernweh.functions import text as T
 from fernweh.operators import metrics, search, semantic, store
+from fernweh.runtime import materialize
 
 DIM = 128
 WORDS = ["saffron", "narrow"]
@@ -22,12 +23,13 @@ def _passages(c):
 
 def _query(v):
     """The vector asked for; one row, taken to the driver as an application would pass it in."""
-    return [float(x) for x in v.orderBy(F.desc("hash")).select("vec").first()[0]] if v.limit(1).count() else [0.0] * DIM
+    last = v.orderBy(F.desc("hash")).select("vec").first()
+    return [float(x) for x in last[0]] if last else [0.0] * DIM
 
 
 def _scored(c):
     v = _vectors(c)
-    return semantic.scored(_passages(c), v, _query(v))
+    return materialize(semantic.scored(_passages(c), v, _query(v)), "scored")  # the scalars below read it several times
 
 
 def cosine_scores(spark, d):
@@ -82,7 +84,7 @@ def semantic_rank_fused(spark, d):
 def related_files(spark, d):
     """Files like the one with the most passages."""
     c = Corpus(spark, d)
-    rows = _passages(c).join(_vectors(c), "hash")
+    rows = materialize(_passages(c).join(_vectors(c), "hash"), "passage-vectors")
     most = rows.groupBy("file").count().orderBy(F.desc("count"), "file").first()
     return semantic.related(rows, most[0] if most else -1, floor=0.5).select("file", F.round("score", 6).alias("score"))
 
