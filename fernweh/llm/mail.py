@@ -52,8 +52,8 @@ _NOTICE = re.compile(r"^(?:\W*)(?:confidentiality (?:notice|note)|disclaimer|leg
 _LEGALESE = re.compile(
     r"in this transmission belongs to|attachments? (?:are|is) confidential|may be legally privileged|(?:meant|intended) (?:solely|only) for|not the intended recipient|received it in error|liability for viruses|"
     r"destroy all copies|use by others is prohibited|le détruire et de prévenir|piense en el medio|denken sie an die umwelt|rechtlich geschützt|consider the environment before|before printing this e-?mail|is registered in \S+ under number|views expressed here are those of|"
-    r"message est confidentiel|contenu de ce courriel|toute diffusion est interdite|avant d.imprimer|siège à .+no \d|message .{0,40}(?:appartient|est destiné)|courriel .{0,60}confidentiel|"
-    r"mensaje es confidencial|comunicación pertenece a|contenido de este (?:correo|mensaje)|prohíbe su difusión|antes de imprimir|con sede en .+registro \d|"
+    r"message est confidentiel|contenu de ce courriel|toute diffusion est interdite|avant d.imprimer|siège à .+no \d|(?:message|communication|courriel) .{0,60}(?:appartient|destiné)|cas d.erreur, merci|courriel .{0,60}confidentiel|"
+    r"recibido por error|mensaje es confidencial|comunicación pertenece a|contenido de este (?:correo|mensaje)|prohíbe su difusión|antes de imprimir|con sede en .+registro \d|"
     r"ist vertraulich|nur für den empfänger|irrtümlich erhalten|weitergabe ist untersagt|bevor sie .{0,30}drucken|\bHRB \d|inhalt dieser (?:nachricht|e-?mail)|diese (?:nachricht|e-?mail|mitteilung) (?:ist|gehört|enthält|kann|richtet)",
     re.I,
 )
