@@ -10,8 +10,8 @@ one by one: an overfull list costs more tasks, not more memory in one.
 Equal vectors are one entry: their hashes are expanded at the end, so that a vector that a third of all rows share
 costs as much as any other.
 
-Bounds: the sample has at most SAMPLE vectors, there are at most SAMPLE / LEAF * 2 centroids; both are what is
-broadcast, whatever the collection's size. Every vector is indexed. Accuracy: recall against brute force is measured
+Bounds: the sample has at most SAMPLE vectors; there are about n / LEAF centroids for n vectors, and at most about
+SAMPLE / LEAF_LEAST * 2. Centroids are what is broadcast; the sample only reaches the driver. Every vector is indexed. Accuracy: recall against brute force is measured
 in the tests and stated in the README.
 
 Defined cases: null vectors, those of another length, with null, NaN or infinite numbers or all zero take no part;
@@ -33,10 +33,11 @@ from fernweh.runtime import materialize, spread
 
 DIM = 128
 K = 5
-SAMPLE = 40_000
-LEAF = 64  # sample vectors per leaf, at most
+SAMPLE = 100_000
+LEAF, LEAF_LEAST = 64, 8  # vectors per leaf of the whole collection that lists are aimed at; sample vectors per leaf, at least
+GROUP = 4_000  # vectors per group of lists
 REPLICAS, CLOSURE = 4, 1.12  # lists a vector is put into, and how much farther than the nearest they may be
-PROBES, RATIO, PROBES_LEAST = 20, 1.45, 6
+PROBES, RATIO, PROBES_LEAST = 24, 1.45, 6
 BLOCK = 20_000
 
 
@@ -58,36 +59,36 @@ def split(x: np.ndarray, ways: int, rng: np.random.Generator, rounds: int = 8) -
 
 
 class Index:
-    """Centroids, their groups and their graph."""
+    """Centroids, their groups and their graph, for a collection of n vectors."""
 
-    def __init__(self, sample: np.ndarray, seed: int = 7):
+    def __init__(self, sample: np.ndarray, n: int, seed: int = 7):
         rng = np.random.default_rng(seed)
+        leaf = max(LEAF_LEAST, round(LEAF * len(sample) / max(n, 1)))
         leaves: list[np.ndarray] = []
-        group: list[int] = []
-        top = split(sample, max(1, min(64, len(sample) // (LEAF * 8))), rng) if len(sample) > LEAF else np.zeros(len(sample), dtype=np.int64)
-        for g in np.unique(top):
-            todo = [sample[top == g]]
-            while todo:
-                part = todo.pop()
-                if len(part) > LEAF:
-                    label = split(part, min(8, -(-len(part) // LEAF) + 1), rng)
-                    parts = [part[label == k] for k in np.unique(label)]
-                    if len(parts) > 1:
-                        todo.extend(parts)
-                        continue
-                leaves.append(part)
-                group.append(int(g))
-        cents = np.stack([p.mean(axis=0) for p in leaves]) if leaves else np.zeros((0, sample.shape[1]))
+        todo = [sample]
+        while todo:  # depth first, so that neighbours in the tree are neighbours in the list of leaves
+            part = todo.pop()
+            if len(part) > leaf:
+                ways = min(64 if len(part) > 64 * leaf else 8, -(-len(part) // leaf) + 1)
+                label = split(part, ways, rng)
+                parts = [part[label == k] for k in np.unique(label)]
+                if len(parts) > 1:
+                    todo.extend(parts)
+                    continue
+            leaves.append(part)
+        cents = np.stack([p.mean(axis=0) for p in leaves])
         self.cents = (cents / np.maximum(np.linalg.norm(cents, axis=1, keepdims=True), 1e-12)).astype(np.float32)
-        self.group = np.array(group, dtype=np.int32)
-        n = len(self.cents)
-        deg = min(24, n)
-        self.links = np.argsort(-(self.cents @ self.cents.T), axis=1)[:, :deg].astype(np.int32) if n else np.zeros((0, 0), np.int32)
-        self.entries = np.array([np.flatnonzero(self.group == g)[:: max(1, int((self.group == g).sum()) // 4)][:4] for g in np.unique(self.group)], dtype=object)
-        self.entries = np.unique(np.concatenate([e.astype(np.int64) for e in self.entries])) if n else np.zeros(0, np.int64)
+        k = len(self.cents)
+        groups = int(min(k, max(8, 2.5 * n / GROUP)))
+        self.group = (np.cumsum([len(p) for p in leaves]) * groups // (len(sample) + 1)).astype(np.int32)
+        deg = min(24, k)
+        self.links = np.empty((k, deg), dtype=np.int32)
+        for lo in range(0, k, 1024):
+            self.links[lo : lo + 1024] = np.argsort(-(self.cents[lo : lo + 1024] @ self.cents.T), axis=1)[:, :deg]
+        self.entries = np.unique(np.linspace(0, k - 1, min(k, max(64, int(4 * k**0.5)))).astype(np.int64))
 
     def near(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(centroids, squared distances) nearest to each row of x: a greedy search through the graph from the groups' entries, all rows at once."""
+        """(centroids, squared distances) nearest to each row of x: a greedy search through the graph from evenly spread entries, all rows at once."""
         n = len(self.cents)
         beam = min(beam, n)
         entry = x @ self.cents[self.entries].T
@@ -136,8 +137,9 @@ def _place(frames, index: Index):
             continue
         x = np.frombuffer(b"".join(pdf["vec"]), dtype=np.float32).reshape(len(pdf), -1)
         out = []
-        for lo in range(0, len(x), 2048):
-            best, d = index.near(x[lo : lo + 2048], PROBES)
+        step = max(64, 4_000_000 // len(index.cents))  # bounds what a search remembers
+        for lo in range(0, len(x), step):
+            best, d = index.near(x[lo : lo + step], PROBES)
             d0 = d[:, :1]
             slack = 0.02  # so that vectors on a centroid still look around
             member = (d <= (d0 + slack) * CLOSURE**2) & (np.arange(d.shape[1]) < REPLICAS)
@@ -209,10 +211,10 @@ def nearest(vectors: DataFrame, k: int = K, dim: int = DIM) -> DataFrame:
     sample = entries.select("vec").orderBy(F.xxhash64("vec")).limit(SAMPLE).collect()
     if not sample:
         return spark.createDataFrame([], "hash string, other string, sim float, place int")
-    index = spark.sparkContext.broadcast(Index(np.frombuffer(b"".join(bytes(r[0]) for r in sample), dtype=np.float32).reshape(len(sample), -1)))
+    index = spark.sparkContext.broadcast(Index(np.frombuffer(b"".join(bytes(r[0]) for r in sample), dtype=np.float32).reshape(len(sample), -1), entries.count()))
     placed = materialize(entries.mapInPandas(lambda f: _place(f, index.value), "entry binary, vec binary, grp int, lists array<int>, probes array<int>"), "posting-lists")
     blocks = placed.filter(F.size("lists") > 0).groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(F.broadcast(blocks), "grp")  # a row per group, of which there are at most 64
+    rows = placed.join(F.broadcast(blocks), "grp")  # a row per group, of which there are at most as many as centroids
     own = F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # a query asks every block of a group; queries of a group are in turn cut into parts
