@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernweh.runtime import spread
+from fernweh.runtime import materialize, spread
 
 # Letters of Cyrillic and Greek that look like the Latin letter they stand behind.
 LOOKALIKES = {
@@ -190,10 +190,16 @@ def forms(docs: DataFrame, id_col: str = "doc_id", column: str = "text", counts:
 
 
 def same_look(docs: DataFrame, id_col: str = "doc_id", column: str = "text") -> DataFrame:
-    """(doc_a, doc_b), doc_a < doc_b: pairs of different texts of one form. Only groups with more than one text are joined."""
-    f = forms(docs, id_col, column, hashed=True).filter(F.col(id_col).isNotNull())
-    mixed = f.groupBy("form_hash").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi")).filter("lo != hi").select("form_hash")
-    f = f.join(mixed, "form_hash", "left_semi")
-    a = f.select("form_hash", F.col(id_col).alias("doc_a"), F.col("text_hash").alias("ta"))
-    b = f.select("form_hash", F.col(id_col).alias("doc_b"), F.col("text_hash").alias("tb"))
-    return a.join(b, "form_hash").filter("doc_a < doc_b AND ta != tb").select("doc_a", "doc_b").distinct()
+    """(doc_a, doc_b), doc_a < doc_b: pairs of different texts of one form.
+
+    Distinct texts are paired, not documents: copies, however many, are one row until the pairs of texts are known, and a form with one text is dropped before any join."""
+    f = materialize(forms(docs, id_col, column, hashed=True).filter(F.col(id_col).isNotNull()), "forms")
+    texts = f.groupBy("form_hash", "text_hash").agg(F.lit(1).alias("one")).drop("one")
+    mixed = texts.groupBy("form_hash").agg(F.count("*").alias("n")).filter("n > 1").select("form_hash")
+    texts = texts.join(mixed, "form_hash", "left_semi")
+    a, b = texts.withColumnRenamed("text_hash", "ta"), texts.withColumnRenamed("text_hash", "tb")
+    pairs = a.join(b, "form_hash").filter("ta < tb").select("ta", "tb")
+    first = f.select(F.col("text_hash").alias("ta"), F.col(id_col).alias("x"))
+    second = f.select(F.col("text_hash").alias("tb"), F.col(id_col).alias("y"))
+    both = pairs.join(first, "ta").join(second, "tb")
+    return both.filter("x != y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
