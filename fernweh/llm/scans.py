@@ -38,19 +38,17 @@ FREQUENT_MOST = 20_000
 
 HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐­¬]\s*$")
 _WORD = re.compile(r"[^\W_][^\s.,;:?()\[\]\"“”«»/|]*(?:-[^\s.,;:?()\[\]\"“”«»/|]+)*|[@!][^\s.,;:?()\[\]\"“”«»/|]+")
-_FOLD = str.maketrans({"1": "l", "!": "l", "i": "l", "|": "l", "0": "o", "5": "s", "9": "g", "@": "a", "c": "e", "f": "t", "b": "h", "6": "h"})
+_FOLD = str.maketrans({"0": "o", "5": "s", "9": "g", "@": "a", "f": "t"})
 
 
 def fold(s: str) -> str:
-    """Equal for a line and its misread forms."""
-    s = s.casefold().translate(_FOLD)
-    for a, b in (("ll", "u"), ("rn", "m"), ("el", "d"), ("vv", "w"), ("rl", "n")):
-        s = s.replace(a, b)
-    return s
+    """Equal for a line and its misread forms: strokes that scans confuse are left out, words still count."""
+    s = s.casefold()
+    return re.sub(r"[rnmilhbuvwdce1!|68]", "", s.translate(_FOLD)) + f"#{len(s.split())}"
 
 
 _D = r"[\dlIOoSsgBi!]{1,4}"
-_NUMBER = rf"(?:\d{{1,4}}|(?=\S*\d){_D}|[lI]{{1,3}}|[ivxlc]{{1,6}})"
+_NUMBER = rf"(?:\d{{1,4}}|(?=\S*\d){_D}|[lI][lIO]{{0,3}}|[ivxlc]{{1,6}})"
 _LABEL = r"(?:[PpF][a@][g9][ec]|[Ss5][ceh][b]?[ei!1l]*[eich]*t[ec]?|[Ss5]h[ec]{2}[tf]|[Ss5]b[ec]{2}[tf]|p|S|Bl[a@]tt|[Ff]olio)"
 _PAGE_NO = re.compile(rf"^(?:{_LABEL}\.?\s+{_NUMBER}(?:\s*(?:[o0][ft]|v[o0]n|[s5]ur|[s5](?:u|ii)r|d[ec]|/)\s*{_NUMBER})?|[-–—\[(]\s*{_NUMBER}\s*[-–—\])]|{_NUMBER}\s*/\s*{_NUMBER})$")
 _BARE = re.compile(rf"^{_NUMBER}$")
@@ -104,6 +102,7 @@ def furniture(text: str) -> set[int]:
             if _BARE.match(x.strip()) and (v := _number(x)) is not None:
                 numbers[v - k] += 1
     many = len([p for p in book if p]) > 1
+    width = max((len(x) for page in book for _, x in page), default=0)
     bare_pages = sum(1 for page in book if page and _BARE.match(page[-1][1].strip()))
     out: set[int] = set()
     for k, page in enumerate(book):
@@ -133,6 +132,8 @@ def furniture(text: str) -> set[int]:
                 return False
             if many and keys[fold(x)] >= 2 and len(x) < 60:
                 return True
+            if top and many and i == 0 and k > 0 and len(x) < 0.55 * width and not re.search(r"[.:!?,;]$", x):
+                return True  # running text fills its lines
             letters = re.sub(r"[\W\d_]", "", x)
             return top and many and i == 0 and len(x) < 48 and len(letters) > 5 and (letters.isupper() or sum(c.isupper() for c in letters) > 0.8 * len(letters))
 
