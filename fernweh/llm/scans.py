@@ -254,18 +254,21 @@ def counts(scans: DataFrame, column: str = "data") -> DataFrame:
 
 
 def _tokens(frames, skip: frozenset, id_col: str, column: str):
-    """Distinct words of each text that may need a decision: (id, word, half): half is null, or where a line end divides the word."""
+    """Words of each text that may need a decision, with their neighbours in the line: (id, word, before, after)."""
     for pdf in frames:
         out = []
         for i, text in zip(pdf[id_col], pdf[column]):
             if not text:
                 continue
             page = Page(text)
-            seen = {w.lower() for row in page.rows for w, *_ in row} - skip
+            seen = set()
+            for row in page.rows:
+                ws = [None, *(w.lower() for w, *_ in row), None]
+                seen.update(x for x in zip(ws[1:-1], ws, ws[2:]) if x[0] not in skip and len(x[0]) > 1 and not x[0].isdigit())
             for _, a, b in page.divided:  # both readings need their counts, however frequent they are
-                seen.update((f"{a}-{b}".lower(), f"{a}{b}".lower()))
-            out.extend((i, w) for w in seen if len(w) > 1 and not w.isdigit())
-        yield pd.DataFrame(out, columns=["id", "word"])
+                seen.update(((f"{a}-{b}".lower(), None, None), (f"{a}{b}".lower(), None, None)))
+            out.extend((i, *x) for x in seen)
+        yield pd.DataFrame(out, columns=["id", "word", "before", "after"])
 
 
 def _propose(frames):
@@ -282,26 +285,6 @@ def _propose(frames):
         yield pd.DataFrame(out, columns=["word", "candidate", "channel"])
 
 
-def _contexts(frames):
-    """(id, a, b): pairs of neighbours whose counts the search will ask for."""
-    for pdf in frames:
-        out = []
-        for i, text, known in zip(pdf["id"], pdf["text"], pdf["known"]):
-            choices = _choices(known)
-            ask = set()
-            for row in Page(text).rows:
-                ws = [w.lower() for w, *_ in row]
-                for k, w in enumerate(ws):
-                    if w in choices:
-                        for c in [w, *choices[w]]:
-                            if k:
-                                ask.add((ws[k - 1], c))
-                            if k + 1 < len(ws):
-                                ask.add((c, ws[k + 1]))
-            out.extend((i, a, b) for a, b in ask)
-        yield pd.DataFrame(out, columns=["id", "a", "b"])
-
-
 def _choices(known) -> dict[str, dict[str, tuple[float, int]]]:
     """word -> candidate -> (channel, n), only where a candidate is so much more frequent that the word may be its misread form."""
     n = {x["word"]: x["n"] for x in known if x["candidate"] == x["word"]}
@@ -428,32 +411,35 @@ def readings(scans: DataFrame, emit, schema: str, id_col: str = "id", column: st
     frequent = [r[0] for r in words.filter(F.col("n") > RATIO * most).limit(FREQUENT_MOST).collect()]  # leaving any out costs time, not results
     kind = scans.schema[id_col].dataType.simpleString()
     src = spread(scans.select(F.col(id_col).alias("id"), F.col(column).alias("text")).filter(F.col("id").isNotNull() & F.col("text").isNotNull()))
-    own = materialize(src.mapInPandas(lambda f, skip=frozenset(frequent): _tokens(f, skip, "id", "text"), f"id {kind}, word string"), "scan-words")
-    proposed = own.select("word").distinct().mapInPandas(_propose, "word string, candidate string, channel double")
+    spots = materialize(src.mapInPandas(lambda f, skip=frozenset(frequent): _tokens(f, skip, "id", "text"), f"id {kind}, word string, before string, after string"), "scan-words")
+    types = spots.select("word").distinct()
+    proposed = types.mapInPandas(_propose, "word string, candidate string, channel double")
     known = proposed.join(words.withColumnRenamed("word", "candidate"), "candidate").select("word", "candidate", "channel", "n")
-    self_n = known.filter("word = candidate").select("word", F.col("n").alias("own"))
-    useful = known.join(self_n, "word", "left").filter(
-        (F.col("word") != F.col("candidate")) & (F.coalesce("own", F.lit(0)) <= F.greatest(RATIO * F.col("n"), F.when(F.col("n") > 2, 1).otherwise(0)))
+    itself = known.filter("word = candidate")
+    useful = known.filter("word != candidate").join(itself.select("word", F.col("n").alias("own")), "word", "left").filter(
+        F.coalesce("own", F.lit(0)) <= F.greatest(RATIO * F.col("n"), F.when(F.col("n") > 2, 1).otherwise(0))
     ).select("word", "candidate", "channel", "n")
-    dashed = own.select("word").distinct()  # whole words and compounds need their own counts too
-    keep = useful.unionByName(known.filter("word = candidate").join(useful.select("word").distinct().unionByName(dashed.filter(F.col("word").contains("-")).selectExpr("word")).distinct(), "word", "left_semi"))
+    useful = materialize(useful, "scan-candidates")
+    asked_for = useful.select("word").unionByName(types.filter(F.col("word").contains("-"))).distinct()  # words whose own counts matter
+    kept = useful.unionByName(itself.join(asked_for, "word", "left_semi"))
+    own = spots.select("id", "word").distinct()
     whole = own.filter(F.col("word").contains("-")).select("id", F.regexp_replace("word", "-", "").alias("word"))
-    plain = known.filter("word = candidate")
-    kept = materialize(keep, "scan-candidates")
-    per_doc = own.join(kept, "word").unionByName(whole.join(plain, "word").select("word", "id", "candidate", "channel", "n")).groupBy("id").agg(F.collect_set(F.struct("word", "candidate", "channel", "n")).alias("known"))
-    empty = F.expr("cast(array() AS array<struct<word:string,candidate:string,channel:double,n:bigint>>)")
-    docs = materialize(src.join(per_doc, "id", "left").select("id", "text", F.coalesce("known", empty).alias("known")), "scan-texts")
-    asked = docs.filter(F.size("known") > 0).mapInPandas(_contexts, f"id {kind}, a string, b string")
+    found = own.join(kept, "word").select("id", "word", "candidate", "channel", "n").unionByName(whole.join(itself, "word").select("id", "word", "candidate", "channel", "n"))
+    per_doc = found.groupBy("id").agg(F.collect_set(F.struct("word", "candidate", "channel", "n")).alias("known"))
+    near = spots.filter("before IS NOT NULL OR after IS NOT NULL").join(useful.select("word", "candidate"), "word")
+    asked = near.select("id", F.explode(F.array(F.struct(F.col("before").alias("a"), F.col("candidate").alias("b")), F.struct(F.col("candidate").alias("a"), F.col("after").alias("b")))).alias("p"))
+    asked = asked.select("id", "p.a", "p.b").filter("a IS NOT NULL AND b IS NOT NULL").distinct()
     grams = asked.join(table.filter("b IS NOT NULL"), ["a", "b"]).join(words.select(F.col("word").alias("a"), F.col("n").alias("na")), "a").groupBy("id").agg(F.collect_list(F.struct("a", "b", "n", "na")).alias("grams"))
+    docs = src.join(per_doc, "id", "left").join(grams, "id", "left")
 
     def run(frames):
         for pdf in frames:
             out = []
             for i, text, own_known, own_grams in zip(pdf["id"], pdf["text"], pdf["known"], pdf["grams"]):
-                out.extend(emit(i, Reading(text, own_known, own_grams if own_grams is not None else (), total)))
+                out.extend(emit(i, Reading(text, () if own_known is None else own_known, own_grams, total)))
             yield pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in schema.split(",")])
 
-    return docs.join(grams, "id", "left").mapInPandas(run, schema)
+    return docs.mapInPandas(run, schema)
 
 
 def noise(scans: DataFrame, id_col: str = "id", column: str = "data") -> DataFrame:
