@@ -7,8 +7,9 @@ collection say how likely each proposal is, and a Viterbi search over the candid
 counts for context, decides. Halves of words divided at line ends are read as one word, unless the collection knows
 the word with its hyphen.
 
-Scale: counts are kept per distinct word and pair and meet candidates by joins. The one list that is broadcast, of
-words too frequent to be misread forms of any other, is bounded by 1 / (RATIO * share of the most frequent word).
+Scale: counts are kept per distinct word and pair and meet candidates by joins. Candidates are proposed once per
+distinct word; what texts are asked for is told by a bit map of fixed size, the one thing that is broadcast, so that
+only doubtful words are shuffled. A word whose bit another one set is sorted out by the join that follows.
 
 Defined cases: null and empty texts have no lines; a text without form feeds is one page; repeated rows are judged
 alike; a line cut off at a hyphen at the very end of a scan is no case of division, since its other half is nowhere;
@@ -21,6 +22,7 @@ import math
 import re
 from collections import Counter
 from itertools import combinations
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,7 +36,7 @@ CONFUSIONS = [
     ("b", "h", 0.004), ("9", "g", 0.004), ("vv", "w", 0.004), ("n", "ri", 0.003), ("h", "li", 0.003), ("l", "i", 0.002), ("m", "rn", 0.002), ("6", "b", 0.002), ("8", "b", 0.001), ("1", "i", 0.001),
 ]
 RATIO = 0.03  # a misread form is at most this often in the collection as its word
-FREQUENT_MOST = 20_000
+MARKS = 1 << 20  # bits that tell words which may be misread; more words than that cost time, not results
 
 HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐­¬]\s*$")
 _WORD = re.compile(r"[^\W_][^\s.,;:?()\[\]\"“”«»/|]*(?:-[^\s.,;:?()\[\]\"“”«»/|]+)*|[@!][^\s.,;:?()\[\]\"“”«»/|]+")
@@ -253,22 +255,41 @@ def counts(scans: DataFrame, column: str = "data") -> DataFrame:
     return spread(scans.select(column)).mapInPandas(lambda f: _count(f, column), "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def _tokens(frames, skip: frozenset, id_col: str, column: str):
-    """Words of each text that may need a decision, with their neighbours in the line: (id, word, before, after)."""
+def _tokens(frames, marks: bytes, id_col: str, column: str):
+    """Words of each text that may need a decision, with their neighbours in the line: (id, word, before, after, divided)."""
+    known: dict[str, bool] = {}
+
+    def marked(w: str) -> bool:
+        got = known.get(w)
+        if got is None:
+            h = crc32(w.encode("utf-8", "replace")) & MARKS - 1
+            got = known[w] = bool(marks[h >> 3] >> (h & 7) & 1)
+            if len(known) > 500_000:
+                known.clear()
+        return got
+
     for pdf in frames:
-        out = []
+        cols: tuple = ([], [], [], [], [])
+
+        def add(*row, cols=cols):
+            for c, v in zip(cols, row):
+                c.append(v)
+
         for i, text in zip(pdf[id_col], pdf[column]):
             if not text:
                 continue
             page = Page(text)
             seen = set()
             for row in page.rows:
-                ws = [None, *(w.lower() for w, *_ in row), None]
-                seen.update(x for x in zip(ws[1:-1], ws, ws[2:]) if x[0] not in skip and len(x[0]) > 1 and not x[0].isdigit())
-            for _, a, b in page.divided:  # both readings need their counts, however frequent they are
-                seen.update(((f"{a}-{b}".lower(), None, None), (f"{a}{b}".lower(), None, None)))
-            out.extend((i, *x) for x in seen)
-        yield pd.DataFrame(out, columns=["id", "word", "before", "after"])
+                ws = [w.lower() for w, *_ in row]
+                for k, w in enumerate(ws):
+                    if row[k][3] or marked(w):
+                        seen.add((w, ws[k - 1] if k else None, ws[k + 1] if k + 1 < len(ws) else None, bool(row[k][3])))
+            for _, a, b in page.divided:  # both readings need their counts
+                seen.update(((f"{a}-{b}".lower(), None, None, True), (f"{a}{b}".lower(), None, None, True)))
+            for x in seen:
+                add(i, *x)
+        yield pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in zip(["id", "word", "before", "after", "divided"], cols)})
 
 
 def _propose(frames):
@@ -408,19 +429,25 @@ def readings(scans: DataFrame, emit, schema: str, id_col: str = "id", column: st
     words = table.filter("b IS NULL").select(F.col("a").alias("word"), "n")
     most, total = words.agg(F.max("n"), F.sum("n")).first()
     most, total = most or 0, float(total or 1)
-    frequent = [r[0] for r in words.filter(F.col("n") > RATIO * most).limit(FREQUENT_MOST).collect()]  # leaving any out costs time, not results
     kind = scans.schema[id_col].dataType.simpleString()
     src = spread(scans.select(F.col(id_col).alias("id"), F.col(column).alias("text")).filter(F.col("id").isNotNull() & F.col("text").isNotNull()))
-    spots = materialize(src.mapInPandas(lambda f, skip=frozenset(frequent): _tokens(f, skip, "id", "text"), f"id {kind}, word string, before string, after string"), "scan-words")
-    types = spots.select("word").distinct()
-    proposed = types.mapInPandas(_propose, "word string, candidate string, channel double")
-    known = proposed.join(words.withColumnRenamed("word", "candidate"), "candidate").select("word", "candidate", "channel", "n")
-    itself = known.filter("word = candidate")
-    useful = known.filter("word != candidate").join(itself.select("word", F.col("n").alias("own")), "word", "left").filter(
-        F.coalesce("own", F.lit(0)) <= F.greatest(RATIO * F.col("n"), F.when(F.col("n") > 2, 1).otherwise(0))
-    ).select("word", "candidate", "channel", "n")
-    useful = materialize(useful, "scan-candidates")
-    asked_for = useful.select("word").unionByName(types.filter(F.col("word").contains("-"))).distinct()  # words whose own counts matter
+
+    def useful_of(types: DataFrame) -> DataFrame:
+        """(word, candidate, channel, n) of words that may be misread forms; own counts are joined, none is as frequent as RATIO allows at most."""
+        proposed = types.mapInPandas(_propose, "word string, candidate string, channel double").filter("word != candidate")
+        known = proposed.join(words.withColumnRenamed("word", "candidate"), "candidate").join(words.withColumnRenamed("n", "own"), "word", "left")
+        rare = F.coalesce("own", F.lit(0)) <= F.greatest(RATIO * F.col("n"), F.when(F.col("n") > 2, 1).otherwise(0))
+        return known.filter(rare).select("word", "candidate", "channel", "n")
+
+    first = materialize(useful_of(words.filter((F.col("n") <= max(RATIO * most, 1)) & (F.length("word") > 1) & ~F.col("word").rlike("^[0-9]+$")).select("word")), "scan-candidates")
+    marks = bytearray(MARKS // 8)
+    for (h,) in first.select(F.col("word").cast("binary").alias("w")).select(F.crc32("w").bitwiseAND(MARKS - 1)).distinct().collect():  # at most MARKS numbers
+        marks[h >> 3] |= 1 << (h & 7)
+    spots = materialize(src.mapInPandas(lambda f, marks=bytes(marks): _tokens(f, marks, "id", "text"), f"id {kind}, word string, before string, after string, divided boolean"), "scan-words")
+    unseen = spots.filter("divided").select("word").distinct().join(words, "word", "left_anti")
+    useful = materialize(first.unionByName(useful_of(unseen)), "scan-readings")
+    itself = words.select("word", F.col("word").alias("candidate"), F.lit(0.0).alias("channel"), "n")
+    asked_for = useful.select("word").unionByName(spots.filter("divided AND instr(word, '-') > 0").select("word")).distinct()  # words whose own counts matter
     kept = useful.unionByName(itself.join(asked_for, "word", "left_semi"))
     own = spots.select("id", "word").distinct()
     whole = own.filter(F.col("word").contains("-")).select("id", F.regexp_replace("word", "-", "").alias("word"))
