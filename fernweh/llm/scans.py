@@ -93,7 +93,8 @@ def _split_numbered(line: str) -> str | None:
 
 def furniture(text: str) -> set[int]:
     """Numbers of the lines that are only running header, footer, stamp or page number."""
-    book = [[(no, x) for no, x in page if x.strip()] for page in pages(text)]
+    whole = pages(text)
+    book = [[(no, x) for no, x in page if x.strip()] for page in whole]
     keys: Counter = Counter()
     for page in book:
         edge = {id(x): x for x in [*page[:2], *page[-3:]]}.values()
@@ -108,7 +109,7 @@ def furniture(text: str) -> set[int]:
     bare_pages = sum(1 for page in book if page and _BARE.match(page[-1][1].strip()))
     out: set[int] = set()
     for k, page in enumerate(book):
-        raw = dict(pages_lines := [(no, x) for no, x in pages(text)[k]]) if page else {}
+        raw = dict(whole[k])
 
         def is_it(i: int, top: bool, page=page, raw=raw, k=k) -> bool:
             no, line = page[i]
@@ -354,7 +355,7 @@ class Reading:
         choices = _choices(known)
         n = {x["word"]: x["n"] for x in known if x["candidate"] == x["word"]}
         pair = {(x["a"], x["b"]): (x["n"], x["na"]) for x in (grams if grams is not None else ())}
-        self.noise: set[tuple[int, str]] = {(no, "furniture") for no in page.furniture if dict(page.lines)[no].strip()}
+        self.noise: set[tuple[int, str]] = {(no, "furniture") for no, x in page.lines if no in page.furniture and x.strip()}
         compounds = {}
         for no, a, b in page.divided:
             whole, compound = n.get(f"{a}{b}".lower(), 0), n.get(f"{a}-{b}".lower(), 0)
@@ -366,7 +367,11 @@ class Reading:
         self.words: list[list[str]] = []
         for row in page.rows:
             shown = [f"{w[:half]}-{w[half:]}" if half and compounds.get(no) else w for w, no, _, half in row]
-            said = read_line([w.lower() for w in shown], choices, n, pair, total)
+            low = [w.lower() for w in shown]
+            if choices.keys().isdisjoint(low):
+                self.words.append(shown)
+                continue
+            said = read_line(low, choices, n, pair, total)
             fixed = []
             for (w, no, end, half), sh, c in zip(row, shown, said):
                 if c != sh.lower():
