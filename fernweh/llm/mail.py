@@ -67,8 +67,10 @@ class Node:
     children: list["Node"] = field(default_factory=list)
 
 
-def _para_end(lines: list[str], i: int) -> int:
-    while i < len(lines) and lines[i].strip():
+def _para_end(lines: list[str], i: int, most: int = 1 << 30) -> int:
+    """End of the paragraph, or of its first lines."""
+    end = min(len(lines), i + most)
+    while i < end and lines[i].strip():
         i += 1
     return i
 
@@ -158,6 +160,10 @@ class Grammar:
 
     def disclaimer(self, i: int) -> Node | None:
         lines, j = self.lines, i
+        if i and lines[i - 1].strip() and not (_RULE.match(lines[i]) or _NOTICE.match(lines[i]) or _LEGALESE.search(lines[i])):
+            return None  # no notice begins here; said before anything longer than the line is read
+        if i and _RULE.match(lines[i]) and _RULE.match(lines[i - 1]) and not _DELIMITER.match(lines[i - 1]):
+            return None  # the first of the rules was asked already
         while j < len(lines) and _RULE.match(lines[j]) and not _DELIMITER.match(lines[j]):
             j += 1
         if j >= len(lines):
@@ -168,8 +174,6 @@ class Grammar:
         text = " ".join(x.strip() for x in lines[j:k])
         if not (_NOTICE.search(text) or _LEGALESE.search(text)):
             return None
-        if i and lines[i - 1].strip() and not (_NOTICE.search(text) or _RULE.match(lines[i]) or _LEGALESE.search(lines[i])):
-            return None  # the notice doesn't begin here
         while k < len(lines) and _RULE.match(lines[k]):
             k += 1
         return Node("disclaimer", self.base + i, self.base + k)
@@ -184,10 +188,10 @@ class Grammar:
                 j += 1
             return Node("signature", self.base + i, self.base + j)
         if _CLOSING.match(x.strip()):
-            j = _para_end(lines, i)
+            j = _para_end(lines, i, 7)
             rest = [y.strip() for y in lines[i + 1 : j]]
             if len(rest) <= 4 and all(len(y) < 70 and not re.search(r"[.!?]$", y) for y in rest):
-                if not rest and (k := _skip_blank(lines, j)) < len(lines) and re.fullmatch(r"(?:[^\W\d_a-z][\w'’.-]*\s?){1,4}", lines[k].strip()) and _para_end(lines, k) == k + 1:
+                if not rest and (k := _skip_blank(lines, j)) < len(lines) and re.fullmatch(r"(?:[^\W\d_a-z][\w'’.-]*\s?){1,4}", lines[k].strip()) and _para_end(lines, k, 3) == k + 1:
                     j = k + 1
                 return Node("signature", self.base + i, self.base + j)
         return None
