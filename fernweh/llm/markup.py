@@ -53,17 +53,17 @@ _T, _C = "|".join(_TAGS), "|".join(_COMMANDS)
 # Constructs: (feature, pattern). Earlier ones take precedence where they overlap.
 _INLINE = [
     ("html.doctype", r"<!DOCTYPE\b[^<>]*>"),
-    ("html.comment", r"<!--.*?-->"),
+    ("html.comment", r"<!--(?:[^-]|-(?!->)){0,5000}-->"),
     ("wiki.tag", r"</?(?:ref|nowiki|gallery|noinclude|includeonly|references)\b[^<>\n]*/?>"),
     ("html.tag", rf"<(?:{_T})(?:\s+[a-zA-Z-]+(?:\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s<>]+))?)*\s*/?>"),
     ("html.end", rf"</(?:{_T})\s*>"),
     ("html.broken", rf"<(?:{_T})\s+[a-zA-Z-]+=\"[^\"<>\n]*(?=\n|$)|</(?:{_T})(?=\s|$)"),
-    ("html.escaped", rf"&lt;/?(?:{_T})\b(?:[^&\n]|&(?!gt;))*&gt;"),
+    ("html.escaped", rf"&lt;/?(?:{_T})\b(?:[^&\n]|&(?!gt;)){0,300}&gt;"),
     ("html.entity", r"&(?:[a-zA-Z][a-zA-Z0-9]{1,31}|#\d{1,7}|#[xX][0-9a-fA-F]{1,6});"),
     ("other.address", r"<[^\s<>@]+@[^\s<>@]+>|<https?://[^\s<>]+>"),
     ("other.generic", r"\w<\s*\w+(?:\s*,\s*\w+)*\s*>"),
     ("other.tag", r"</?[A-Za-z][\w-]*\s*/?>"),
-    ("latex.display", r"\$\$(?:[^$]|\n)+?\$\$|\\\[(?:.|\n)+?\\\]|\\\((?:.)+?\\\)"),
+    ("latex.display", r"\$\$[^$]{1,2000}\$\$|\\\[(?:[^\\]|\\[^\]\[]){1,2000}\\\]|\\\((?:[^\\\n]|\\[^()\n]){1,500}\\\)"),
     ("latex.env", r"\\(?:begin|end)\{[a-zA-Z]+\*?\}"),
     ("latex.command", rf"\\(?:{_C})(?![A-Za-z])(?:\[[^\]\n]*\])?\{{"),
     ("latex.math", r"\$[^$\n]*(?:\\[a-zA-Z]+|[_^]\{)[^$\n]*\$"),
@@ -104,7 +104,7 @@ _CODE = re.compile(
     r"#include.*|using \w.*;|SELECT .*|\w[\w.]*(?:\[[^\]]*\])? ?[+*/-]?= ?[^=].*[\w)\]};\"']|\w[\w.]*\([^()]*\);?|\}(?!\}).*|[{}();\]]+(?<!\}\})|//.*|/\*.*|\$ \S.*|>>> .*|#!.*)\s*$"
 )
 _INLINE_RX = re.compile("|".join(f"(?P<f{k}>{p.replace('(?m)', '')})" for k, (_, p) in enumerate(_INLINE)), re.M | re.S | re.I)
-_MAYBE = re.compile(r"[<&\\$`{}~*_\[|]|^[#>=-]|^\s*\d+[.)] |''|^[;:]", re.M)
+_MAYBE = re.compile(r"[<&\\$`{}~*_\[|]|^[#>=-]|^[ \t]*\d+[.)] |''|^[;:]", re.M)
 _FENCE = re.compile(r"^\s*(```+|~~~+)\s*[\w+-]*\s*$")
 
 

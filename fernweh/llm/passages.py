@@ -62,8 +62,10 @@ def cut(text: str, limit: int = MAX_CHARS, overlap: int = OVERLAP) -> list[tuple
         if not e:  # no boundary at all: the last token end, or a hard cut
             i = bisect_right(ends, most) - 1
             e = ends[i] if i >= 0 and ends[i] > s + overlap else most
-            while e > s + overlap + 1 and e < n and (combining(text[e]) or text[e] in "‍️" or text[e - 1] == "‍"):
+            hard, least = e, max(s + overlap + 1, e - 32)
+            while e > least and e < n and (combining(text[e]) or text[e] in "‍️" or text[e - 1] == "‍"):
                 e -= 1
+            e = hard if e == least else e  # marks without end are cut like anything else
         pieces.append((s, e))
         i = bisect_left(starts, e - overlap)
         while i < len(starts) and starts[i] < e and text[starts[i]].isspace():
