@@ -6,8 +6,14 @@ was written in); bytes that no character stands for any more, left as U+FFFD, ar
 word frequencies counted over the whole collection; a Viterbi search over the text's chunks then picks clean text or
 a channel for each, a change of channel costing more than a chance match brings.
 
+Words with lost letters: every word of the collection that fits what is left is a state of a second Viterbi search
+over the text's lost words. It weighs how often the word occurs and which words stand near it elsewhere, so that the
+language of the text decides between words of several; neighbours that are lost themselves take part with all theirs.
+That U+FFFD at a letter is damage is a definition, so no frequency can outweigh it; words are only what it is filled by.
+
 Scale: frequencies and readings are kept per distinct word and distinct chunk and meet by joins on them; nothing
 that grows with the vocabulary is broadcast. Only texts with a chunk that some channel reads better reach the search.
+Neighbours are counted for words that fit a pattern with several words; a bit map of fixed size tells these.
 
 Defined cases: null and empty texts are clean; U+FFFD inside or beside a word is damage even where no word fits and
 then stays as it is; a lone U+FFFD is not; texts of one id that is repeated are each judged by the chunks of all;
@@ -16,9 +22,10 @@ extra columns are ignored.
 
 from __future__ import annotations
 
-import json
+import math
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,6 +54,10 @@ CHUNK = re.compile(
 )
 _TOKEN = re.compile(r"[぀-ゟ]+|[゠-ヿ]+|[㐀-鿿々]+|[^\W\d_぀-ヿ㐀-鿿]+|[^\w\x00-\x7f]")
 ENTER, CHANGE, LEAVE, AGAIN = 1.5, 4.0, 0.3, 0.2
+_RUN = re.compile(rf"(?:[^\W\d_²³¹¼-¾{_FAR}]|{LOST})+|[^\W\d_]+|[^\w\x00-\x7f]")
+NEAR = 8  # words on each side that tell which word was lost
+DOUBT, SHARE = 1.0, 0.5  # pairs added to those counted; share of the neighbours' evidence, as they tell much the same
+MARKS = 1 << 20  # bits that tell words whose neighbours are counted; more words than that cost time, not results
 
 
 def tokens(text: str) -> list[str]:
@@ -154,37 +165,177 @@ def scored_readings(chunks: DataFrame, counts: DataFrame) -> DataFrame:
     worded = F.when(F.col("reading").rlike("(?=\\p{L}{3})\\p{L}*[\\p{L}&&[^\\x00-\\x7f]]|[\\x{2E80}-\\x{9FFF}]"), 0.0).when(F.col("chunk").rlike("[\\x{80}-\\x{9f}]"), 0.0).otherwise(4.0)  # symbols alone prove little, control characters much
     clean = score.filter("channel = -1").select("chunk", F.col("score").alias("as_is"))
     better = score.filter("channel >= 0").join(clean, "chunk").select("chunk", "channel", "reading", (F.col("score") - F.col("as_is") - worded).alias("gain")).filter("gain > 0.5")
-    # wildcards: the likeliest word for what is left of a chunk's words
-    patterns = counts.filter(F.col("token").rlike("[^\\x00-\\x7f]") & F.col("token").rlike("^\\p{L}+$") & (F.col("n") > 1)).select(
-        F.regexp_replace("token", "[^\\x00-\\x7f]", LOST).alias("pattern"), "token", "n"
-    ).groupBy("pattern").agg(F.max(F.struct("n", "token")).alias("best"))
-    wild = chunks.select("chunk").filter(F.col("chunk").contains(LOST)).distinct()
-    parts = wild.select("chunk", F.explode(F.expr(f"regexp_extract_all(lower(chunk), '[\\\\p{{L}}{LOST}]*{LOST}[\\\\p{{L}}{LOST}]*', 0)")).alias("pattern")).distinct()
-    words = parts.filter(F.length("pattern") > 1).join(patterns, "pattern", "left").groupBy("chunk").agg(F.collect_list(F.struct("pattern", F.col("best.token").alias("word"))).alias("words"))
-    lost = words.select("chunk", F.lit(len(CHANNELS)).alias("channel"), F.to_json("words").alias("reading"), F.lit(20.0).alias("gain"))
-    return better.unionByName(lost)
-
-
-def _fill(chunk: str, words: list[dict]) -> str:
-    for x in words:
-        if not x.get("word"):
+    lost = chunks.select("chunk").distinct().filter(F.col("chunk").rlike(f"[\\p{{L}}{LOST}]{LOST}|{LOST}\\p{{L}}"))
+    return better.unionByName(lost.select("chunk", F.lit(len(CHANNELS)).alias("channel"), F.lit("").alias("reading"), F.lit(20.0).alias("gain")))
+
+
+def _sequence(text: str) -> list[tuple[str, int, int]]:
+    """(word, start, end) in order, in lower case; words with lost letters are one each and keep U+FFFD."""
+    out = []
+    for m in _RUN.finditer(text):
+        if LOST in m[0]:
+            if len(m[0]) > 1:
+                out.append((m[0].lower(), m.start(), m.end()))
+        else:
+            out.extend((t, m.start(), m.end()) for t in tokens(m[0]))
+    return out
+
+
+def _around(words: list, j: int) -> list:
+    return words[max(0, j - NEAR) : j] + words[j + 1 : j + 1 + NEAR]
+
+
+def _places(frames):
+    """(id, pattern, near) of the words with lost letters; near is empty once, so that places without neighbours count."""
+    for pdf in frames:
+        out = set()
+        for i, text in zip(pdf["id"], pdf["text"]):
+            words = [w for w, _, _ in _sequence(text)]
+            for j, w in enumerate(words):
+                if LOST in w:
+                    out.add((i, w, ""))
+                    out.update((i, w, v) for v in _around(words, j))
+        yield pd.DataFrame(list(out), columns=["id", "pattern", "near"])
+
+
+def _mark(pattern: str) -> int:
+    return zlib.crc32(pattern.encode("utf-8", "surrogatepass")) & (MARKS - 1)
+
+
+def _marks(frames):
+    for pdf in frames:
+        yield pd.DataFrame({"mark": [_mark(p) for p in pdf["pattern"]]})
+
+
+def _pairs(frames, marks: bytes):
+    """(token, near, n): words near the marked ones; near is empty for all of a word's."""
+    known: dict[str, bool] = {}
+
+    def marked(w: str) -> bool:
+        if len(known) > 400_000:
+            known.clear()
+        m = _mark(lost_pattern(w))
+        known[w] = yes = bool(marks[m >> 3] >> (m & 7) & 1)
+        return yes
+
+    pairs: Counter = Counter()
+    for pdf in frames:
+        for text in pdf["text"]:
+            if text.isascii():
+                continue
+            words = [w for w, _, _ in _sequence(text)]
+            for j, w in enumerate(words):
+                if w.isascii() or LOST in w or not (known[w] if w in known else marked(w)):
+                    continue
+                near = _around(words, j)
+                pairs[w, ""] += len(near)
+                pairs.update((w, v) for v in near if LOST not in v)
+        if len(pairs) > 400_000:
+            yield pd.DataFrame([(w, v, n) for (w, v), n in pairs.items()], columns=["token", "near", "n"])
+            pairs.clear()
+    yield pd.DataFrame([(w, v, n) for (w, v), n in pairs.items()], columns=["token", "near", "n"])
+
+
+def lost_words(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(id, words, near) per text (id, text) with lost letters: all words that fit its patterns, with the collection's counts, and how much likelier than by chance they stand near the text's other words."""
+    kind = docs.schema["id"].dataType.simpleString()
+    damaged = docs.filter(F.col("text").contains(LOST))
+    places = materialize(damaged.mapInPandas(_places, f"id {kind}, pattern string, near string").distinct(), "lost-places")
+    patterns = places.select("pattern").distinct()
+    fits = counts.filter(F.col("token").rlike("[^\\x00-\\x7f]") & F.col("token").rlike("^\\p{L}+$")).withColumn("pattern", F.regexp_replace("token", "[^\\x00-\\x7f]", LOST))
+    fits = materialize(fits.join(patterns, "pattern").select("pattern", "token", F.col("n").cast("double").alias("n")), "lost-words")
+    doubtful = fits.groupBy("pattern").count().filter("count > 1").select("pattern")
+    bits = bytearray(MARKS // 8)
+    for (m,) in doubtful.mapInPandas(_marks, "mark int").distinct().collect():  # at most MARKS numbers
+        bits[m >> 3] |= 1 << (m & 7)
+    marks = docs.sparkSession.sparkContext.broadcast(bytes(bits))
+    pairs = docs.select("text").mapInPandas(lambda f: _pairs(f, marks.value), "token string, near string, n bigint").groupBy("token", "near").agg(F.sum("n").cast("double").alias("n"))
+    pairs = materialize(pairs.join(fits.select("pattern", "token"), "token"), "lost-pairs")  # without words whose bit another one set
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    p = F.col("c") / F.lit(float(total))
+    whole = pairs.filter("near = ''").select("token", F.col("n").alias("all"))
+    lifts = (
+        pairs.filter("near <> ''").join(counts.select(F.col("token").alias("near"), F.col("n").alias("c")), "near").join(whole, "token")
+        .select("pattern", "token", "near", F.log((F.col("n") + DOUBT * p) / ((F.col("all") + DOUBT) * p)).alias("lift"))
+    )
+    lost = F.col("near").contains(LOST)
+    told = places.filter(~lost & (F.col("near") != "")).join(lifts, ["pattern", "near"]).select("id", "token", "near", "lift")
+    other = places.filter(lost).withColumnRenamed("near", "other").join(lifts.join(fits.select(F.col("pattern").alias("other"), F.col("token").alias("near")), "near"), ["pattern", "other"]).select("id", "token", "near", "lift")
+    near = told.unionByName(other).distinct().groupBy("id").agg(F.collect_list(F.struct("token", "near", "lift")).alias("near"))
+    words = places.filter("near = ''").select("id", "pattern").join(fits.join(whole, "token", "left"), "pattern")
+    words = words.groupBy("id").agg(F.collect_list(F.struct("pattern", "token", "n", F.coalesce("all", F.lit(0.0)).alias("all"))).alias("words"))
+    return words.join(near, "id", "left")
+
+
+def choose(text: str, words: list[dict], near: list[dict]) -> dict[int, tuple[int, str]]:
+    """start -> (end, word) for words with lost letters: Viterbi over all words that fit."""
+    fits, score, unseen = defaultdict(list), {}, {}
+    for x in sorted(words, key=lambda x: x["token"]):
+        fits[x["pattern"]].append(x["token"])
+        score[x["token"]] = math.log(x["n"])
+        unseen[x["token"]] = SHARE * math.log(DOUBT / (x["all"] + DOUBT))
+    extra = defaultdict(list)  # near word -> what it brings more than a word never seen there
+    links = defaultdict(list)
+    for x in near:
+        gain = SHARE * x["lift"] - unseen[x["token"]]
+        extra[x["near"]].append((x["token"], gain))
+        if x["near"] in score:
+            links[x["token"]].append((x["near"], gain))
+    sequence = _sequence(text)
+    only = [w for w, _, _ in sequence]
+    places = [j for j, w in enumerate(only) if w in fits]
+    before: dict[str, float] = {}
+    last, back = None, []
+    for j in places:
+        around = [v for v in _around(only, j) if LOST not in v]
+        now = {c: score[c] + len(around) * unseen[c] for c in fits[only[j]]}
+        for v in around:
+            for c, gain in extra.get(v, ()):
+                if c in now:
+                    now[c] += gain
+        came = dict.fromkeys(now)
+        if before:
+            top = max(before, key=before.get)
+            close = j - last <= NEAR
+            for c in now:
+                best, came[c] = before[top], top
+                for v, gain in links.get(c, ()) if close else ():
+                    if v in before and before[v] + gain > best:
+                        best, came[c] = before[v] + gain, v
+                now[c] += best + (unseen[c] if close else 0.0)
+        back.append(came)
+        before, last = now, j
+    out = {}
+    c = max(before, key=before.get) if before else None
+    for j, came in zip(reversed(places), reversed(back)):
+        out[sequence[j][1]] = (sequence[j][2], c)
+        c = came[c]
+    return out
+
+
+def _fill(text: str, start: int, end: int, chosen: dict[int, tuple[int, str]]) -> str:
+    """The stretch of the text with the words chosen, in the case of what is left of them."""
+    out, at = [], start
+    for m in _RUN.finditer(text, start, end):
+        to, new = chosen.get(m.start(), (0, ""))
+        old = m[0]
+        if to != m.end() or len(new) != len(old):
             continue
-        for m in re.finditer(re.escape(x["pattern"]), chunk.lower()):
-            old, new = chunk[m.start() : m.end()], x["word"]
-            if old[:1].isupper() or old[:1] == LOST and len(old) > 1 and old[1:].isupper():
-                new = new.upper() if len(old) > 1 and old.replace(LOST, "").isupper() and len(old.replace(LOST, "")) > 1 else new.capitalize()
-            if len(new) == len(old):
-                chunk = chunk[: m.start()] + new + chunk[m.end() :]
-    return chunk
+        if old[:1].isupper() or old[:1] == LOST and old[1:].isupper():
+            new = new.upper() if old.replace(LOST, "").isupper() and len(old.replace(LOST, "")) > 1 else new.capitalize()
+        if len(new) == len(old):
+            out += [text[at : m.start()], new]
+            at = m.end()
+    return "".join(out) + text[at:end]
 
 
-def decode(text: str, readings: dict[str, dict[int, tuple[float, str]]]) -> tuple[str, list[int]]:
-    """(restored text, channels used). readings: chunk -> channel -> (gain, reading). A second search knows the channels that damaged the text elsewhere."""
-    _, used = _search(text, readings, {})
-    return _search(text, readings, {k: AGAIN for k in used}) if used else (text, [])
+def decode(text: str, readings: dict[str, dict[int, tuple[float, str]]], chosen: dict[int, tuple[int, str]]) -> tuple[str, list[int]]:
+    """(restored text, channels used). readings: chunk -> channel -> (gain, reading); chosen: words for lost letters. A second search knows the channels that damaged the text elsewhere."""
+    _, used = _search(text, readings, {}, chosen)
+    return _search(text, readings, {k: AGAIN for k in used}, chosen) if used else (text, [])
 
 
-def _search(text: str, readings: dict, enter: dict[int, float]) -> tuple[str, list[int]]:
+def _search(text: str, readings: dict, enter: dict[int, float], chosen: dict[int, tuple[int, str]]) -> tuple[str, list[int]]:
     """Viterbi over the text's chunks."""
     spans = [m for m in CHUNK.finditer(text)]
     states = sorted({k for m in spans for k in readings.get(m[0], ())})
@@ -216,7 +367,7 @@ def _search(text: str, readings: dict, enter: dict[int, float]) -> tuple[str, li
         if k >= 0 and k in readings.get(m[0], {}):
             used.add(k)
             said = readings[m[0]][k][1]
-            out.append(_fill(m[0], json.loads(said)) if k == len(CHANNELS) else said)
+            out.append(_fill(text, m.start(), m.end(), chosen) if k == len(CHANNELS) else said)
         else:
             out.append(m[0])
         at = m.end()
@@ -228,22 +379,26 @@ def _restore(frames):
     names = [c[0] for c in CHANNELS] + ["bytes lost"]
     for pdf in frames:
         out = []
-        for i, text, found in zip(pdf["id"], pdf["text"], pdf["found"]):
+        for i, text, found, words, near in zip(pdf["id"], pdf["text"], pdf["found"], pdf["words"], pdf["near"]):
             readings: dict = {}
             for x in found:
                 readings.setdefault(x["chunk"], {})[x["channel"]] = (x["gain"], x["reading"])
-            fixed, used = decode(text, readings)
+            fixed, used = decode(text, readings, {} if words is None else choose(text, list(words), [] if near is None else list(near)))
             if used:
                 out.append((i, fixed, [names[k] for k in used], LOST not in fixed))
         yield pd.DataFrame(out, columns=["id", "restored", "channels", "whole"])
 
 
-def restore(texts: DataFrame, id_col: str = "id", column: str = "data", counts: DataFrame | None = None) -> DataFrame:
-    """(id, restored, channels, whole) of the damaged texts; whole is false where lost bytes remain."""
+def restore(texts: DataFrame, id_col: str = "id", column: str = "data", counts: DataFrame | None = None, wording: bool = True) -> DataFrame:
+    """(id, restored, channels, whole) of the damaged texts; whole is false where lost bytes remain. Without wording the same texts are found, and lost letters stay lost."""
     counts = materialize(frequencies(texts, column) if counts is None else counts, "word-counts")
     kind = texts.schema[id_col].dataType.simpleString()
     src = spread(texts.select(id_col, column).filter(F.col(column).isNotNull() & F.col(id_col).isNotNull()))
     chunks = materialize(src.mapInPandas(lambda f: _chunks(f, id_col, column), f"id {kind}, chunk string"), "chunks")
     found = chunks.join(scored_readings(chunks, counts), "chunk").groupBy("id").agg(F.collect_list(F.struct("chunk", "channel", "reading", "gain")).alias("found"))
     docs = texts.select(F.col(id_col).alias("id"), F.col(column).alias("text")).join(found, "id")
+    if wording:
+        docs = docs.join(lost_words(src.select(F.col(id_col).alias("id"), F.col(column).alias("text")), counts), "id", "left")
+    else:
+        docs = docs.withColumns({"words": F.lit(None).cast("array<int>"), "near": F.lit(None).cast("array<int>")})
     return docs.mapInPandas(_restore, f"id {kind}, restored string, channels array<string>, whole boolean")

@@ -20,7 +20,7 @@ def p1_pieces(spark, d):
 
 def p2_found(spark, d):
     """Texts that hold a stretch decoded with a wrong encoding."""
-    return encoding.restore(read(spark, d, "texts")).select(F.col("id").alias("text_id")).distinct()
+    return encoding.restore(read(spark, d, "texts"), wording=False).select(F.col("id").alias("text_id")).distinct()
 
 
 def p2_restored(spark, d):

@@ -40,6 +40,18 @@ def test_encoding(spark, damaged):
     assert E.restore(df.limit(0)).count() == 0
 
 
+def test_lost_letters_follow_the_language(spark):
+    rows = ["a casa tem três janelas e o mês foi longo"] * 40 + ["la maison est très belle, il était très tôt"] * 15 + ["el perro quiere más agua"] * 10
+    damaged = {900: "la maison est tr�s belle", 901: "a casa tem tr�s janelas", 902: "el perro quiere m�s agua", 906: "o M�S foi longo", 903: "il �tait tr�s t�t", 904: "x tr�s", 905: "zq�x und �"}
+    df = spark.createDataFrame([*enumerate(rows), *damaged.items()], "id long, data string")
+    out = {r.id: (r.restored, r.whole) for r in E.restore(df).collect()}
+    assert out == {
+        900: ("la maison est très belle", True), 901: ("a casa tem três janelas", True), 902: ("el perro quiere más agua", True), 906: ("o MÊS foi longo", True),
+        903: ("il était très tôt", True), 904: ("x três", True), 905: ("zq�x und �", False),
+    }
+    assert {r.id for r in E.restore(df, wording=False).collect()} == set(damaged)
+
+
 @pytest.mark.parametrize("k", range(len(E.CHANNELS)))
 def test_channels_round_trip(k):
     _, wrong, right, times = E.CHANNELS[k]
