@@ -149,11 +149,16 @@ def written_contents(spark, d):
     return texts.select("hash", F.length("data").alias("chars"))
 
 
-def vocabulary_append(spark, d):
+def vocabulary_append_all(spark, d):
     """Words that texts of odd ids add to those of even ids."""
     t = Corpus(spark, d).table("texts")
     terms = lambda rest: t.filter(F.col("id") % 2 == rest).select(F.explode(T.terms(F.col("data"))).alias("term"))
-    return store.append_vocabulary(terms(0).distinct(), terms(1)).filter(F.col("term").rlike("^[a-z]+$"))
+    return store.append_vocabulary(terms(0).distinct(), terms(1))
+
+
+def vocabulary_append(spark, d):
+    """Those of them that SQL folds alike."""
+    return vocabulary_append_all(spark, d).filter(F.col("term").rlike("^[a-z]+$"))
 
 
 def tidied(spark, d):
@@ -177,7 +182,7 @@ def last_runs(spark, d):
     return Corpus(spark, d).table("index_runs").groupBy("status").agg(F.count("*").alias("runs"), F.max("run_id").alias("last"))
 
 
-QUERIES = {f.__name__: f for f in (index_stats, problem_counts, problem_list, problem_page, problem_reasons, retry, text_reasons, machine_names, dataset_folders, estimate, diagnosis, unreadable_files, crawled, ignored, crawl_targets, access, wants_content, work_order, text_dedup, duplicate_groups, hard_links, folded_hits, index_diff, index_diff_protected, moved_files, written_contents, vocabulary_append, tidied, metadata_text, stale_reads, last_runs)}
+QUERIES = {f.__name__: f for f in (index_stats, problem_counts, problem_list, problem_page, problem_reasons, retry, text_reasons, machine_names, dataset_folders, estimate, diagnosis, unreadable_files, crawled, ignored, crawl_targets, access, wants_content, work_order, text_dedup, duplicate_groups, hard_links, folded_hits, index_diff, index_diff_protected, moved_files, written_contents, vocabulary_append, vocabulary_append_all, tidied, metadata_text, stale_reads, last_runs)}
 
 _Q = lambda xs: ", ".join(f"'{x}'" for x in xs)
 _MEDIA, _DOCS, _OCR = _Q(paths.MEDIA_EXTS), _Q(paths.DOCUMENT_EXTS), _Q(paths.OCR_EXTS)

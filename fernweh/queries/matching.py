@@ -81,13 +81,21 @@ def vocabulary_long(spark, d):
     return search.vocabulary(Corpus(spark, d)).filter("is_long").select("term", "df")
 
 
-def vocabulary_lookup(spark, d):
-    """Words by a part, an ending and a beginning."""
-    v = search.vocabulary(Corpus(spark, d)).filter(F.col("term").rlike("^[a-z]+$"))
+def _lookup(v):
     case = F.when(F.col("term").contains("arl"), "part").when(F.col("term").endswith("tion"), "end").when(F.col("term").startswith("sub"), "start")
     return v.select("term", case.alias("by")).filter("by IS NOT NULL")
 
 
+def vocabulary_lookup(spark, d):
+    """Words by a part, an ending and a beginning."""
+    return _lookup(search.vocabulary(Corpus(spark, d)).filter(F.col("term").rlike("^[a-z]+$")))
+
+
+def vocabulary_lookup_all(spark, d):
+    """The same among all words."""
+    return _lookup(search.vocabulary(Corpus(spark, d)))
+
+
 def keyword_all(spark, d):
     c = Corpus(spark, d)
     return search.keyword_ids(c, ["saffron", "narrow"]).select("id")
@@ -130,6 +138,12 @@ def typo_terms(spark, d):
     return search.similar_terms(v, "saffrno").unionByName(search.similar_terms(v, "barly"))
 
 
+def typo_terms_all(spark, d):
+    """The same among all words."""
+    v = search.vocabulary(Corpus(spark, d))
+    return search.similar_terms(v, "saffrno").unionByName(search.similar_terms(v, "barly"))
+
+
 def did_you_mean(spark, d):
     """The nearest word of the vocabulary."""
     return search.similar_terms(search.vocabulary(Corpus(spark, d)), "schedlue").limit(1)
@@ -149,6 +163,11 @@ def stems(spark, d):
     return v.select("term", T.stem(F.col("term")).alias("stem"))
 
 
+def stems_all(spark, d):
+    """The same of all words, those with digits or of other alphabets included."""
+    return search.vocabulary(Corpus(spark, d)).select("term", T.stem(F.col("term")).alias("stem"))
+
+
 def fuzzy_candidates(spark, d):
     """Names that hold the letters in order."""
     c = Corpus(spark, d)
@@ -254,7 +273,7 @@ def strong_hits(spark, d):
 
 
 QUERIES = {name: _counts(text) for name, (text, _) in COUNTS.items()}
-QUERIES |= {f.__name__: f for f in (all_words, whole_word, name_regex, find_ranked, fold_terms, fold_terms_all, vocabulary_long, vocabulary_lookup, keyword_all, keyword_any, keyword_without, keyword_prefix, keyword_fallback, phrase_words, document_frequency, typo_terms, did_you_mean, identifiers, name_tokens, stems, fuzzy_candidates, fuzzy_names, typo_names, group_or, group_and, lines_found, lines_pages, lines_folded, lines_clipped, lines_around, line_range, page_starts, highlight_ranges, match_counts, bm25, rrf, paged, strong_hits)}
+QUERIES |= {f.__name__: f for f in (all_words, whole_word, name_regex, find_ranked, fold_terms, fold_terms_all, vocabulary_long, vocabulary_lookup, vocabulary_lookup_all, keyword_all, keyword_any, keyword_without, keyword_prefix, keyword_fallback, phrase_words, document_frequency, typo_terms, typo_terms_all, did_you_mean, identifiers, name_tokens, stems, stems_all, fuzzy_candidates, fuzzy_names, typo_names, group_or, group_and, lines_found, lines_pages, lines_folded, lines_clipped, lines_around, line_range, page_starts, highlight_ranges, match_counts, bm25, rrf, paged, strong_hits)}
 
 _NAMES = rf"(SELECT id, unnest(list_distinct(regexp_extract_all({FOLD.format('name')} || ' ' || {FOLD.format(chr(39) + chr(39))}, {WORDS}))) AS term FROM files)"
 _SPLIT = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '([\p{{Ll}}\p{{N}}])(\p{{Lu}})', '\1 \2', 'g'), '(\p{{Lu}})(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g'), '(\p{{L}})(\p{{N}})', '\1 \2', 'g'), '(\p{{N}})(\p{{L}})', '\1 \2', 'g')"

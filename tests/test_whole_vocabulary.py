@@ -36,3 +36,16 @@ def test_fold_terms_of_all_texts(spark, folder):
         got = {r.id: r.terms for r in entry.queries()["fold_terms_all"](spark, d).collect()}
         assert got.keys() == texts.keys()
         assert {i: got[i] for i, t in texts.items() if t is not None} == {i: len(words(t)) for i, t in texts.items() if t is not None}
+
+
+def test_queries_reach_all_words(spark, tmp_path):
+    texts = ["barl7 barley barly7 книгами книгаs x7ings ab", "супtion подsub subй éarlß naïves barl7 ab", None]
+    d = str(tmp_path)
+    spark.createDataFrame(list(enumerate(texts)), "id long, data string").write.parquet(f"{d}/texts.parquet")
+    run = lambda name: entry.queries()[name](spark, d).collect()
+    vocabulary = set().union(*(words(t) for t in texts if t))
+    stems = {r.term: r.stem for r in run("stems_all")}
+    assert stems == {w: w for w in vocabulary} | {"книгаs": "книга", "naives": "naiv"}
+    assert {(r.term, r.by) for r in run("vocabulary_lookup_all")} == {("barl7", "part"), ("barley", "part"), ("barly7", "part"), ("earlß", "part"), ("супtion", "end"), ("subй", "start")}
+    assert {(r.term, r.distance) for r in run("typo_terms_all")} == {("barl7", 1), ("barley", 1), ("barly7", 1)}
+    assert {r.term for r in run("vocabulary_append_all")} == words(texts[1]) - words(texts[0])
