@@ -3,7 +3,8 @@
 Balanced posting lists: a sample is clustered by repeated balanced splits until its leaves are small; the leaves'
 centroids, linked to their nearest ones, are a graph that is held in memory and searched greedily. Each vector is
 put into the list of its nearest centroid and, where it lies near a boundary, into the next ones too; a query visits
-the lists whose centroid is at most a given ratio farther than the nearest one. Lists are kept in groups of near ones,
+the lists whose centroid is at most a given ratio farther than the nearest one, however many these are: where the
+graph's beam ends within the ratio, as in dense regions, all centroids are compared. Lists are kept in groups of near ones,
 so that a vector travels once per group, and a group that holds too many vectors is cut into blocks that are searched
 one by one: an overfull list costs more tasks, not more memory in one.
 
@@ -37,7 +38,7 @@ SAMPLE = 100_000
 LEAF, LEAF_LEAST = 64, 8  # vectors per leaf of the whole collection that lists are aimed at; sample vectors per leaf, at least
 GROUP = 4_000  # vectors per group of lists
 REPLICAS, CLOSURE = 4, 1.12  # lists a vector is put into, and how much farther than the nearest they may be
-PROBES, RATIO, PROBES_LEAST = 24, 1.45, 6
+PROBES, RATIO, PROBES_LEAST = 24, 1.45, 6  # PROBES is the graph's beam, no limit to the lists that are visited
 BLOCK = 20_000
 
 
@@ -131,7 +132,8 @@ def _unit(frames, dim: int):
 
 
 def _place(frames, index: Index):
-    """(entry, vec, grp, lists, probes) per group of lists that the vector is in or that its search visits."""
+    """(entry, vec, grp, lists, probes) per group of lists that the vector is in or that its search visits; probes -1 is all of a group's lists."""
+    sizes = np.bincount(index.group)
     for pdf in frames:
         if not len(pdf):
             continue
@@ -139,17 +141,24 @@ def _place(frames, index: Index):
         out = []
         step = max(64, 4_000_000 // len(index.cents))  # bounds what a search remembers
         for lo in range(0, len(x), step):
-            best, d = index.near(x[lo : lo + step], PROBES)
-            d0 = d[:, :1]
+            part = x[lo : lo + step]
+            best, d = index.near(part, PROBES)
             slack = 0.02  # so that vectors on a centroid still look around
-            member = (d <= (d0 + slack) * CLOSURE**2) & (np.arange(d.shape[1]) < REPLICAS)
-            probe = (d <= (d0 + slack) * RATIO**2) | (np.arange(d.shape[1]) < PROBES_LEAST)
-            groups = index.group[best]
+            wide = np.flatnonzero((d[:, -1] <= (d[:, 0] + slack) * RATIO**2) & (best.shape[1] < len(index.cents)))
+            every = dict(zip(wide.tolist(), np.maximum(2 - 2 * part[wide] @ index.cents.T, 0)))
             for i in range(len(best)):
-                for g in np.unique(groups[i][probe[i]]):
-                    own = groups[i] == g
-                    k = lo + i
-                    out.append((pdf["entry"].iat[k], pdf["vec"].iat[k], int(g), best[i][own & member[i]].astype(np.int32).tolist(), best[i][own & probe[i]].astype(np.int32).tolist()))
+                b, far = best[i], d[i]
+                if i in every:
+                    b = np.argsort(every[i], kind="stable")
+                    far = every[i][b]
+                place = np.arange(len(b))
+                member = (far <= (far[0] + slack) * CLOSURE**2) & (place < REPLICAS)
+                probe = (far <= (far[0] + slack) * RATIO**2) | (place < PROBES_LEAST)
+                groups, k = index.group[b], lo + i
+                for g in np.unique(groups[probe]):
+                    own = groups == g
+                    asked = b[own & probe].astype(np.int32).tolist()
+                    out.append((pdf["entry"].iat[k], pdf["vec"].iat[k], int(g), b[own & member].astype(np.int32).tolist(), asked if len(asked) < sizes[g] else [-1]))
         yield pd.DataFrame(out, columns=["entry", "vec", "grp", "lists", "probes"])
 
 
@@ -162,6 +171,7 @@ def _search(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
     m = np.frombuffer(b"".join(member["vec"]), dtype=np.float32).reshape(len(member), -1)
     q = np.frombuffer(b"".join(query["vec"]), dtype=np.float32).reshape(len(query), -1)
     in_list: dict[int, list[int]] = {}
+    in_list[-1] = list(range(len(member)))
     asks: dict[int, list[int]] = {}
     for i, lists in enumerate(member["lists"]):
         for x in lists:
@@ -175,8 +185,9 @@ def _search(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
         mi = np.array(in_list.get(x, ()), dtype=np.int64)
         if not len(mi):
             continue
-        for lo in range(0, len(qi), 4096):
-            rows = np.array(qi[lo : lo + 4096])
+        step = min(4096, max(64, 4_000_000 // len(mi)))  # bounds the products held at once
+        for lo in range(0, len(qi), step):
+            rows = np.array(qi[lo : lo + step])
             sims = q[rows] @ m[mi].T
             kk = min(k + 1, len(mi))
             top = np.argpartition(-sims, kk - 1, axis=1)[:, :kk]

@@ -27,6 +27,23 @@ def test_recall_against_brute_force(spark):
     assert recall > 0.95 and all(len(v) == 5 for v in got.values())
 
 
+def test_recall_in_one_dense_cluster(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 128))
+    dense, n = 5000, 15_000
+    one = rng.normal(size=128)
+    x = np.concatenate((one + 0.22 * rng.normal(size=(dense, 128)), centres[rng.integers(0, 40, n - dense)] + 0.8 * rng.normal(size=(n - dense, 128)))).astype(np.float32)
+    pdf = N.nearest(frame(spark, x.tolist())).toPandas()
+    got = pdf[pdf.hash < f"{dense:032x}"].groupby("hash").other.agg(set)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u[:dense] @ u.T
+    s[np.arange(dense), np.arange(dense)] = -9
+    top = np.argpartition(-s, 4, axis=1)[:, :5]
+    recall = sum(len(got[f"{i:032x}"] & {f"{j:032x}" for j in top[i]}) for i in range(dense)) / (5 * dense)
+    print("recall in the dense cluster", recall)
+    assert recall > 0.99
+
+
 def test_defined_cases(spark):
     e = lambda k: [1.0 if i == k else 0.0 for i in range(128)]
     vecs = [e(0), e(0), [2 * a for a in e(0)], e(1), None, e(2)[:100], [0.0] * 128, [float("nan")] * 128, e(0)]
