@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from fernweh.operators import incremental
-from fernweh.runtime import read
+from fernweh.runtime import read, shared_path
 
 
 def p3_found(spark, d):
-    """Files that the next run has to read, per stage."""
-    return incremental.due(*[read(spark, d, t) for t in ("files", "content_map", "vec_files", "index_runs", "ocr_cache")])
+    """Files that the next run has to read, per stage: what the logs say is done becomes a version of the state, and the current rows are compared with that."""
+    files, content_map, vec_files, index_runs, ocr_cache = [read(spark, d, t) for t in ("files", "content_map", "vec_files", "index_runs", "ocr_cache")]
+    state = incremental.RunState(spark, shared_path(spark, "run-state"))
+    state.commit(incremental.done(vec_files, index_runs, ocr_cache))
+    return incremental.due(files, content_map, state.load(incremental.STATE))
 
 
 QUERIES = {"p3_found": p3_found}

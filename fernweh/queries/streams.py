@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import functions as F
 
 from fernweh.corpus import Corpus
-from fernweh.operators.incremental import RunState
-from fernweh.runtime import shared_dir
+from fernweh.operators.incremental import RunState, content_hash
+from fernweh.runtime import shared_path
 from fernweh.sources import extract, sinks
 from fernweh.streaming import changes
 
 
-def _folder(spark, label):
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+_folder = shared_path
 
 
 def applied_changes(spark, d):
@@ -36,14 +33,14 @@ def streamed_frecency(spark, d):
     """Opens folded by a stream that reads the table in micro-batches until it is through."""
     schema = spark.read.parquet(f"{d}/opens.parquet").schema
     src = spark.readStream.schema(schema).parquet(f"{d}/opens.parquet*")
-    # watermarks need a time with a zone; the table's are UTC
-    src = src.withColumn("ts", F.col("ts").cast("timestamp"))
+    # watermarks need a time with a zone; the table's are UTC. Rows are in order of logged_at, to which the watermark is bound
+    src = src.withColumns({"ts": F.col("ts").cast("timestamp"), "logged_at": F.col("logged_at").cast("timestamp")})
     out, mark = _folder(spark, "frecency"), _folder(spark, "frecency-log")
 
     def keep(batch, n):
         batch.write.mode("overwrite").parquet(f"{out}/b={n}")
 
-    folded = src.filter("path IS NOT NULL").dropDuplicates(["path", "ts", "via"]).groupBy("path").agg(F.count("*").alias("count"), F.max("ts").alias("last"))
+    folded = changes.frecency_stream(src, "1 day", "logged_at")
     q = folded.writeStream.outputMode("update").option("checkpointLocation", mark).trigger(availableNow=True).foreachBatch(keep).start()
     q.awaitTermination()
     rows = spark.read.parquet(out)
@@ -51,17 +48,32 @@ def streamed_frecency(spark, d):
 
 
 def versioned_state(spark, d):
-    """Two runs of the incremental selection: the second finds only what changed between them."""
-    c = Corpus(spark, d)
-    from fernweh.operators.incremental import content_hash
-
+    """Three runs over a catalog that changes between them. The first of them dies midway and is run again; the second is beaten to its version by another. What all committed runs returned is each record once per content it had."""
+    files = Corpus(spark, d).files.filter(~F.col("is_dir")).select("id", "size", "mtime")
+    hashed = lambda f: f.withColumn("content_hash", content_hash(F.col("size"), F.col("mtime")))
     state = RunState(spark, _folder(spark, "run-state"))
-    rows = c.files.filter(~F.col("is_dir")).select("id", content_hash(F.col("size"), F.col("mtime")).alias("content_hash"))
-    state.run(rows, ["id"], lambda fresh: None)
-    after = c.files.filter(~F.col("is_dir")).withColumn("size", F.when(F.col("id") % 23 == 0, F.col("size") + 1).otherwise(F.col("size"))).select("id", content_hash(F.col("size"), F.col("mtime")).alias("content_hash"))
-    from fernweh.operators.incremental import changed_rows
 
-    return changed_rows(after, state.load("id bigint, content_hash string"), ["id"]).select("id")
+    def dies(fresh):
+        fresh.write.format("noop").mode("overwrite").save()
+        raise OSError("lost")
+
+    try:
+        state.run(hashed(files), ["id"], dies)
+    except OSError:
+        pass
+    state.run(hashed(files), ["id"], lambda fresh: fresh.select("id", "size"))
+    after = hashed(files.withColumn("size", F.when(F.col("id") % 23 == 0, F.col("size") + 1).otherwise(F.col("size"))))
+
+    def beaten(fresh):
+        state.run(after, ["id"], lambda fresh: fresh.select("id", "size"))
+        return fresh.select("id", "size")
+
+    try:
+        state.run(after, ["id"], beaten)
+    except RuntimeError:
+        pass
+    state.run(after, ["id"], lambda fresh: fresh.select("id", "size"))
+    return state.outputs("id bigint, size bigint")
 
 
 def html_texts(spark, d):
@@ -102,7 +114,7 @@ SQL = {
     "coalesced_events": r"""WITH c AS (SELECT DISTINCT path FROM opens WHERE path IS NOT NULL), k AS (SELECT path, CASE WHEN regexp_extract(path, '^(.*)/[^/]*$', 1) = '' THEN '/' ELSE regexp_extract(path, '^(.*)/[^/]*$', 1) END AS dir FROM c WHERE NOT EXISTS (SELECT 1 FROM c x WHERE starts_with(c.path, x.path || '/'))),
         b AS (SELECT dir FROM k WHERE dir = '/home/u' OR starts_with(dir, '/home/u/') GROUP BY dir HAVING count(*) > 5) SELECT path FROM k WHERE dir NOT IN (SELECT dir FROM b) UNION ALL SELECT dir FROM b""",
     "streamed_frecency": "SELECT path, count(*) AS count, epoch_us(max(ts)) AS last_us FROM (SELECT DISTINCT path, ts, via FROM opens WHERE path IS NOT NULL) GROUP BY path",
-    "versioned_state": "SELECT id FROM files WHERE NOT is_dir AND id % 23 = 0",
+    "versioned_state": "SELECT id, size FROM files WHERE NOT is_dir UNION ALL SELECT id, size + 1 FROM files WHERE NOT is_dir AND id % 23 = 0",
     "merged_pages": "SELECT id, sha256(data) AS sha FROM texts t WHERE contains(data, chr(12))",
     "json_lines": """SELECT '{"id":' || id || ',"path":"' || path || '","size":' || size || '}' AS line FROM files WHERE ext = 'csv'""",
 }

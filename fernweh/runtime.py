@@ -31,18 +31,47 @@ def session(cores: int | str = "*", app: str = "fernweh", memory: str = "8g") ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: what the cluster names in spark.checkpoint.dir, a new local one only where that is unset."""
+    """The folder all executors share: what the session names in spark.checkpoint.dir. Only a local session, whose executors are the driver, may go without and gets one of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), f"fernweh-{os.getpid()}")
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def filesystem(spark: SparkSession, path: str):
+    """(file system, path) as Hadoop's objects."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+_written: dict[str, list[str]] = {}
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; it is deleted by `release`, or when the driver ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    fs, p = filesystem(spark, path)
+    fs.deleteOnExit(p)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables this application has written to cut lineage; frames that read them can't be used any more."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        fs, p = filesystem(spark, path)
+        fs.delete(p, True)
+    return len(paths)
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Cuts lineage by a table in the shared folder; a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -50,9 +50,9 @@ def coalesced(changed: DataFrame, roots: list[str], per_folder: int = PER_FOLDER
     return None if n > most else now
 
 
-def frecency_stream(opens: DataFrame) -> DataFrame:
-    """Counters per path over a stream of opens; a repeated row within the watermark counts once."""
-    return opens.filter("path IS NOT NULL").withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["path", "ts", "via"]).groupBy("path").agg(F.count("*").alias("count"), F.max("ts").alias("last"))
+def frecency_stream(opens: DataFrame, late: str = "1 day", on: str = "ts") -> DataFrame:
+    """Counters per path over a stream of opens; a row repeated while the watermark on `on` lasts counts once, so that what is remembered for that is bounded by time."""
+    return opens.filter("path IS NOT NULL").withWatermark(on, late).dropDuplicatesWithinWatermark(["path", "ts", "via"]).groupBy("path").agg(F.count("*").alias("count"), F.max("ts").alias("last"))
 
 
 def quiet_batches(events: DataFrame, gap: str = "1 second") -> DataFrame:
@@ -60,12 +60,39 @@ def quiet_batches(events: DataFrame, gap: str = "1 second") -> DataFrame:
     return events.withWatermark("ts", "10 seconds").groupBy(F.session_window("ts", gap), "folder").agg(F.count("*").alias("events"), F.max("ts").alias("last"))
 
 
-def sink_latest(state: RunState, key: str, order: str, schema: str):
-    """A foreachBatch sink that keeps the last row per key in versioned state; a repeated batch leaves it as it is."""
-    def write(batch: DataFrame, _: int) -> None:
-        state.commit(latest(state.load(schema).unionByName(batch.select(*state.load(schema).columns)), key, order))
+class LatestTable(RunState):
+    """The last row per key of a stream, as a state table and the deltas of the batches since; a batch writes its own rows only, and every `most` batches the deltas are folded into the state. Batches that come again are known by their number."""
 
-    return write
+    def __init__(self, spark, folder: str, key: str, order: str, schema: str, most: int = 16):
+        super().__init__(spark, folder)
+        self.key, self.order, self.schema, self.most = key, order, schema, most
+
+    def _said(self) -> tuple[int, dict]:
+        v = self.version()
+        return v, self.committed(v) if v else {"state": None, "deltas": [], "batch": -1}
+
+    def _read(self, said: dict) -> DataFrame:
+        names = [n for n in [said["state"], *said["deltas"]] if n]
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.folder}/{n}" for n in names]) if names else self.spark.createDataFrame([], self.schema)
+
+    def rows(self) -> DataFrame:
+        return latest(self._read(self._said()[1]), self.key, self.order)
+
+    def apply(self, batch: DataFrame, number: int) -> None:
+        v, said = self._said()
+        if number <= said["batch"]:
+            return
+        delta = self._write(latest(batch.select(*self._read(said).columns), self.key, self.order), "delta")
+        new = {"state": said["state"], "deltas": [*said["deltas"], delta], "batch": number}
+        if len(new["deltas"]) >= self.most:
+            new |= {"state": self._write(latest(self._read(new), self.key, self.order), "state"), "deltas": []}
+        if not self._claim(v + 1, new):
+            raise RuntimeError(f"another stream has committed version {v + 1}")
+
+
+def sink_latest(table: LatestTable):
+    """A foreachBatch sink that keeps the last row per key."""
+    return table.apply
 
 
 def first_events(events: DataFrame, key: str, order: str) -> DataFrame:
