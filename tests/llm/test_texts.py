@@ -128,31 +128,55 @@ def test_lookalike_reading_depends_on_looks_only():
     assert K.plain("👩‍💻 a‍b") == "👩‍💻 ab" and K.skeleton("ﬁnal x²") == "final x²"
 
 
-def brute(doc, item, least=20, apart=8):
-    """Longest stretch by trying all starts and single edits."""
+def brute(doc, item, apart=8):
+    """Longest stretch by filling all cells: words of the item by (words since the last edit) at each pair of positions."""
     a, b = L.words(doc), L.words(item)
+    cell = {}
     best = 0
-    for i in range(len(b)):
-        for d in range(len(a)):
-            if a[d] != b[i]:
-                continue
-            x, y, since, top, last = d, i, None, 0, i
-            while x < len(a) and y < len(b):
-                if a[x] == b[y]:
-                    x, y = x + 1, y + 1
-                    last, since = y, (since + 1 if since is not None else None)
-                    top = last - i
-                elif since is not None and since < apart:
-                    break
-                else:
-                    nxt = [(dx, dy) for dx, dy in ((1, 1), (1, 0), (0, 1)) if a[x + dx : x + dx + 3] == b[y + dy : y + dy + 3] != []]
-                    if not nxt:
-                        break
-                    x, y, since = x + nxt[0][0], y + nxt[0][1], 0
-            best = max(best, top)
+    for d in range(len(a) + 1):
+        for i in range(len(b) + 1):
+            now = {apart: 0}
+            if d and i and a[d - 1] == b[i - 1]:
+                for s, n in cell[d - 1, i - 1].items():
+                    now[min(apart, s + 1)] = max(now.get(min(apart, s + 1), 0), n + 1)
+                best = max(best, *now.values())
+            for x, y, n in ((d - 1, i - 1, 1), (d, i - 1, 1), (d - 1, i, 0)):
+                if x >= 0 and y >= 0 and cell[x, y][apart] and not (n and x < d and a[d - 1] == b[i - 1]):
+                    now[0] = max(now.get(0, 0), cell[x, y][apart] + n)
+            cell[d, i] = now
     return best
 
 
+def coded(doc, item):
+    items = L.Items([(1, item)])
+    return bool(items.found(L.np.array([items.ids.get(x, 0) for x in L.words(doc)], dtype=L.np.int32)))
+
+
+def test_a_clean_stretch_beside_a_densely_edited_one():
+    w = [f"w{k}" for k in range(100)]
+    edited = ["x" if k % 6 == 5 else x for k, x in enumerate(w[:70])]
+    assert not coded(" ".join(edited), " ".join(w))
+    assert coded(" ".join(edited + w[10:32]), " ".join(w)) and coded(" ".join(w[10:32] + edited), " ".join(w))
+    assert not coded(" ".join(edited + w[10:29]), " ".join(w)) and coded(" ".join(edited + w[10:30]), " ".join(w))
+    assert coded(" ".join(w[:10] + ["x"] + w[11:19] + w[20:30]), " ".join(w)) and not coded(" ".join(w[:6] + w[7:10] + ["x"] + w[11:20]), " ".join(w))
+
+
+def test_stretches_equal_those_of_all_paths():
+    rng = random.Random(12)
+    shown = 0
+    for _ in range(150):
+        item = [rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(1, 2) for _ in range(rng.randint(20, 40))]
+        doc = list(item[rng.randrange(0, 8) :])
+        for _ in range(rng.randint(0, 3)):
+            at, act = rng.randrange(len(doc)), rng.randrange(4)
+            doc[at : at + 1] = [["zz9"], [], [doc[at], "q9"], [doc[at], doc[at]]][act]
+        doc = ["x1", "x2", *doc, *item[: rng.randint(0, 12)]]
+        a, b = " ".join(doc), " ".join(item)
+        assert coded(a, b) == (brute(a, b) >= 20), (a, b)
+        shown += brute(a, b) >= 20
+    assert 30 < shown < 140
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(4)
     vocab = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(300)]
@@ -173,9 +197,8 @@ def test_leaks_against_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, item_id int")
     ev = spark.createDataFrame([(i, p, "q") for i, p in items], "item_id long, passage string, text string")
     got = set(map(tuple, L.leaks(df, ev).collect()))
-    sure = {(d, i) for d, t in docs for i, p in items if p and brute(t, p) >= 22}
-    never = {(d, i) for d, t in docs for i, p in items if p and brute(t, p) < 18}
-    assert sure <= got and not (never & got) and len(sure) > 15 and len(got) < 60
+    want = {(d, i) for d, t in docs for i, p in items if p and d % 12 == i and brute(t, p) >= 20}
+    assert got == want and 15 < len(want) < 60
     assert L.leaks(df.limit(0), ev).count() == 0 and L.leaks(df, ev.limit(0)).count() == 0
 
 
