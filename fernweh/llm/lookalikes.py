@@ -33,32 +33,86 @@ LOOKALIKES = {
     "a": "аα", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "іⅰ", "j": "јϳ", "l": "ӏ", "o": "оοօ", "p": "рρ", "q": "ԛ", "s": "ѕ", "v": "νѵ", "w": "ԝ", "x": "х", "y": "уү",
     "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "H": "НΗ", "I": "ІΙӀ", "J": "Ј", "K": "КΚ", "M": "МΜ", "N": "Ν", "O": "ОΟ", "P": "РΡ", "Q": "Ԛ", "S": "Ѕ", "T": "ТΤ", "W": "Ԝ", "X": "ХΧ", "Y": "ΥҮ", "Z": "Ζ",
 }
-# Characters without a look of their own, kinds of space, kinds of hyphen.
-IGNORABLE = "­͏؜ᅟᅠ឴឵᠋᠌᠍᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩︀︁︂︃︄︅︆︇︈︉︊︋︌︍︎️﻿"
-SPACES = "               　"
-HYPHENS = "‐‑‒⁃﹣－"
-
+# Letters of Cherokee that look like the Latin letter they stand behind.
+CHEROKEE = {"A": "Ꭺ", "B": "Ᏼ", "C": "Ꮯ", "D": "Ꭰ", "E": "Ꭼ", "G": "Ꮐ", "H": "Ꮋ", "J": "Ꭻ", "K": "Ꮶ", "L": "Ꮮ", "M": "Ꮇ", "P": "Ꮲ", "R": "Ꭱ", "S": "Ꮪ", "T": "Ꭲ", "V": "Ꮩ", "W": "Ꮃ", "Y": "Ꭹ", "Z": "Ꮓ"}
+LOOKALIKES = {base: LOOKALIKES.get(base, "") + CHEROKEE.get(base, "") for base in [*LOOKALIKES, *(x for x in CHEROKEE if x not in LOOKALIKES)]}
+# Kinds of hyphen; format characters that have a look; characters that have none though their category doesn't say so.
+HYPHENS = "\u2010\u2011\u2012\u2043\ufe63\uff0d"
+SEEN = "\u0600\u0601\u0602\u0603\u0604\u0605\u06dd\u070f\u0890\u0891\u08e2\ufff9\ufffa\ufffb\U000110bd\U000110cd"
+BLANK = "\u00ad\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0"
+
+
+def _table() -> dict[int, str | None]:
+    """What each character is read as, from the properties of all characters: characters without a look are dropped, kinds of space and hyphen are one, and characters that are another one in another width, font or place, or several in one, are those. Raised, lowered and encircled ones stay, since they look different."""
+    one: dict[int, str | None] = {}
+    for o in (*range(0x80, 0x20000), *range(0xE0000, 0xE1000)):
+        c = chr(o)
+        kind = unicodedata.category(c)
+        variant = 0x180B <= o <= 0x180F or 0xFE00 <= o <= 0xFE0F or o >= 0xE0000
+        if c in BLANK or variant or kind == "Cf" and c not in SEEN:
+            one[o] = None
+        elif kind == "Zs":
+            one[o] = " "
+        elif c in HYPHENS:
+            one[o] = "-"
+    plain: dict[int, str | None] = dict(one)
+    for o in (*range(0x80, 0xAC00), *range(0xF900, 0x20000)):
+        form, c = unicodedata.decomposition(chr(o)), chr(o)
+        if o in one or not form.startswith("<"):
+            continue
+        tag = form[1 : form.index(">")]
+        whole = unicodedata.normalize("NFKC", c)
+        several = tag == "compat" and (unicodedata.category(c)[0] == "L" and len(whole) > 1 and whole.isalpha() or set(whole) == {"."} or 0x2160 <= o < 0x2180)
+        if tag in ("wide", "narrow", "small", "font", "square", "isolated", "initial", "medial", "final") or several:
+            if 0xFFA1 <= o <= 0xFFDC:  # jamo stay apart
+                whole = chr(int(form.split()[1], 16))
+            plain[o] = "".join(one.get(ord(x), x) or "" for x in whole)
+    plain[0xB5] = "\u03bc"
+    del plain[0x200D]  # joins pictographs; elsewhere it is dropped before
+    return plain
+
+
+_PLAIN = _table()
+IGNORABLE = "".join(chr(o) for o, said in _PLAIN.items() if said is None)
 CLASS = {x: base for base, others in LOOKALIKES.items() for x in base + others}
-_PLAIN = str.maketrans({**{c: None for c in IGNORABLE if c != "‍"}, **{c: " " for c in SPACES}, **{c: "-" for c in HYPHENS}, "µ": "μ"})
 _SKELETON = str.maketrans({x: base for x, base in CLASS.items() if x != base})
-_JOINER = re.compile("(?<![\U0001f000-\U0001faff☀-➿️])‍|‍(?![\U0001f000-\U0001faff☀-➿])")
-_COMPAT = re.compile("[㌀-㏿豈-﫿ﬀ-ﬆﬓ-ﬗ！-￮Ǆ-ǌǱ-ǳĲĳ․-…﹐-﹫]+")
-_SPECIAL = re.compile(f"[{IGNORABLE}{SPACES}{HYPHENS}µ̀-゙゚ͯ̀-ͅKÅΩ]|{_COMPAT.pattern}")
+_PICTURE = "\U0001f000-\U0001faff\u2600-\u27bf"
+_JOINER = re.compile(f"(?<![{_PICTURE}\ufe0f])\u200d|\u200d(?![{_PICTURE}])")
+_FLAG = re.compile("\U0001f3f4[\U000e0020-\U000e007f]+")  # tags spell the flags of regions
+
+
+def _ranges(codes) -> str:
+    """A character class of the codes."""
+    out, codes = [], sorted(codes)
+    for o in codes:
+        if out and o == out[-1][1] + 1:
+            out[-1][1] = o
+        else:
+            out.append([o, o])
+    return "".join(re.escape(chr(a)) + (f"-{re.escape(chr(b))}" if b > a else "") for a, b in out)
+
+
+_SPECIAL = re.compile(f"[{_ranges([*_PLAIN, 0x200D])}]")
 _WORD = re.compile(r"(?:[^\W\d_][̀-ͯ]*)+")
 _OPEN_ASCII = re.compile(rf"(?<![A-Za-z])[{''.join(sorted(LOOKALIKES))}]+(?![A-Za-z])")
 _ONLY_LATIN = re.compile("[A-Za-zÀ-ɏ̀-ͯ]+")
-_LATIN_ANCHOR = re.compile(f"[bfkmnrtuzDFGLRUVÀ-ɏ]")
+_LATIN_ANCHOR = re.compile("[bfkmnrtuzFNUÀ-ɏ]")  # letters that no other script has
 
 SWITCH = 1e4  # no word of under 500 letters gains as much by its bigrams
 
 
 def plain(text: str) -> str:
     """Compatibility normalization and deletion of ignorable characters; composed accents."""
-    if text.isascii() or not (_SPECIAL.search(text)):
-        return text if text.isascii() else unicodedata.normalize("NFC", text)
-    if "‍" in text:
-        text = _JOINER.sub("", text)
-    text = _COMPAT.sub(lambda m: unicodedata.normalize("NFKC", m[0]), text.translate(_PLAIN))
+    if text.isascii():
+        return text
+    if _SPECIAL.search(text):
+        if "\u200d" in text:
+            text = _JOINER.sub("", text)
+        if "\U0001f3f4" in text and (flags := _FLAG.findall(text)):
+            parts = _FLAG.split(text)
+            text = "".join(x for part, flag in zip(parts, [*flags, ""]) for x in (part.translate(_PLAIN), flag))
+        else:
+            text = text.translate(_PLAIN)
     return unicodedata.normalize("NFC", text)
 
 
@@ -76,7 +130,7 @@ def script(c: str) -> str:
         return "L"
     if 0x370 <= o < 0x400 or 0x1F00 <= o < 0x2000:
         return "G"
-    return "C" if 0x400 <= o < 0x530 else "-"
+    return "C" if 0x400 <= o < 0x530 else "K" if 0x13A0 <= o < 0x1400 else "-"
 
 
 class Reader:
@@ -161,7 +215,7 @@ def _count(frames, column: str):
 
 
 def bigrams(docs: DataFrame, column: str = "text") -> DataFrame:
-    """(pair, n): counts of letter pairs over all texts. Letters are those of three scripts, so the table has a bound that no collection exceeds."""
+    """(pair, n): counts of letter pairs over all texts. Letters are those of four scripts, so the table has a bound that no collection exceeds."""
     return spread(docs.select(column)).mapInPandas(lambda frames: _count(frames, column), "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
@@ -203,3 +257,10 @@ def same_look(docs: DataFrame, id_col: str = "doc_id", column: str = "text") ->
     second = f.select(F.col("text_hash").alias("tb"), F.col(id_col).alias("y"))
     both = pairs.join(first, "ta").join(second, "tb")
     return both.filter("x != y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
+
+
+def look_classes(docs: DataFrame, id_col: str = "doc_id", column: str = "text") -> DataFrame:
+    """(doc_id, look, texts): the class of each document of which others look the same though they are different strings, and how many strings the class has. A row per document, however many copies there are."""
+    f = materialize(forms(docs, id_col, column, hashed=True).filter(F.col(id_col).isNotNull()), "forms")
+    texts = f.groupBy("form_hash", "text_hash").agg(F.lit(1).alias("one")).groupBy("form_hash").agg(F.count("*").alias("texts")).filter("texts > 1")
+    return f.join(texts, "form_hash").select(F.col(id_col).alias("doc_id"), F.lower(F.hex("form_hash")).alias("look"), "texts").distinct()

@@ -83,12 +83,17 @@ def p10_found(spark, d):
     return lookalikes.same_look(read(spark, d, "documents"))
 
 
+def p10_classes(spark, d):
+    """The class of each document that looks like a different string."""
+    return lookalikes.look_classes(read(spark, d, "documents"))
+
+
 def p10_forms(spark, d):
     """The one form of each document."""
     return lookalikes.forms(read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_restored, p4_found, p4_text, p5_found, p5_nearest, p6_found, p6_clean, p7_found, p7_new_text, p8_containers, p9_found, p10_found, p10_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_restored, p4_found, p4_text, p5_found, p5_nearest, p6_found, p6_clean, p7_found, p7_new_text, p8_containers, p9_found, p10_found, p10_classes, p10_forms)}
 
 SQL = {
     "p1_found": r"""

@@ -118,6 +118,8 @@ def test_lookalikes(spark):
     want = {(a, b) for a in group for b in group if a < b and text[a] != text[b]} | {(51, 52)}
     assert got == want
     assert K.same_look(docs.limit(0)).count() == 0
+    classes = {r.doc_id: (r.look, r.texts) for r in K.look_classes(docs).collect()}
+    assert set(classes) == {x for pair in want for x in pair} and {classes[0]} == {classes[k] for k in group} and classes[51][1] == 2
     forms = {r.doc_id: r.form for r in K.forms(docs).collect() if r.doc_id is not None}
     assert forms[0] == base and forms[6] == base
 
@@ -128,6 +130,16 @@ def test_lookalike_reading_depends_on_looks_only():
     assert K.plain("👩‍💻 a‍b") == "👩‍💻 ab" and K.skeleton("ﬁnal x²") == "final x²"
 
 
+@pytest.mark.parametrize("odd,form", [("wo\u3164rd", "word"), ("wo\U000e0041rd", "word"), ("wo\uffa0rd", "word"), ("\u13aaB\u13df", "ABC"), ("\U0001d407i \U0001d7d9", "Hi 1"), ("\u2163 \ufb01n \u2026", "IV fin ..."), ("\uff11\uff12", "12"), ("a\u200bb\u2060c\ufeff", "abc")])
+def test_characters_that_look_the_same(odd, form):
+    assert K.skeleton(odd) == form and K.Reader({"^A": 9, "AB": 9, "BC": 9, "C$": 9}).text(odd) == form
+
+
+@pytest.mark.parametrize("kept", ["x\u00b2", "\u00bd", "\u2474", "\u017f", "\u3131\u314f", "\u0605 1", "\U0001f3f4\U000e0067\U000e0062\U000e007f", "\U0001f469\u200d\U0001f4bb"])
+def test_characters_that_look_different_stay(kept):
+    assert K.plain(kept) == kept
+
+
 def brute(doc, item, apart=8):
     """Longest stretch by filling all cells: words of the item by (words since the last edit) at each pair of positions."""
     a, b = L.words(doc), L.words(item)
