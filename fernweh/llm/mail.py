@@ -31,21 +31,35 @@ from pyspark.sql import functions as F
 from fernweh.runtime import spread
 
 _MARK = re.compile(r"^\s{0,3}(?:[A-Z]{1,3}>|>(?!=)|\|(?!\|))[ ]?")
-_WROTE = r"(?:wrote|schrieb|a écrit|escribió|ha scritto|écrit|escreveu)"
-_INTRO_START = re.compile(rf"^(?:On|Am|Le|El|Il|Em|Quoting|Zitat von)\s\S|^\*\s.+<[^<>\s]+@|^\S.{{0,80}}\b{_WROTE}\b|^\S.{{0,60}}<[^<>\s]+@[^<>\s]+>")
-_INTRO = re.compile(rf"\b{_WROTE}\b[^!?]{{0,60}}:$|^(?:Quoting|Zitat von)\s.+:$|^\*\s.+<[^<>\s]+@.+>\s*\[[^\]]*\]\s*:$|^\S.+<[^<>\s]+@[^<>\s]+>\s*:$")
-_DATED = re.compile(rf"\d.*\b{_WROTE}\b|\b{_WROTE}\b.*\d")
+# How mail programs say that somebody wrote; words and pronouns that stand round it.
+_WROTE = r"(?:wrote|writes|schrieb|a écrit|écrit|écrivait|escribió|ha scritto|scrisse|escreveu|schreef|pisze|napisał|napisała|skrev|kirjoitti|написал|написала|пишет|napsal|napsala|yazdı)"
+_SELF = re.compile(rf"\b(?:I|[Ww]e|[Ii]ch|[Ww]ir|[Jj]e|j|[Nn]ous|[Yy]o|[Nn]osotros|[Ee]u|[Nn]ós|[Ii]o|[Nn]oi|[Ii]k|[Ww]ij|[Jj]a|[Jj]ag|[Yy]ou|[Ww]ho)['’\s]+(?:[^\W\d_]+\s+)?{_WROTE}\b")
+# After the verb only names, dates, times, addresses and the small words between them may stand.
+_TAIL = r"(?:\s*(?:[(\[]?\d[\d./:,-]*[)\],.]*|\(?[A-ZÀ-ÞА-Я][\w.'’-]*\)?,?|<[^<>]*>|(?:am|um|on|at|le|à|el|las|il|alle|em|às|op|om|dnia|o|den|kl|de|a|von|van|di|du|da|в)\b\.?,?|[ap]m\b,?|[,–-]))*\s*:$"
+_BEGINS = re.compile(r"^(?:On|Am|Le|El|Il|Em|Op|W dniu|Dnia|Den|Dne|Quoting|Zitat von)\s\S")
+_INTRO_START = re.compile(rf"{_BEGINS.pattern}|^\*\s.+<[^<>\s]+@|^\S.{{0,80}}\b{_WROTE}\b|^\S.{{0,60}}<[^<>\s]+@[^<>\s]+>")
+_INTRO = re.compile(rf"\b{_WROTE}\b{_TAIL}|^(?:Quoting|Zitat von)\s.+:$|^\*\s.+<[^<>\s]+@.+>\s*\[[^\]]*\]\s*:$|^\S.+<[^<>\s]+@[^<>\s]+>\s*:$")
+_DATE = r"(?:\d{1,4}[./-]\s?\d{1,2}[./-]\s?\d{2,4}|\b\d{1,2}\.? (?:de )?[^\W\d_]{3,}\.?,? (?:de )?(?:19|20)\d\d|[^\W\d_]{3,}\.? \d{1,2},? (?:19|20)\d\d)"
+_DATED = re.compile(_DATE)
+_ANY_INTRO = re.compile(rf"^[^.!?]*{_DATE}[^!?]*[^\W\d_].*:$")  # in any language, but only right before marked lines
+
 _DIVIDER = re.compile(r"^(?:-{2,}\s*[^\W\d_][^-]{3,60}-{2,}|Begin forwarded message:|Anfang der weitergeleiteten (?:Nachricht|E-Mail):|Début du message (?:transféré|réexpédié)\s?:|Inicio del mensaje reenviado:|_{20,})\s*$")
 _HEADER = re.compile(r"^\s*\*?(From|Von|De|Da|Sent|Gesendet|Envoyé|Enviado|Date|Datum|Fecha|To|An|À|A|Para|Cc|Kopie|Subject|Betreff|Objet|Asunto|Reply-To)\s?:\*?(?:\s|$)")
 _SENDERS = {"From", "Von", "De", "Da"}
 _DELIMITER = re.compile(r"^(?:-- ?|__|—|–)$")
+# Closing formulas.
 _CLOSING = re.compile(
-    r"^(?:(?:many )?thanks(?: again| in advance)?|thank you|all the best|best(?: wishes)?|(?:(?:kind|best|warm|kindest|warmest) )?regards|cheers|(?:yours )?(?:sincerely|faithfully|truly)(?: yours)?|"
-    r"(?:beste|viele|liebe|schöne|herzliche|freundliche) grüße|mit (?:freundlichen|besten|herzlichen) grüßen|"
-    r"(?:bien )?cordialement|bien à (?:vous|toi)|amicalement|sincères salutations|meilleures salutations|"
-    r"(?:un|reciba un) (?:cordial )?saludo|saludos(?: cordiales)?|atentamente|cordialmente|atenciosamente|abraços)\s*[,.!]?$",
+    r"^(?:(?:many )?thanks(?: again| in advance| a lot| so much)?|thank you(?: very much| so much)?|all the best|all best|best(?: wishes)?|(?:(?:kind|best|warm|kindest|warmest) )?regards|cheers|take care|warmly|love|yours|(?:yours )?(?:very )?(?:sincerely|faithfully|truly|respectfully|cordially)(?: yours)?|"
+    r"(?:mit )?(?:beste[nr]?|viele[nr]?|liebe[nr]?|schöne[nr]?|herzliche[nr]?|freundliche[nr]?|sonnige[nr]?) gr(?:üße[n]?|uß)|gruß|lg|mfg|hochachtungsvoll|"
+    r"(?:bien )?cordialement|bien à (?:vous|toi)|amicalement|(?:sincères |meilleures |mes )?salutations(?: distinguées)?|"
+    r"(?:un|reciba un) (?:cordial )?saludo|saludos(?: cordiales)?|atentamente|cordialmente|un abrazo|atenciosamente|abraços|cumprimentos|"
+    r"cordiali saluti|distinti saluti|saluti|un saluto|a presto|met (?:vriendelijke|hartelijke) groet(?:en)?|(?:vriendelijke |hartelijke )?groet(?:en|jes)?|hoogachtend|"
+    r"z poważaniem|pozdrawiam|pozdrowienia|med vänlig(?:a)? hälsning(?:ar)?|vänliga hälsningar|mvh|hälsningar|med venlig hilsen|(?:med )?vennlig hilsen|hilsen|ystävällisin terveisin|terveisin|"
+    r"с уважением|с наилучшими пожеланиями|всего доброго|s pozdravem|saygılarımla)\s*[,.!]?$",
     re.I,
 )
+_NAME = re.compile(r"^(?:[^\W\d_a-zß-ÿ][\w'’.-]*,?\s?){1,5}(?:\([^()]*\))?$")
+_CONTACT = re.compile(r"@|https?:|www\.|\+?\d[\d ()/.-]{5,}|\b(?:tel|phone|fax|mobil|mobile|cell|email|e-mail|mail|web)\b\.?:?|^\S+\.\w{2,}$|\|", re.I)
 _DEVICE = re.compile(r"^(?:Sent (?:from|via) my\b|Sent from (?:Mail|Outlook|Yahoo)\b|Get Outlook for\b|Envoyé (?:depuis|de) mon\b|Enviado (?:desde mi|do meu)\b|(?:Von meinem|Gesendet von mein\w*)\b.*$|Inviato dal mio\b)", re.I)
 _RULE = re.compile(r"^(?:[_=*~#-]{8,}|(?:[-_=*] ){3,}[-_=*]?)\s*$")
 _NOTICE = re.compile(r"^(?:\W*)(?:confidentiality (?:notice|note)|disclaimer|legal (?:notice|disclaimer)|haftungsausschluss|vertraulichkeitshinweis|avis de confidentialité|aviso (?:legal|de confidencialidad))\b\s*(?:[:–—-]|$)", re.I)
@@ -57,6 +71,35 @@ _LEGALESE = re.compile(
     r"ist vertraulich|nur für den empfänger|irrtümlich erhalten|weitergabe ist untersagt|bevor sie .{0,30}drucken|\bHRB \d|inhalt dieser (?:nachricht|e-?mail)|diese (?:nachricht|e-?mail|mitteilung) (?:ist|gehört|enthält|kann|richtet)",
     re.I,
 )
+def legalese(text: str) -> bool:
+    return bool(_LEGALESE.search(text))
+
+
+# What legal notices speak of. Three of these in one paragraph that begins with the message itself are a notice.
+_TOPICS = [re.compile(x, re.I) for x in (
+    r"\b(?:confidential|privileged|proprietary|vertraulich|geschützt|confidentiel|confidencial|riservat|vertrouwelijk|poufn|konfidentiell|конфиденциальн)",
+    r"\b(?:addressee|intended (?:only |solely )?(?:recipient|for)|named (?:above|recipient)|solely for|empfänger|adressat|destinataire|destinatari|geadresseerde|adresat|mottagare|получател)",
+    r"\b(?:unauthori[sz]ed|prohibited|forbidden|strictly|may not be|must not|disclos|dissemin|distribut|untersagt|unzulässig|interdit|prohib|proibid|viet|verboden|zabronion|förbjud|запрещ)",
+    r"\b(?:in error|by mistake|irrtümlich|versehentlich|par erreur|por error|per errore|por engano|abusievelijk|omyłkowo|ошибочно)",
+    r"\b(?:liabilit|responsib|virus|haftung|responsabilité|responsabilidad|responsabilità|aansprakelijk|odpowiedzialno)",
+    r"\b(?:delete|destroy|notify|löschen|vernichten|supprimer|détruire|eliminar|borrar|destruir|cancellar|verwijder|usun|удал)",
+    r"\b(?:files transmitted|attachments?|anhäng|pièces jointes|adjunt|allegat|bijlage|załącznik|вложени)",
+)]
+_ITSELF = re.compile(r"^\W*(?:the (?:contents?|information)[^.]{0,40} )?(?:this|diese|dieses|ce|cette|este|esta|questo|questa|dit|deze|ta|niniejsza|detta|данное|это)\b.{0,40}?(?:e-?mail|message|communication|transmission|nachricht|mitteilung|courriel|correo|mensaje|comunicación|messaggio|mensagem|bericht|wiadomość|meddelande|сообщение|письмо)", re.I)
+
+
+def is_notice(text: str) -> bool:
+    """Whether a paragraph is a legal notice."""
+    return bool(_NOTICE.search(text) or legalese(text)) or bool(_ITSELF.search(text)) and sum(bool(t.search(text)) for t in _TOPICS) >= 3
+
+
+def _contact(line: str) -> bool:
+    """Whether a line may belong to a signature: a name, a rank, a firm, an address, a number, not a sentence."""
+    x = line.strip()
+    if _CONTACT.search(x) or _NAME.match(x):
+        return True
+    words = x.split()
+    return len(words) <= 12 and not (re.search(r"[.!?:;]$", x) and len(words) > 3)
 
 
 @dataclass
@@ -86,6 +129,11 @@ class Grammar:
 
     def __init__(self, lines: list[str], base: int = 0, depth: int = 0):
         self.lines, self.base, self.depth = lines, base, depth
+        self.colon = [len(lines)] * (len(lines) + 1)  # for each line the next one of its paragraph that ends in a colon, or where the paragraph ends
+        for k in range(len(lines) - 1, -1, -1):
+            x = lines[k].rstrip()
+            self.colon[k] = k if not x or x.endswith(":") or _MARK.match(x) else self.colon[k + 1]
+        self.blocks: dict[int, int] = {}  # where signatures' lines end, by line
 
     def mail(self) -> list[Node]:
         nodes, i, lines = [], 0, self.lines
@@ -114,18 +162,26 @@ class Grammar:
         return Grammar([_MARK.sub("", x, count=1) for x in part] if strip else part, self.base + start, self.depth + 1).mail()
 
     def _intro(self, i: int) -> int:
-        """End of the lines that introduce a quote at i, or 0."""
-        if not _INTRO_START.search(self.lines[i]):
+        """End of the lines that introduce a quote at i, or 0: up to the next line of the paragraph that ends in a colon."""
+        lines = self.lines
+        if not _INTRO_START.search(lines[i]):
+            if lines[i].rstrip().endswith(":") and (not i or not lines[i - 1].strip()) and _ANY_INTRO.search(lines[i].strip()):
+                k = _skip_blank(lines, i + 1)
+                return i + 1 if k < len(lines) and _MARK.match(lines[k]) else 0
+            return 0
+        j = self.colon[i]
+        if j >= len(lines) or not lines[j].rstrip().endswith(":") or _MARK.match(lines[j]):
             return 0
-        said = ""
-        for j in range(i, min(i + 4, len(self.lines))):
-            x = self.lines[j].strip()
-            if not x or _MARK.match(self.lines[j]):
-                return 0
-            said = f"{said} {x}".strip()
-            if _INTRO.search(re.sub(r"\s+:$", ":", said)):
-                return j + 1
-        return 0
+        said = self._said(i, j + 1)
+        if not _INTRO.search(said) or _SELF.search(said):
+            return 0
+        later = any(_BEGINS.search(lines[k]) and _DATED.search(self._said(k, j + 1)) for k in range(max(i + 1, j - 4), j + 1))
+        return 0 if later else j + 1  # of two beginnings the one nearer to the end counts
+
+    def _said(self, i: int, j: int) -> str:
+        """An introduction's lines as one; of long ones the beginning and the end, which tell what it is."""
+        part = self.lines[i:j] if j - i <= 8 else [self.lines[i], *self.lines[j - 4 : j]]
+        return re.sub(r"\s+:$", ":", " ".join(x.strip() for x in part))
 
     def quote(self, i: int) -> Node | None:
         lines, start = self.lines, i
@@ -133,9 +189,9 @@ class Grammar:
             k = _skip_blank(lines, at)
             if k < len(lines) and _MARK.match(lines[k]):
                 i = k
-            elif _DATED.search(" ".join(lines[start:at])) and k >= at and at < len(lines):  # an unmarked quote runs to the end
-                return Node("quote", self.base + start, self.base + len(lines), self._inner(at, len(lines), False))
-            elif _DATED.search(" ".join(lines[start:at])):
+            elif _DATED.search(self._said(start, at)):
+                if at < len(lines):  # an unmarked quote runs to the end
+                    return Node("quote", self.base + start, self.base + len(lines), self._inner(at, len(lines), False))
                 return Node("quote", self.base + start, self.base + at)
             else:
                 return None
@@ -160,7 +216,7 @@ class Grammar:
 
     def disclaimer(self, i: int) -> Node | None:
         lines, j = self.lines, i
-        if i and lines[i - 1].strip() and not (_RULE.match(lines[i]) or _NOTICE.match(lines[i]) or _LEGALESE.search(lines[i])):
+        if i and lines[i - 1].strip() and not (_RULE.match(lines[i]) or _NOTICE.match(lines[i]) or legalese(lines[i])):
             return None  # no notice begins here; said before anything longer than the line is read
         if i and _RULE.match(lines[i]) and _RULE.match(lines[i - 1]) and not _DELIMITER.match(lines[i - 1]):
             return None  # the first of the rules was asked already
@@ -172,29 +228,78 @@ class Grammar:
         while k < len(lines) and lines[k].strip() and not _MARK.match(lines[k]):
             k += 1
         text = " ".join(x.strip() for x in lines[j:k])
-        if not (_NOTICE.search(text) or _LEGALESE.search(text)):
+        if not is_notice(text):
             return None
         while k < len(lines) and _RULE.match(lines[k]):
             k += 1
         return Node("disclaimer", self.base + i, self.base + k)
 
+    def _block(self, j: int, every: bool) -> int:
+        """End of the signature's lines from j on: up to a blank line, and beyond it while paragraphs hold addresses or numbers and no sentence. `every` takes the lines of the first paragraph as they are."""
+        lines, start = self.lines, j
+        if not every and j in self.blocks:
+            return self.blocks[j]
+        j = self._lines(j, every)
+        if not every:
+            end = self._beyond(j)
+            self.blocks.update(dict.fromkeys(range(start, j + 1), end))
+            return end
+        return self._beyond(j)
+
+    def _lines(self, j: int, every: bool) -> int:
+        lines = self.lines
+        while j < len(lines) and lines[j].strip() and not self._other(j) and (every or _contact(lines[j])):
+            j += 1
+        return j
+
+    def _beyond(self, j: int) -> int:
+        lines = self.lines
+        if j < len(lines) and lines[j].strip():
+            return j
+        while (k := _skip_blank(lines, j)) < len(lines) and not self._other(k):
+            end = k
+            while end < len(lines) and lines[end].strip() and _contact(lines[end]):
+                end += 1
+            if end < len(lines) and lines[end].strip() or not any(_CONTACT.search(x) for x in lines[k:end]) or any(self._other(x) for x in range(k, end)):
+                break
+            j = end
+        return j
+
+    def _other(self, i: int) -> bool:
+        """Whether something that is no signature begins here."""
+        x = self.lines[i]
+        return bool(_MARK.match(x) or _DIVIDER.match(x) or _RULE.match(x) or _NOTICE.match(x) or legalese(x) or _ITSELF.match(x) or self._intro(i) or self._is_header(i))
+
+    def _is_header(self, i: int) -> bool:
+        m = _HEADER.match(self.lines[i])
+        return bool(m and m[1] in _SENDERS and i + 1 < len(self.lines) and _HEADER.match(self.lines[i + 1]))
+
+    def _ends(self, j: int) -> bool:
+        """Whether nothing newly written can follow: the end, or something that is no signature."""
+        k = _skip_blank(self.lines, j)
+        return k >= len(self.lines) or self._other(k) or bool(_DELIMITER.match(self.lines[k]) or _DEVICE.match(self.lines[k].strip()))
+
     def signature(self, i: int) -> Node | None:
         lines, x = self.lines, self.lines[i].strip("\r")
         if _DEVICE.match(x.strip()):
             return Node("signature", self.base + i, self.base + i + 1)
         if _DELIMITER.match(x):
-            j = i + 1
-            while j < len(lines) and lines[j].strip() and len(lines[j]) < 90 and not _MARK.match(lines[j]) and j - i <= 8:
-                j += 1
-            return Node("signature", self.base + i, self.base + j)
-        if _CLOSING.match(x.strip()):
-            j = _para_end(lines, i, 7)
-            rest = [y.strip() for y in lines[i + 1 : j]]
-            if len(rest) <= 4 and all(len(y) < 70 and not re.search(r"[.!?]$", y) for y in rest):
-                if not rest and (k := _skip_blank(lines, j)) < len(lines) and re.fullmatch(r"(?:[^\W\d_a-z][\w'’.-]*\s?){1,4}", lines[k].strip()) and _para_end(lines, k, 3) == k + 1:
-                    j = k + 1
-                return Node("signature", self.base + i, self.base + j)
-        return None
+            return Node("signature", self.base + i, self.base + self._block(i + 1, x.startswith("--")))
+        formula = bool(_CLOSING.match(x.strip()))
+        if not formula and not (x.rstrip().endswith(",") and len(x.split()) <= 5 and i and any(y.strip() for y in lines[max(0, i - 3) : i])):
+            return None
+        j = self._block(i + 1, False)
+        blank = i + 1 >= len(lines) or not lines[i + 1].strip()
+        if not formula:  # any short line with a comma before a name with which the mail ends
+            named = not blank and _NAME.match(lines[i + 1].strip()) and j < i + 9
+            return Node("signature", self.base + i, self.base + j) if named and self._ends(j) else None
+        if j < len(lines) and lines[j].strip() and not self._other(j):  # what goes on is a sentence
+            return None
+        if blank and (k := _skip_blank(lines, i + 1)) < len(lines) and _NAME.match(lines[k].strip()):
+            j = self._block(k, False)
+            if j < len(lines) and lines[j].strip() and not self._other(j):
+                j = i + 1
+        return Node("signature", self.base + i, self.base + max(j, i + 1))
 
 
 def lines_of(text: str) -> list[str]:

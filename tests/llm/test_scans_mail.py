@@ -73,6 +73,32 @@ def test_forwards_signatures_and_notices():
     assert kept("x\nRegards to Ann and the cache!") == "x\nRegards to Ann and the cache!"
 
 
+# Written by hand, apart from the tables: what the sender wrote stands first.
+MAILS = [
+    ("Hi Bob,\n\nsee you soon.", "\n\nTake care,\nAnn Lee"), ("Hoi,\n\ntot dan.", "\n\nMet vriendelijke groet,\nJan"), ("ok", "\n\nOp ma 3 jan 2022 om 10:15 schreef Jan Jansen:\n> oud"), ("ok", "\n\nW dniu 3.01.2022 o 10:15, Jan Kowalski pisze:\n> stare"),
+    ("ok", "\n\nThis e-mail and any files transmitted with it are privileged and intended solely for the addressee. If you received it in error, delete it."), ("a\n\nOn Monday I wrote a report at 10:\nit was long\nand good", ""),
+    ("x", "\n\nBest\nA B\nHead of Works\nFirm Ltd\n1 Street\n12345 Town\n+44 123 456789\nwww.a.example\nOffice 7"), ("x", "\n\n-- \nA\n1\n2\n3\n4\n5\n6\n7\n8\n9\n10\n\n> q"), ("Thanks\nfor the help with it, we go on now.", ""),
+    ("Ciao,\n\na domani.", "\n\nCordiali saluti,\nMaria Rossi\nUfficio Tecnico"), ("Hej!\n\nVi ses.", "\n\nMed vänlig hälsning\nEva"), ("ok", "\n\nOn Tue, Jan 4, 2022 at 3:15 PM Ann Lee <ann@b.example> wrote:\n\n> old\n> older"),
+    ("We shall meet.", "\n\nAm Di., 4. Jan. 2022 um 15:15 Uhr schrieb Ann Lee <ann@b.example>:\n\nalter Text ohne Zeichen\nnoch mehr"), ("Sure.", "\n\n-- \nAnn Lee\n\nPhone: +44 20 1234567\nwww.lee.example"), ("Here is the list:\n\nBread,\nButter\n\nand that is all for now.", ""),
+    ("She wrote that it was fine: I agree.", ""), ("fine", "\n\nLe mar. 4 janv. 2022 à 15:15, Ann Lee <ann@b.example> a écrit :\n> vieux"), ("Добрый день,\n\nвсё готово.", "\n\nС уважением,\nИван Петров"),
+    ("ok", "\n\nCe message et les pièces jointes sont confidentiels et réservés au destinataire. Toute diffusion est interdite; en cas d'erreur, merci de le supprimer."), ("The contract is confidential; it may not be forwarded by mistake, so please delete your copy.", ""),
+    ("On the table is the lamp.\nIt is old.", "\nOn 4 May 2022, A B wrote:\n> old"), ("Done.", "\n\nKind regards,\n\nAnn Lee\nTeam Lead"), ("Please answer these:\n1. when?\n2. where?", "\n\nSent from my phone"), ("Hello,\n\nas agreed.\n\nI think Best\nis a shop.", ""), ("ok", "\n\n" + "\n".join(["From: A B <a@b.example>", "Date: 1 Jan 2022", "To: C", "Subject: D", "", "old"])),
+]
+
+
+def test_mails_written_by_hand():
+    assert [m for m, rest in MAILS if kept(m + rest) != m] == []
+
+
+def test_long_paragraphs_cost_no_more_than_their_length():
+    import time
+
+    began = time.process_time()
+    for line in ("On 3 May 2022 all is well", "Best,", "-- ", "From: x", "it wrote 3 things", "a" * 50, "> q", "Ann,"):
+        mail.others("\n".join([line] * 5_000 + ["end:"]))
+    assert time.process_time() - began < 30
+
+
 def test_decoding():
     assert mail.decode("Y2Fm\nw6k=", "text/plain; charset=utf-8", "BASE64") == "café"
     assert mail.decode("caf=E9 =\r\nx", 'text/plain; charset="iso-8859-1"', "quoted-printable") == "café x"
