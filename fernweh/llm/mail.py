@@ -71,8 +71,20 @@ _LEGALESE = re.compile(
     r"ist vertraulich|nur für den empfänger|irrtümlich erhalten|weitergabe ist untersagt|bevor sie .{0,30}drucken|\bHRB \d|inhalt dieser (?:nachricht|e-?mail)|diese (?:nachricht|e-?mail|mitteilung) (?:ist|gehört|enthält|kann|richtet)",
     re.I,
 )
+# Each of the sentences above holds one of these, which is quicker to see.
+_STEMS = (
+    "transmission", "confidential", "privileged", "solely for", "only for", "recipient", "in error", "viruses", "destroy all", "by others", "détruire", "medio", "umwelt", "rechtlich", "environment", "printing", "registered in", "views expressed",
+    "confidentiel", "courriel", "diffusion", "imprimer", "siège", "message", "communication", "erreur", "por error", "confidencial", "pertenece", "contenido", "difusión", "imprimir", "con sede", "vertraulich", "empfänger", "irrtümlich", "untersagt",
+    "bevor sie", "hrb", "inhalt dieser", "diese nachricht", "diese e-mail", "diese email", "diese mitteilung",
+)
+
+
 def legalese(text: str) -> bool:
-    return bool(_LEGALESE.search(text))
+    low = text.lower()
+    for stem in _STEMS:
+        if stem in low:
+            return bool(_LEGALESE.search(text))
+    return False
 
 
 # What legal notices speak of. Three of these in one paragraph that begins with the message itself are a notice.
