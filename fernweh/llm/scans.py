@@ -7,9 +7,15 @@ collection say how likely each proposal is, and a Viterbi search over the candid
 counts for context, decides. Halves of words divided at line ends are read as one word, unless the collection knows
 the word with its hyphen.
 
-Scale: counts are kept per distinct word and pair and meet candidates by joins. Candidates are proposed once per
-distinct word; what texts are asked for is told by a bit map of fixed size, the one thing that is broadcast, so that
-only doubtful words are shuffled. A word whose bit another one set is sorted out by the join that follows.
+Candidates: every confusion keeps a word's strokes, so that a word and all its misread forms share one stroke key
+(`stroke_key`), however many of its letters are misread. Rare words meet frequent ones by a join on that key; whether
+one can be the other's misread form, and how likely, is told by a lattice over both words without a limit on length or
+on the number of confusions. A word with a sign that no word has takes candidates without such signs only.
+
+Scale: counts are kept per distinct word and pair and meet candidates by joins. What texts are asked for is told by a
+bit map of fixed size, the one thing that is broadcast; of each text only the numbers of its furniture, its divided
+words and its lines with a doubtful word go on, so that no text is shuffled to be judged. A word whose bit another one
+set is sorted out by the join that follows.
 
 Defined cases: null and empty texts have no lines; a text without form feeds is one page; repeated rows are judged
 alike; a line cut off at a hyphen at the very end of a scan is no case of division, since its other half is nowhere;
@@ -21,11 +27,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from itertools import combinations
+from functools import reduce
 from zlib import crc32
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernweh.runtime import materialize, spread
@@ -164,6 +170,14 @@ def words_of(line: str) -> list[tuple[int, str]]:
     return out
 
 
+def plain_words(line: str) -> list[str]:
+    """The words alone."""
+    words = _WORD.findall(line)
+    if "!" in line or "'" in line or "’" in line:
+        words = [x for w in words if (x := w.rstrip("!'’"))]
+    return words
+
+
 class Page:
     """A text's lines that aren't furniture, with words divided at line ends read as one."""
 
@@ -171,62 +185,57 @@ class Page:
         self.lines = [(no, x) for page in pages(text) for no, x in page]
         self.furniture = furniture(text)
         self.flow = [(no, x) for no, x in self.lines if no not in self.furniture and x.strip()]
-        self.rows: list[list[tuple[str, int, int, int]]] = []  # per line of the flow: (word, line, line of its end, length of its first half)
+        self.rows: list[tuple[int, int, int, list[str]]] = []  # per line of the flow: (line, line of the last word's end, length of its first half if it is divided, words)
         self.divided: list[tuple[int, str, str]] = []  # (line, first half, other half)
-        carry = None
+        carry = False
         for k, (no, x) in enumerate(self.flow):
-            words = words_of(x)
-            row = []
-            m = HYPHEN.search(x)
-            if carry is not None:
-                words = words[1:]
-            if m and words and k + 1 < len(self.flow):
-                nxt = words_of(self.flow[k + 1][1])
-                body = x[: m.start()]
-                last = re.search(r"\S+$", body)
-                half = re.sub(r"^[(\[\"“«]+", "", last[0]) if last else ""
-                if nxt and half and self.flow[k + 1][1].lstrip()[:1].isalnum() | (self.flow[k + 1][1].lstrip()[:1] in "@!"):
-                    row = [(w, no, no, 0) for p, w in words if p < last.start()]
-                    if not (carry is not None and not words[1:] and len(words_of(x)) == 1):
-                        row.append((half + nxt[0][1], no, self.flow[k + 1][0], len(half)))
-                        self.divided.append((no, half, nxt[0][1]))
-                        self.rows.append(row)
-                        carry = True
-                        continue
-            self.rows.append([(w, no, no, 0) for _, w in words])
-            carry = None
-
-
-def keys(word: str) -> str:
-    return word.lower()
-
-
-def proposals(word: str, most: int = 2) -> dict[str, float]:
-    """Words this one may be a misread form of: word -> log probability of the confusion. Signs that no word has must go."""
-    sites = []
-    for seen, meant, share in CONFUSIONS:
-        at = word.find(seen)
-        while at >= 0:
-            sites.append((at, seen, meant, math.log(share)))
-            at = word.find(seen, at + 1)
-    odd = {i for i, c in enumerate(word) if c in "0123456789@!"}
-    out: dict[str, float] = {}
-    if len(odd) > 3 or len(word) > 40 or len(odd) == len(word):
-        return out
-    for n in range(max(1, len(odd)), max(most, len(odd)) + 1):
-        pool = sites if n <= 2 else [s for s in sites if s[0] in odd]
-        for pick in combinations(sorted(pool), n):
-            covered = [i for at, seen, *_ in pick for i in range(at, at + len(seen))]
-            if len(set(covered)) < len(covered) or not odd <= set(covered):
+            m = HYPHEN.search(x) if k + 1 < len(self.flow) else None
+            if m and (joined := self._divide(k, x, x[: m.start()], carry)):
+                self.rows.append((no, self.flow[k + 1][0], *joined))
+                carry = True
                 continue
-            w, shift, p = word, 0, 0.0
-            for at, seen, meant, logp in pick:
-                w = w[: at + shift] + meant + w[at + shift + len(seen) :]
-                shift += len(meant) - len(seen)
-                p += logp
-            if w != word and out.get(w, -99) < p:
-                out[w] = p
-    return out
+            words = plain_words(x)
+            self.rows.append((no, no, 0, words[1:] if carry else words))
+            carry = False
+
+    def _divide(self, k: int, x: str, body: str, carry: bool) -> tuple[int, list[str]] | None:
+        """(length of the first half, words) of a line that ends in one."""
+        words = words_of(x)
+        own, follows = words[1:] if carry else words, self.flow[k + 1][1]
+        nxt = plain_words(follows)
+        last = re.search(r"\S+$", body)
+        half = re.sub(r"^[(\[\"“«]+", "", last[0]) if last else ""
+        start = follows.lstrip()[:1]
+        if not (own and nxt and half and (start.isalnum() or start in "@!")) or carry and not own[1:] and len(words) == 1:
+            return None
+        self.divided.append((self.flow[k][0], half, nxt[0]))
+        return len(half), [w for p, w in own if p < last.start()] + [half + nxt[0]]
+
+
+# A word's strokes: what a scan confuses has the same ones. One letter each first, then those of several strokes.
+_ONE_STROKE = ("l1!ef05@9hb68", "iiictosaguuuu")
+_STROKES = [("u", "ii"), ("n", "ri"), ("m", "rri"), ("d", "ci"), ("w", "vv")]
+ODD = "[0-9@!]"  # signs that no word has
+_LOGS = [(seen, meant, math.log(share)) for seen, meant, share in CONFUSIONS]
+
+
+def stroke_key(word: Column) -> Column:
+    """The same for a lower-case word and all its misread forms."""
+    return reduce(lambda c, x: F.replace(c, F.lit(x[0]), F.lit(x[1])), _STROKES, F.translate(word, *_ONE_STROKE))
+
+
+def channel(shown: str, meant: str) -> float | None:
+    """Log probability of the likeliest way to misread one word as the other, by a lattice over both; None if there is none."""
+    front: dict[int, dict[int, float]] = {0: {0: 0.0}}  # place in shown -> place in meant -> best
+    for i in range(len(shown)):
+        for j, p in front.pop(i, {}).items():
+            steps = [(seen, said, logp) for seen, said, logp in _LOGS if shown.startswith(seen, i) and meant.startswith(said, j)]
+            if meant[j : j + 1] == shown[i]:
+                steps.append((shown[i], shown[i], 0.0))
+            for seen, said, logp in steps:
+                at = front.setdefault(i + len(seen), {})
+                at[j + len(said)] = max(at.get(j + len(said), -1e9), p + logp)
+    return front.get(len(shown), {}).get(len(meant))
 
 
 def _count(frames, column: str):
@@ -238,10 +247,10 @@ def _count(frames, column: str):
 
     for pdf in frames:
         for text in pdf[column]:
-            for line in re.split("[\n\f]", text or ""):
-                ws = [w.lower() for _, w in words_of(line)]
-                if HYPHEN.search(line):
-                    ws = ws[:-1]
+            for line in re.split("[\n\f]", text.lower() if text else ""):
+                ws = plain_words(line)
+                if ws and HYPHEN.search(line):
+                    ws.pop()
                 words.update(ws)
                 pairs.update(zip(ws, ws[1:]))
         if len(pairs) > 300_000:
@@ -256,55 +265,42 @@ def counts(scans: DataFrame, column: str = "data") -> DataFrame:
     return spread(scans.select(column)).mapInPandas(lambda f: _count(f, column), "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def _tokens(frames, marks: bytes, id_col: str, column: str):
-    """Words of each text that may need a decision, with their neighbours in the line: (id, word, before, after, divided)."""
+RECORD = "furniture array<int>, divided array<struct<line: int, a: string, b: string>>, rows array<struct<line: int, end: int, half: int, words: array<string>>>"
+
+
+def _records(frames, marks: bytes, kind: str):
+    """Of each text what can be noise: numbers of its furniture, divided words, lines with words that may need a decision."""
     known: dict[str, bool] = {}
 
     def marked(w: str) -> bool:
-        got = known.get(w)
-        if got is None:
-            h = crc32(w.encode("utf-8", "replace")) & MARKS - 1
-            got = known[w] = bool(marks[h >> 3] >> (h & 7) & 1)
-            if len(known) > 500_000:
-                known.clear()
+        h = crc32(w.encode("utf-8", "replace")) & MARKS - 1
+        if len(known) > 500_000:
+            known.clear()
+        known[w] = got = bool(marks[h >> 3] >> (h & 7) & 1)
         return got
 
     for pdf in frames:
-        cols: tuple = ([], [], [], [], [])
-
-        def add(*row, cols=cols):
-            for c, v in zip(cols, row):
-                c.append(v)
-
-        for i, text in zip(pdf[id_col], pdf[column]):
+        out = []
+        for i, text in zip(pdf["id"], pdf["text"]):
             if not text:
                 continue
             page = Page(text)
-            seen = set()
-            for row in page.rows:
-                ws = [w.lower() for w, *_ in row]
-                for k, w in enumerate(ws):
-                    if row[k][3] or marked(w):
-                        seen.add((w, ws[k - 1] if k else None, ws[k + 1] if k + 1 < len(ws) else None, bool(row[k][3])))
-            for _, a, b in page.divided:  # both readings need their counts
-                seen.update(((f"{a}-{b}".lower(), None, None, True), (f"{a}{b}".lower(), None, None, True)))
-            for x in seen:
-                add(i, *x)
-        yield pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in zip(["id", "word", "before", "after", "divided"], cols)})
-
-
-def _propose(frames):
+            rows = []
+            for no, end, half, words in page.rows:
+                low = [w.lower() for w in words]
+                if half or any([known[w] if w in known else marked(w) for w in low]):
+                    rows.append({"line": no, "end": end, "half": half, "words": words})
+            shown = [no for no, x in page.lines if no in page.furniture and x.strip()]
+            if shown or rows:
+                out.append((i, shown, [{"line": no, "a": a, "b": b} for no, a, b in page.divided], rows))
+        frame = pd.DataFrame(out, columns=["id", "furniture", "divided", "rows"])
+        frame["id"] = frame["id"].astype(pdf["id"].dtype)
+        yield frame
+
+
+def _channels(frames):
     for pdf in frames:
-        out = []
-        for w in pdf["word"]:
-            out.append((w, w, 0.0))
-            if "-" in w:  # parts of compounds are misread one by one
-                parts = w.split("-")
-                for k, part in enumerate(parts):
-                    out.extend((w, "-".join([*parts[:k], c, *parts[k + 1 :]]), p) for c, p in proposals(part, 1).items())
-            else:
-                out.extend((w, c, p) for c, p in proposals(w).items())
-        yield pd.DataFrame(out, columns=["word", "candidate", "channel"])
+        yield pdf.assign(channel=[channel(w, c) for w, c in zip(pdf["word"], pdf["candidate"])]).dropna(subset=["channel"])[["word", "candidate", "channel", "n"]]
 
 
 def _choices(known) -> dict[str, dict[str, tuple[float, int]]]:
@@ -347,40 +343,49 @@ def _case(shown: str, meant: str) -> str:
     return meant[:1].upper() + meant[1:] if shown[:1].isupper() else meant
 
 
+def decide(rows, divided, known, grams, total: float) -> tuple[set[tuple[int, str]], list[list[str]]]:
+    """(noise, words as they should read) of lines: rows (line, end, half, words) and divided words (line, first half, other half)."""
+    choices = _choices(known)
+    n = {x["word"]: x["n"] for x in known if x["candidate"] == x["word"]}
+    pair = {(x["a"], x["b"]): (x["n"], x["na"]) for x in (grams if grams is not None else ())}
+    noise: set[tuple[int, str]] = set()
+    compounds = {}
+    for no, a, b in divided:
+        whole, compound = n.get(f"{a}{b}".lower(), 0), n.get(f"{a}-{b}".lower(), 0)
+        fixed = max((v[1] for v in choices.get(f"{a}{b}".lower(), {}).values()), default=0)
+        kept = max((v[1] for v in choices.get(f"{a}-{b}".lower(), {}).values()), default=0)
+        compounds[no] = max(compound, kept) > max(whole, fixed)
+        if not compounds[no]:
+            noise.add((no, "hyphen"))
+    out = []
+    for no, end, half, words in rows:
+        shown = list(words)
+        if half and compounds.get(no):
+            shown[-1] = f"{shown[-1][:half]}-{shown[-1][half:]}"
+        low = [w.lower() for w in shown]
+        if choices.keys().isdisjoint(low):
+            out.append(shown)
+            continue
+        fixed = []
+        for k, (sh, w, c) in enumerate(zip(shown, low, read_line(low, choices, n, pair, total))):
+            if c != w:
+                at = next((k for k, (x, y) in enumerate(zip(w, c)) if x != y), min(len(c), len(w)))
+                other = half and k == len(shown) - 1 and at >= half + bool(compounds.get(no))
+                noise.add((end if other else no, "misread"))
+                fixed.append(_case(sh, c))
+            else:
+                fixed.append(sh)
+        out.append(fixed)
+    return noise, out
+
+
 class Reading:
     """What a scan's text says once it is repaired."""
 
     def __init__(self, text: str, known, grams, total: float):
         self.page = page = Page(text)
-        choices = _choices(known)
-        n = {x["word"]: x["n"] for x in known if x["candidate"] == x["word"]}
-        pair = {(x["a"], x["b"]): (x["n"], x["na"]) for x in (grams if grams is not None else ())}
-        self.noise: set[tuple[int, str]] = {(no, "furniture") for no, x in page.lines if no in page.furniture and x.strip()}
-        compounds = {}
-        for no, a, b in page.divided:
-            whole, compound = n.get(f"{a}{b}".lower(), 0), n.get(f"{a}-{b}".lower(), 0)
-            fixed = max((v[1] for v in choices.get(f"{a}{b}".lower(), {}).values()), default=0)
-            kept = max((v[1] for v in choices.get(f"{a}-{b}".lower(), {}).values()), default=0)
-            compounds[no] = max(compound, kept) > max(whole, fixed)
-            if not compounds[no]:
-                self.noise.add((no, "hyphen"))
-        self.words: list[list[str]] = []
-        for row in page.rows:
-            shown = [f"{w[:half]}-{w[half:]}" if half and compounds.get(no) else w for w, no, _, half in row]
-            low = [w.lower() for w in shown]
-            if choices.keys().isdisjoint(low):
-                self.words.append(shown)
-                continue
-            said = read_line(low, choices, n, pair, total)
-            fixed = []
-            for (w, no, end, half), sh, c in zip(row, shown, said):
-                if c != sh.lower():
-                    at = next((k for k, (x, y) in enumerate(zip(sh.lower(), c)) if x != y), min(len(c), len(sh)))
-                    self.noise.add((end if half and at >= half + (1 if compounds.get(no) else 0) else no, "misread"))
-                    fixed.append(_case(sh, c))
-                else:
-                    fixed.append(sh)
-            self.words.append(fixed)
+        self.noise, self.words = decide(page.rows, page.divided, known, grams, total)
+        self.noise |= {(no, "furniture") for no, x in page.lines if no in page.furniture and x.strip()}
 
     def text(self) -> str:
         """Continuous paragraphs: blank lines and lines that end short separate them."""
@@ -398,7 +403,7 @@ class Reading:
         width = max((len(x) for _, x in page.flow), default=0)
         carry = None
         prev = ""
-        for (no, x), row, fixed in zip(page.flow, page.rows, self.words):
+        for (no, x), (_, _, half, words), fixed in zip(page.flow, page.rows, self.words):
             line, at = "", 0
             spots = words_of(x)
             if carry is not None and spots:
@@ -406,9 +411,9 @@ class Reading:
                 spots = spots[1:]
                 line = carry
             carry = None
-            for (w, _, end, half), f in zip(row, fixed):
-                if half:
-                    k = x.rstrip().rfind(w[:half])
+            for k, f in enumerate(fixed):
+                if half and k == len(fixed) - 1:
+                    k = x.rstrip().rfind(words[-1][:half])
                     line += x[at:k]
                     carry, at = f, len(x)
                 elif spots:
@@ -428,57 +433,75 @@ class Reading:
         return "\n\n".join(p.strip() for p in out if p.strip())
 
 
-def readings(scans: DataFrame, emit, schema: str, id_col: str = "id", column: str = "data") -> DataFrame:
-    """Runs emit(id, Reading) over all texts, with the candidates and counts each needs."""
+def evidence(scans: DataFrame, id_col: str, column: str):
+    """(texts, records, known, grams, total): what is asked of each text, the candidates and the counts it needs."""
     table = materialize(counts(scans, column), "scan-counts")
     words = table.filter("b IS NULL").select(F.col("a").alias("word"), "n")
     most, total = words.agg(F.max("n"), F.sum("n")).first()
     most, total = most or 0, float(total or 1)
     kind = scans.schema[id_col].dataType.simpleString()
     src = spread(scans.select(F.col(id_col).alias("id"), F.col(column).alias("text")).filter(F.col("id").isNotNull() & F.col("text").isNotNull()))
+    meant = words.filter(~F.col("word").rlike(ODD)).select(F.col("word").alias("candidate"), "n", stroke_key(F.col("word")).alias("key"))
 
     def useful_of(types: DataFrame) -> DataFrame:
-        """(word, candidate, channel, n) of words that may be misread forms; own counts are joined, none is as frequent as RATIO allows at most."""
-        proposed = types.mapInPandas(_propose, "word string, candidate string, channel double").filter("word != candidate")
-        known = proposed.join(words.withColumnRenamed("word", "candidate"), "candidate").join(words.withColumnRenamed("n", "own"), "word", "left")
-        rare = F.coalesce("own", F.lit(0)) <= F.greatest(RATIO * F.col("n"), F.when(F.col("n") > 2, 1).otherwise(0))
-        return known.filter(rare).select("word", "candidate", "channel", "n")
+        """(word, candidate, channel, n) of words (word, own) that may be misread forms: so much rarer than a word of the same strokes that a lattice can read them as."""
+        rare = F.col("own") <= F.greatest(RATIO * F.col("n"), F.when(F.col("n") > 2, 1).otherwise(0))
+        pairs = types.withColumn("key", stroke_key(F.col("word"))).join(meant, "key").filter((F.col("word") != F.col("candidate")) & rare)
+        return pairs.select("word", "candidate", "n").mapInPandas(_channels, "word string, candidate string, channel double, n bigint")
 
-    first = materialize(useful_of(words.filter((F.col("n") <= max(RATIO * most, 1)) & (F.length("word") > 1) & ~F.col("word").rlike("^[0-9]+$")).select("word")), "scan-candidates")
+    first = materialize(useful_of(words.filter((F.col("n") <= max(RATIO * most, 1)) & ~F.col("word").rlike("^[0-9]+$")).select("word", F.col("n").alias("own"))), "scan-candidates")
     marks = bytearray(MARKS // 8)
     for (h,) in first.select(F.col("word").cast("binary").alias("w")).select(F.crc32("w").bitwiseAND(MARKS - 1)).distinct().collect():  # at most MARKS numbers
         marks[h >> 3] |= 1 << (h & 7)
-    spots = materialize(src.mapInPandas(lambda f, marks=bytes(marks): _tokens(f, marks, "id", "text"), f"id {kind}, word string, before string, after string, divided boolean"), "scan-words")
-    unseen = spots.filter("divided").select("word").distinct().join(words, "word", "left_anti")
+    records = materialize(src.mapInPandas(lambda f, marks=bytes(marks): _records(f, marks, kind), f"id {kind}, {RECORD}"), "scan-lines")
+    row = records.select("id", F.explode("rows").alias("r")).select("id", F.transform("r.words", F.lower).alias("ws"), F.col("r.half").alias("half"))
+    spots = row.select("id", "half", "ws", F.posexplode("ws").alias("k", "word")).select(
+        "id", "word", F.try_element_at("ws", F.when(F.col("k") > 0, F.col("k"))).alias("before"), F.try_element_at("ws", F.col("k") + 2).alias("after"), ((F.col("half") > 0) & (F.col("k") == F.size("ws") - 1)).alias("divided")
+    )
+    both = records.select("id", F.explode("divided").alias("d")).select("id", F.explode(F.array(F.lower(F.concat("d.a", F.lit("-"), "d.b")), F.lower(F.concat("d.a", "d.b")))).alias("word"))  # both readings need their counts
+    whole = spots.filter("divided").select("word").unionByName(both.select("word")).distinct()
+    unseen = whole.join(words, "word", "left_anti").withColumn("own", F.lit(0).cast("bigint"))
     useful = materialize(first.unionByName(useful_of(unseen)), "scan-readings")
     itself = words.select("word", F.col("word").alias("candidate"), F.lit(0.0).alias("channel"), "n")
-    asked_for = useful.select("word").unionByName(spots.filter("divided AND instr(word, '-') > 0").select("word")).distinct()  # words whose own counts matter
-    kept = useful.unionByName(itself.join(asked_for, "word", "left_semi"))
-    own = spots.select("id", "word").distinct()
-    whole = own.filter(F.col("word").contains("-")).select("id", F.regexp_replace("word", "-", "").alias("word"))
-    found = own.join(kept, "word").select("id", "word", "candidate", "channel", "n").unionByName(whole.join(itself, "word").select("id", "word", "candidate", "channel", "n"))
-    per_doc = found.groupBy("id").agg(F.collect_set(F.struct("word", "candidate", "channel", "n")).alias("known"))
-    near = spots.filter("before IS NOT NULL OR after IS NOT NULL").join(useful.select("word", "candidate"), "word")
+    kept = useful.unionByName(itself.join(useful.select("word").unionByName(whole).distinct(), "word", "left_semi"))  # words whose own counts matter
+    own = spots.select("id", "word").unionByName(both).distinct()
+    known = own.join(kept, "word").groupBy("id").agg(F.collect_set(F.struct("word", "candidate", "channel", "n")).alias("known"))
+    near = spots.join(useful.select("word", "candidate"), "word")
     asked = near.select("id", F.explode(F.array(F.struct(F.col("before").alias("a"), F.col("candidate").alias("b")), F.struct(F.col("candidate").alias("a"), F.col("after").alias("b")))).alias("p"))
     asked = asked.select("id", "p.a", "p.b").filter("a IS NOT NULL AND b IS NOT NULL").distinct()
     grams = asked.join(table.filter("b IS NOT NULL"), ["a", "b"]).join(words.select(F.col("word").alias("a"), F.col("n").alias("na")), "a").groupBy("id").agg(F.collect_list(F.struct("a", "b", "n", "na")).alias("grams"))
-    docs = src.join(per_doc, "id", "left").join(grams, "id", "left")
+    return src, records, known.join(grams, "id", "left"), total
 
-    def run(frames):
-        for pdf in frames:
-            out = []
-            for i, text, own_known, own_grams in zip(pdf["id"], pdf["text"], pdf["known"], pdf["grams"]):
-                out.extend(emit(i, Reading(text, () if own_known is None else own_known, own_grams, total)))
-            yield pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in schema.split(",")])
 
-    return docs.mapInPandas(run, schema)
+def _noise(frames, total: float):
+    for pdf in frames:
+        out = []
+        for i, shown, divided, rows, known, grams in zip(pdf["id"], pdf["furniture"], pdf["divided"], pdf["rows"], pdf["known"], pdf["grams"]):
+            out.extend((i, no, "furniture") for no in shown)
+            rows = [(r["line"], r["end"], r["half"], r["words"]) for r in rows]
+            out.extend((i, no, what) for no, what in decide(rows, [(d["line"], d["a"], d["b"]) for d in divided], () if known is None else known, grams, total)[0])
+        frame = pd.DataFrame(out, columns=["id", "line_no", "noise"])
+        frame["id"] = frame["id"].astype(pdf["id"].dtype)
+        yield frame
 
 
 def noise(scans: DataFrame, id_col: str = "id", column: str = "data") -> DataFrame:
     """(id, line_no, noise): furniture, hyphen and misread lines."""
-    return readings(scans, lambda i, r: [(i, no, kind) for no, kind in r.noise], "id bigint, line_no bigint, noise string", id_col, column).distinct()
+    _, records, known, total = evidence(scans, id_col, column)
+    kind = scans.schema[id_col].dataType.simpleString()
+    return records.join(known, "id", "left").mapInPandas(lambda f: _noise(f, total), f"id {kind}, line_no bigint, noise string").distinct()
 
 
 def repaired(scans: DataFrame, id_col: str = "id", column: str = "data") -> DataFrame:
     """(id, text): the repaired paragraphs."""
-    return readings(scans, lambda i, r: [(i, r.text())], "id bigint, text string", id_col, column)
+    src, _, known, total = evidence(scans, id_col, column)
+    kind = scans.schema[id_col].dataType.simpleString()
+
+    def run(frames):
+        for pdf in frames:
+            out = [(i, Reading(text, () if k is None else k, g, total).text()) for i, text, k, g in zip(pdf["id"], pdf["text"], pdf["known"], pdf["grams"])]
+            frame = pd.DataFrame(out, columns=["id", "text"])
+            frame["id"] = frame["id"].astype(pdf["id"].dtype)
+            yield frame
+
+    return src.join(known, "id", "left").mapInPandas(run, f"id {kind}, text string")

@@ -45,9 +45,14 @@ def test_noise_and_text(spark):
     assert scans.noise(df.limit(0)).count() == 0
 
 
-def test_proposals():
-    assert "modern" in scans.proposals("rnodem") and "clear" in scans.proposals("c1ear") and "quick" in scans.proposals("qii1ck")
-    assert scans.proposals("648") == {} and all("1" not in w for w in scans.proposals("c1ear"))
+def test_candidates(spark):
+    pairs = [("rnodem", "modern"), ("c1ear", "clear"), ("qii1ck", "quick"), ("1nf0rm@t10n", "information"), ("l0ng" * 12, "long" * 12), ("l", "i"), ("sec0nd-h@nd", "second-hand"), ("vvlndovv", "window"), ("cllclclcd", "dlddcd")]
+    assert all(scans.channel(a, b) is not None for a, b in pairs)
+    assert scans.channel("648", "648") == 0.0 and scans.channel("cat", "dog") is None and scans.channel("c1ear", "clear") > scans.channel("c1car", "clear")
+    df = spark.createDataFrame(pairs, "a string, b string").select(scans.stroke_key(scans.F.col("a")).alias("a"), scans.stroke_key(scans.F.col("b")).alias("b"))
+    assert df.filter("a <> b").count() == 0
+    one = spark.createDataFrame([(x, y) for x, y, _ in scans.CONFUSIONS], "a string, b string").select(scans.stroke_key(scans.F.col("a")).alias("a"), scans.stroke_key(scans.F.col("b")).alias("b"))
+    assert one.filter("a <> b").count() == 0
 
 
 def kept(text):
