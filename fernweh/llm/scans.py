@@ -42,6 +42,7 @@ CONFUSIONS = [
     ("b", "h", 0.004), ("9", "g", 0.004), ("vv", "w", 0.004), ("n", "ri", 0.003), ("h", "li", 0.003), ("l", "i", 0.002), ("m", "rn", 0.002), ("6", "b", 0.002), ("8", "b", 0.001), ("1", "i", 0.001),
 ]
 RATIO = 0.03  # a misread form is at most this often in the collection as its word
+EDGE = 3  # lines at each end of a page among which what recurs is counted; furniture goes on from there as far as it stands
 MARKS = 1 << 20  # bits that tell words which may be misread; more words than that cost time, not results
 
 HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐­¬]\s*$")
@@ -103,11 +104,11 @@ def furniture(text: str) -> set[int]:
     book = [[(no, x) for no, x in page if x.strip()] for page in whole]
     keys: Counter = Counter()
     for page in book:
-        edge = {id(x): x for x in [*page[:2], *page[-3:]]}.values()
+        edge = {x[0]: x for x in [*page[:EDGE], *page[-EDGE:]]}.values()
         keys.update({fold(_split_numbered(x) or x.strip()) for _, x in edge if not _PAGE_NO.match(x.strip()) and not HYPHEN.search(x)})
     numbers: Counter = Counter()
     for k, page in enumerate(book):
-        for _, x in {*page[:2], *page[-2:]}:
+        for _, x in {*page[:EDGE], *page[-EDGE:]}:
             if _BARE.match(x.strip()) and (v := _number(x)) is not None:
                 numbers[v - k] += 1
     many = len([p for p in book if p]) > 1
@@ -133,26 +134,26 @@ def furniture(text: str) -> set[int]:
                     return False
                 return alone or i > 0 and not _ROW.match(before) and not re.match(r"^\S+ \d+$", before) and (x.isdigit() or not many or bare_pages > 1 or len(x) < 4)
             rest = _split_numbered(line)
-            if rest is not None and (keys[fold(rest)] >= 2 or re.match(rf"^{_NUMBER}\s*\|", x) or top and k > 0 or len(rest) < 50 and not re.search(r"[.,;]$", rest) and _PAGE_NO.match(x[len(rest):].strip() or "-")):
+            if rest is not None and (keys[fold(rest)] >= 2 or re.match(rf"^{_NUMBER}\s*\|", x) or top and k > 0 or len(rest) < width and not re.search(r"[.,;]$", rest) and _PAGE_NO.match(x[len(rest):].strip() or "-")):
                 return True
             if not top and _STAMP.match(x):
                 return True
             if _ROW.match(x) or HYPHEN.search(line):
                 return False
-            if many and keys[fold(x)] >= 2 and len(x) < 60:
+            if many and keys[fold(x)] >= 2:
                 return True
             if top and many and i == 0 and k > 0 and len(x) < 0.55 * width and not re.search(r"[.:!?,;]$", x):
                 return True  # running text fills its lines
             letters = re.sub(r"[\W\d_]", "", x)
-            return top and many and i == 0 and len(x) < 48 and len(letters) > 5 and (letters.isupper() or sum(c.isupper() for c in letters) > 0.8 * len(letters))
+            return top and many and i == 0 and len(x) < width and len(letters) > 5 and (letters.isupper() or sum(c.isupper() for c in letters) > 0.8 * len(letters))
 
         hi = len(page)
-        for i in range(len(page) - 1, max(-1, len(page) - 5), -1):
+        for i in range(len(page) - 1, -1, -1):
             if not is_it(i, False):
                 break
             hi = i
             out.add(page[i][0])
-        for i in range(0, min(3, hi)):
+        for i in range(hi):
             if not is_it(i, True):
                 break
             out.add(page[i][0])
