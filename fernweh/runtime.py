@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -84,6 +85,20 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.repartition(cores, key) if key else df.repartition(cores)
 
 
+def scatter(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows spread by keys over as many tasks as shuffles have. Unlike the exchanges of joins and aggregates these aren't merged by size, which small rows that cost much Python would suffer from; a distinct or a join by the keys that follows needs no other."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+SMALL = 1_000_000  # keys that may be broadcast
+
+
+def keep_keys(df: DataFrame, keys: DataFrame, on: str, bound: int = SMALL) -> DataFrame:
+    """Rows whose key is among the keys (one column, materialized). Up to `bound` keys are broadcast, so that the rows aren't shuffled; more meet them by a shuffled semi-join."""
+    few = keys.limit(bound + 1).count() <= bound
+    return df.join(F.broadcast(keys) if few else keys, on, "left_semi")
+
+
 _shipped: set[str] = set()
 
 
