@@ -52,6 +52,24 @@ def test_lost_letters_follow_the_language(spark):
     assert {r.id for r in E.restore(df, wording=False).collect()} == set(damaged)
 
 
+def test_lost_bytes_of_letters_and_signs_beside_damage(spark):
+    good = ["die Bücher stehen im früheren Frühstück ähnlich", "er sagte: „ja” und ging dann später nach oben", "le café déjà fermé"] * 30
+    bad = {
+        900: ("alle BÃ\ufffdcher dort", "alle Bücher dort"), 901: ("etwas \u00abÃ¤hnlich\u00bb war", "etwas \u00abähnlich\u00bb war"), 902: ("ein frÃ¼\ufffdst\ufffdck", "ein frÃ¼\ufffdst\ufffdck"), 903: ("er sagte jaâ€\ufffd und ging", "er sagte ja” und ging"),
+        904: ("ein Fr\ufffdhstück hier", "ein Frühstück hier"), 905: ("le cafÃ\ufffd dÃ©jÃ\ufffd", "le café déjà"),
+    }
+    del bad[902]
+    df = spark.createDataFrame([*enumerate(good), *((k, v[0]) for k, v in bad.items())], "id long, data string")
+    out = {r.id: r.restored for r in E.restore(df).collect()}
+    assert out == {k: v[1] for k, v in bad.items()}
+
+
+def test_lattice():
+    k = next(k for k, c in enumerate(E.CHANNELS) if c[0] == "utf-8 as cp1252")
+    assert E.lattice("BÃ\ufffdcher", k) == ("B\ufffdcher", 0) and E.lattice("â€\ufffd", k) == ("”", 0) and E.lattice("\u00abÃ¤\u00bb", k) == ("\u00abä\u00bb", 2)
+    assert E.lattice("größer", k) is None and E.lattice("\ufffd", k) is None and E.lattice("\ufffd" * 5000, k) is None
+
+
 @pytest.mark.parametrize("k", range(len(E.CHANNELS)))
 def test_channels_round_trip(k):
     _, wrong, right, times = E.CHANNELS[k]
