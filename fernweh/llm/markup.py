@@ -1,11 +1,12 @@
 """Telling markup from text and converting it to clean text.
 
-A text becomes a tree: the document, its blocks (paragraphs, code, fenced code, headings, lists, tables) and in them
-the constructs that look like markup or like code. Every node has a hidden label: plain, code, html, markdown, wiki or
-latex. Node potentials say how well a construct fits a label, parent-child potentials how labels follow each other
-down the tree; both are counted over labelled pages. Sum-product message passing, upward and then downward, is exact
-on the tree and gives each node's marginals. A kind of markup is in a text if a node's marginal for it is over one
-half, and only those nodes' constructs are converted.
+A text becomes a tree: the document, its blocks (paragraphs, code, fenced code, headings, lists, tables), in them the
+constructs that look like markup or like code, and in elements and environments that are closed what these hold.
+Every node has a hidden label: plain, code, html, markdown, wiki or latex. Node potentials say how well a construct
+fits a label, parent-child potentials how labels follow each other down the tree; both are counted over labelled
+pages. Sum-product message passing, upward and then downward, is exact on the tree and gives each node's marginals. A
+kind of markup is in a text if a node's marginal for it is over one half, and constructs whose marginals say otherwise
+are left as they stand when the text is converted.
 
 The labelled pages are written by a seeded generator from a grammar of the four languages and of things that only
 look like them: source code, shell lines, paths, addresses, comparisons, prices, references. Their number is the
@@ -36,7 +37,7 @@ from fernweh.runtime import spread
 
 LABELS = ("plain", "code", "html", "markdown", "wiki", "latex")
 KINDS = LABELS[2:]
-TRAINING_PAGES = 1500
+TRAINING_PAGES = 4000
 
 # Element names of HTML, commands of LaTeX.
 _TAGS = (
@@ -53,19 +54,20 @@ _T, _C = "|".join(_TAGS), "|".join(_COMMANDS)
 # Constructs: (feature, pattern). Earlier ones take precedence where they overlap.
 _INLINE = [
     ("html.doctype", r"<!DOCTYPE\b[^<>]*>"),
-    ("html.comment", r"<!--(?:[^-]|-(?!->)){0,5000}-->"),
-    ("wiki.tag", r"</?(?:ref|nowiki|gallery|noinclude|includeonly|references)\b[^<>\n]*/?>"),
+    ("html.comment", r"<!--(?:[^-]|-(?!->))*+(?:-->)?"),
+    ("wiki.tag", r"</?(?:ref|nowiki|gallery|noinclude|includeonly|onlyinclude|references|syntaxhighlight|math|poem|timeline|imagemap)\b[^<>\n]*/?>"),
     ("html.tag", rf"<(?:{_T})(?:\s+[a-zA-Z-]+(?:\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s<>]+))?)*\s*/?>"),
     ("html.end", rf"</(?:{_T})\s*>"),
     ("html.broken", rf"<(?:{_T})\s+[a-zA-Z-]+=\"[^\"<>\n]*(?=\n|$)|</(?:{_T})(?=\s|$)"),
-    ("html.escaped", rf"&lt;/?(?:{_T})\b(?:[^&\n]|&(?!gt;)){0,300}&gt;"),
+    ("html.escaped", rf"&lt;/?(?:{_T})\b(?:[^&\n]|&(?!gt;|lt;))*+&gt;"),
     ("html.entity", r"&(?:[a-zA-Z][a-zA-Z0-9]{1,31}|#\d{1,7}|#[xX][0-9a-fA-F]{1,6});"),
     ("other.address", r"<[^\s<>@]+@[^\s<>@]+>|<https?://[^\s<>]+>"),
     ("other.generic", r"\w<\s*\w+(?:\s*,\s*\w+)*\s*>"),
     ("other.tag", r"</?[A-Za-z][\w-]*\s*/?>"),
-    ("latex.display", r"\$\$[^$]{1,2000}\$\$|\\\[(?:[^\\]|\\[^\]\[]){1,2000}\\\]|\\\((?:[^\\\n]|\\[^()\n]){1,500}\\\)"),
+    ("latex.display", r"\$\$[^$]++\$\$|\\\[(?:[^\\]|\\[^\]\[])++\\\]|\\\((?:[^\\\n]|\\[^()\n])++\\\)"),
     ("latex.env", r"\\(?:begin|end)\{[a-zA-Z]+\*?\}"),
     ("latex.command", rf"\\(?:{_C})(?![A-Za-z])(?:\[[^\]\n]*\])?\{{"),
+    ("latex.macro", r"\\[A-Za-z]{3,}\*?(?:\[[^\]\n]*\])?\{(?=[^{}\n]*\})"),
     ("latex.math", r"\$[^$\n]*(?:\\[a-zA-Z]+|[_^]\{)[^$\n]*\$"),
     ("other.path", r"\b[A-Za-z]:\\[^\s]*|\\\\[\w.$-]+\\[\w.$\\-]+"),
     ("latex.symbol", rf"\\(?:{_C})(?![A-Za-z])"),
@@ -116,17 +118,51 @@ class Node:
     children: list["Node"] = field(default_factory=list)
     marginal: dict[str, float] | None = None
 
+    @property
+    def label(self) -> str:
+        """The label whose marginal is over one half, plain if there is none."""
+        best = max(self.marginal, key=self.marginal.get)
+        return best if self.marginal[best] > 0.5 else "plain"
+
+
+_VOID = {"area", "base", "br", "col", "hr", "img", "input", "link", "meta", "wbr", "param", "source", "p", "li", "td", "tr", "th", "dd", "dt", "option"}
+_OPENS = re.compile(r"<([A-Za-z][\w-]*)[^>]*(?<!/)>$|\\begin\{([a-zA-Z]+\*?)\}$")
+_CLOSES = re.compile(r"</([A-Za-z][\w-]*)\s*>$|\\end\{([a-zA-Z]+\*?)\}$")
+
 
 def _inline(text: str, start: int, end: int) -> list[Node]:
-    out = []
-    for m in _INLINE_RX.finditer(text, start, end):
-        f = _INLINE[int(m.lastgroup[1:])][0]
-        out.append(Node(f, m.start(), m.end()))
-        if f in ("wiki.bold", "wiki.italic", "markdown.bold", "markdown.link", "latex.command"):  # what they hold may be marked up too
-            pass
+    """Constructs of a block in order; what stands between the ends of an element or environment are its children."""
+    flat = [Node(_INLINE[int(m.lastgroup[1:])][0], m.start(), m.end()) for m in _INLINE_RX.finditer(text, start, end)]
+    closes: dict[int, int] = {}  # place of an opening -> place of its end
+    open_: dict[str, list[int]] = {}
+    for k, node in enumerate(flat):
+        if node.feature not in ("html.tag", "html.end", "latex.env", "wiki.tag", "other.tag"):
+            continue
+        said = text[node.start : node.end]
+        if (m := _CLOSES.search(said)) and open_.get(name := (m[1] or m[2]).lower()):
+            closes[open_[name].pop()] = k
+        elif (m := _OPENS.search(said)) and (name := (m[1] or m[2]).lower()) not in _VOID:
+            open_.setdefault(name, []).append(k)
+    out: list[Node] = []
+    path: list[tuple[int, list[Node]]] = [(len(flat), out)]  # (place of the end, children)
+    for k, node in enumerate(flat):
+        while k > path[-1][0]:
+            path.pop()
+        path[-1][1].append(node)
+        if k in closes and closes[k] <= path[-1][0]:  # ends that cross each other nest nothing
+            path.append((closes[k], node.children))
     return out
 
 
+def descendants(node: Node):
+    """All nodes below this one, parents first."""
+    todo = list(reversed(node.children))
+    while todo:
+        c = todo.pop()
+        yield c
+        todo.extend(reversed(c.children))
+
+
 def parse(text: str) -> Node:
     """The tree of a text; blocks without a construct are left out."""
     root = Node("document", 0, len(text))
@@ -214,16 +250,18 @@ def _training(pages: int, seed: int = 11):
     wiki = [
         lambda: f"{'=' * (n := rng.randint(2, 4))} {said()} {'=' * n}\n'''{said()}''' {prose()}\n* [[{said()}|{w()}]]\n* [[{said()}]]", lambda: f"{{{{Infobox {w()}\n| name = {said()}\n| size = 3\n}}}}\n{prose()}", lambda: f"{prose()} [[{w().capitalize()}]] {said()}. [https://{w()}.example/{w()} {said()}]",
         lambda: f"{{| class=\"wikitable\"\n! {said()} !! {said()}\n|-\n| 1 || 2\n|}}", lambda: f"=={said()}==\n{prose()}<ref>{said()}</ref>\n\n{{{{cite|{w()}}}}}", lambda: f"{prose()} ''{w()}'' {said()}", lambda: f"[[Category:{w()}]]\n# [[{w()}]]\n; {w()} : [[{said()}]]",
+        lambda: f"{prose()} <syntaxhighlight lang=\"py\">\n{code_line()}\n</syntaxhighlight>", lambda: f"{prose()} <math>x_2</math> {said()} <nowiki>{w()}</nowiki>", lambda: f"#REDIRECT [[{w().capitalize()}]]",
     ]
     latex = [
         lambda: f"\\documentclass{{article}}\n\\begin{{document}}\n\\section{{{said()}}}\n{prose()}\n\\begin{{itemize}}\n\\item {said()}\n\\end{{itemize}}\n\\end{{document}}", lambda: f"{prose()} \\textbf{{{w()}}} {said()} where $\\alpha_{{2}} \\leq \\frac{{b_8}}{{4}}$.~\\cite{{{w()}}}",
         lambda: f"\\begin{{equation}}\nE_9 = c_4 \\cdot t^{{2}}\n\\end{{equation}}\n{prose()}", lambda: f"{prose()}\n\\[ \\sum_{{i=1}}^{{6}} b_7 = \\sqrt{{39}} \\]", lambda: f"{prose()}\n\n$$\\int_0^{{4}} c_4\\,dx$$", lambda: f"{prose()} \\emph{{{said()}}} (see \\ref{{{w()}}})", lambda: f"{prose()} $x^{{2}}_{{i}}$ {said()}",
+        lambda: f"{prose()} \\{rng.choice(['my', 'the', 'new'])}{rng.choice(['vec', 'set', 'term'])}{{{w()}}} {said()}", lambda: f"{said()} \\operatorname{{{w()}}} {prose()}", lambda: f"\\begin{{abstract}}\n{prose()} \\emph{{{w()}}} \\dots\n\\end{{abstract}}",
     ]
     near = [
         lambda: "\n".join(code_line() for _ in range(rng.randint(3, 12))), lambda: f"$ {w()} --{w()} > {w()}.log\n$ cat {w()} | grep -v '{w()}'", lambda: f"Use list<{w()}> in the header, not map<int, {w()}>.", lambda: f"Mail {w()} <{w()}@{w()}.example> or visit https://{w()}.example/a_b_c",
         lambda: f"if [[ -f {w()}.txt ]]; then x == y", lambda: f"{prose()} C:\\{w()}\\{w()}\\old_{w()}.doc to D:\\ {said()}", lambda: f"It costs $ 20 to $ 54 a {w()}, see #144. {prose()}", lambda: f"Refs [3] and [7] (see p. 85); 2^5 rows {{draft}}. {prose()}", lambda: f"Total = 4 * 51 * queue_{w()}_count",
         lambda: f"If the {w()} < 81 and the {w()} > 72, call {w()}. R&D and {w()} & {w()}.", lambda: f"{w().capitalize()} & {w().capitalize()} wrote '{said()}' *\n\n{prose()}", lambda: f"- {said()}\n- {said()}\n\n{prose()}", lambda: f"1. {said()}\n2. {said()}\n\n{prose()}", lambda: f"{w()},{w()},{w()}\n1,2,3\n,{w()},4",
-        lambda: f"{w()} | {w()} | {w()}\n{prose()}", lambda: f"• {said()}\n• {w()}\n\n{prose()}", lambda: f"---\n{prose()}", lambda: f"* {said()}\n{prose()}", lambda: f"<{w()}> {prose()} <{w()}>",
+        lambda: f"{w()} | {w()} | {w()}\n{prose()}", lambda: f"• {said()}\n• {w()}\n\n{prose()}", lambda: f"---\n{prose()}", lambda: f"* {said()}\n{prose()}", lambda: f"<{w()}> {prose()} <{w()}>", lambda: f"re.compile(r'\\p{{Lu}}\\x{{41}}')", lambda: f"path = '\\{w()}\\{w()}.txt'",
     ]
     for k in range(pages):
         parts, kinds = [prose()], set()
@@ -258,15 +296,18 @@ class Model:
             top = min(kinds, key=LABELS.index) if kinds else "code" if code_only else "plain"
             self._add(node, n, "document", top)
             for b in tree.children:
-                marks = [c.feature.split(".")[0] for c in b.children if c.feature.split(".")[0] in kinds]
+                marks = [c.feature.split(".")[0] for c in descendants(b) if c.feature.split(".")[0] in kinds]
                 own = "code" if b.feature == "block.code" else max(set(marks), key=marks.count) if marks else "plain"
                 self._add(node, n, b.feature, own)
                 edge[top][own] += 1
-                for c in b.children:
+                todo = [(own, c) for c in b.children]
+                while todo:
+                    above, c = todo.pop()
                     kind = c.feature.split(".")[0]
                     label = kind if kind in kinds and own != "code" else self._other(c.feature, own, kinds)
                     self._add(node, n, c.feature, label)
-                    edge[own][label] += 1
+                    edge[above][label] += 1
+                    todo += [(label, x) for x in c.children]
         total = sum(n.values())
         # P(feature | label), up to a factor that is common to all labels
         self.node = {f: [(by.get(x, 0.0) + 0.05) / n[x] * total for x in LABELS] for f, by in node.items()}
@@ -298,11 +339,8 @@ class Model:
             s = sum(p) or 1.0
             return [x / s for x in p]
 
-        def product(messages, start):
-            p = list(start)
-            for m in messages:
-                p = norm([a * b for a, b in zip(p, m)])
-            return p
+        def product(p, q):
+            return norm([a * b for a, b in zip(p, q)])
 
         def less(p, m):
             return norm([a / max(b, 1e-12) for a, b in zip(p, m)])
@@ -310,20 +348,24 @@ class Model:
         def down(p):
             return [sum(p[a] * self.edge[a][b] for a in range(len(LABELS))) for b in range(len(LABELS))]
 
-        ups = []
-        for b in tree.children:
-            local = product([self.up.get(c.feature, self.flat) for c in b.children], self.node.get(b.feature, self.flat))
-            b.marginal = local  # for now: what the block has from itself and from below
-            ups.append(self._message(local))
-        top = product(ups, [a * b for a, b in zip(self.top, self.node.get("document", self.flat))])
-        tree.marginal = dict(zip(LABELS, top))
-        for b, up in zip(tree.children, ups):
-            full = norm([x * y for x, y in zip(down(less(top, up)), b.marginal)])
-            for c in b.children:
-                above = down(less(full, self.up.get(c.feature, self.flat)))
-                own = norm([x * y for x, y in zip(above, self.node.get(c.feature, self.flat))])
-                c.marginal = dict(zip(LABELS, own))
-            b.marginal = dict(zip(LABELS, full))
+        nodes = [tree, *descendants(tree)]  # parents stand before their children
+        local, up = {}, {}  # what a node has from itself and from below; what it tells its parent
+        for c in reversed(nodes):
+            own = self.node.get(c.feature, self.flat)
+            if c is tree:
+                own = [a * b for a, b in zip(self.top, own)]
+            if not c.children:
+                local[id(c)], up[id(c)] = own, self.up.get(c.feature, self.flat)
+                continue
+            for x in c.children:
+                own = product(own, up[id(x)])
+            local[id(c)], up[id(c)] = own, self._message(own)
+        full = {id(tree): norm(local[id(tree)])}
+        for c in nodes:
+            p = full[id(c)]
+            c.marginal = dict(zip(LABELS, p))
+            for x in c.children:
+                full[id(x)] = product(down(less(p, up[id(x)])), local[id(x)])
         return tree
 
 
@@ -335,21 +377,15 @@ def model() -> Model:
 _WEAK = {"other.dash", "other.bullet", "other.number"}
 
 
-def read(text: str) -> tuple[Node | None, set[str]]:
+def read(text: str, fitted: Model | None = None) -> tuple[Node | None, set[str]]:
     """(tree with marginals, kinds of markup); None where nothing looks like markup."""
     if not text or not _MAYBE.search(text):
         return None, set()
     tree = parse(text)
     if not tree.children:
         return None, set()
-    model().run(tree)
-    kinds = set()
-    for b in tree.children:
-        for c in b.children:
-            if c.feature not in _WEAK:
-                label = max(c.marginal, key=c.marginal.get)
-                if label in KINDS and c.marginal[label] > 0.5:
-                    kinds.add(label)
+    (fitted or model()).run(tree)
+    kinds = {c.label for b in tree.children for c in descendants(b) if c.feature not in _WEAK and c.label in KINDS}
     return tree, kinds
 
 
@@ -420,19 +456,45 @@ def _from_markdown(text: str) -> str:
     return re.sub(r"(?<!`)`([^`\n]+)`(?!`)", r"\1", text)
 
 
+def _template(inner: str) -> str:
+    """What a template shows: an infobox its values by name, a citation or a navigation bar nothing, others their last value."""
+    name, _, rest = inner.partition("|")
+    if re.match(r"\s*(?:cite|navbox|stub|reflist|citation)", name, re.I):
+        return ""
+    values = [x.strip() for x in rest.split("|")]
+    if re.match(r"\s*(?:info)?box", name, re.I):
+        return "\n" + "\n".join(re.sub(r"^\s*([^=\n]+?)\s*=\s*", r"\1: ", x) for x in values if x)
+    return values[-1] if rest else name.strip()
+
+
+def _nested(text: str, opening: str, closing: str, close) -> str:
+    """Replaces what stands between openings and closings, inner ones first, by close(opening, inner); ends without a partner stay."""
+    stack: list[tuple[str, list[str]]] = [("", [])]
+    for part in re.split(f"({opening}|{closing})", text):
+        if re.fullmatch(opening, part):
+            stack.append((part, []))
+        elif re.fullmatch(closing, part) and len(stack) > 1:
+            said, inner = stack.pop()
+            stack[-1][1].append(close(said, "".join(inner)))
+        else:
+            stack[-1][1].append(part)
+    return "".join(said + "".join(parts) for said, parts in stack)
+
+
 def _from_wiki(text: str) -> str:
     text = re.sub(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref>", "", text, flags=re.S)
-    for _ in range(4):
-        text, n = re.subn(r"\{\{([^{}]*)\}\}", lambda m: "" if re.match(r"\s*(?:cite|infobox|navbox|stub)", m[1], re.I) else m[1].split("|")[-1].strip(), text)
-        if not n:
-            break
+    text = re.sub(r"</?(?:nowiki|noinclude|includeonly|onlyinclude|syntaxhighlight|math|poem|gallery|references|timeline|imagemap)\b[^<>\n]*>\n?", "", text)
+    text = _nested(text, r"\{\{", r"\}\}", lambda _, inner: _template(inner))
     text = re.sub(r"(?m)^(={1,6})\s*(.*?)\s*\1\s*$", r"\2", text)
     text = re.sub(r"(?m)^(?:\{\|.*|\|\}|\|-.*)\n?", "", text)
     text = re.sub(r"(?m)^[!|] ?(.*(?:!!|\|\|).*)$", lambda m: " | ".join(c.strip() for c in re.split(r"!!|\|\|", m[1])), text)
     text = re.sub(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]\n]*)\]\]", r"\1", text)
     text = re.sub(r"\[https?://\S+ ([^\]\n]+)\]", r"\1", text)
     text = re.sub(r"'{2,5}(?=\S)([^\n]*?\S)'{2,5}", r"\1", text)
-    return re.sub(r"(?m)^[*#]+ ?", "- ", text)
+    return re.sub(r"(?m)^(?!#REDIRECT\b)[*#]+ ?", "- ", text)
+
+
+_SHOWN = re.compile(r"\\(?:(?:sub)*section|chapter|paragraph|part|title|author|date|textbf|textit|texttt|emph|underline|footnote|caption|text)\*?\{")
 
 
 def _from_latex(text: str) -> str:
@@ -442,26 +504,37 @@ def _from_latex(text: str) -> str:
     text = re.sub(r"\$([^$\n]*(?:\\[a-zA-Z]+|[_^]\{)[^$\n]*)\$", r"\1", text)
     text = re.sub(r"~?\\(?:cite[pt]?|ref|eqref)\{[^{}]*\}", "", text)
     text = re.sub(r"(?m)^[ \t]*\\item\s*", "- ", text)
-    for _ in range(3):
-        text = re.sub(r"\\(?:(?:sub)*section|chapter|paragraph|part|title|author|date|textbf|textit|texttt|emph|underline|footnote|caption|text)\*?\{([^{}]*)\}", r"\1", text)
-    return text.replace("~", " ")
+    text = _nested(text, r"\\[A-Za-z]+\*?\{|\{", r"\}", lambda said, inner: inner if _SHOWN.fullmatch(said) else f"{said}{inner}}}")
+    return re.sub(r"(?<=[\w.,:;)\]}])~(?=[\w\\({$])", " ", text)  # ties; other tildes are paths and addresses
 
 
-def clean(text: str) -> str:
+def clean(text: str, fitted: Model | None = None) -> str:
     """Clean text; the same text where no markup is found."""
-    tree, kinds = read(text)
+    tree, kinds = read(text, fitted)
     if not kinds:
         return text
     held: list[str] = []
     pieces, at = [], 0
-    for b in tree.children:  # code keeps its lines
+
+    def hold(start: int, end: int, said: str) -> None:
+        nonlocal at
+        if start < at:
+            return
+        held.append(said)
+        pieces.extend((text[at:start], f"\ue002{len(held) - 1}\ue003"))
+        at = end
+
+    for b in tree.children:
         fence = b.feature == "block.fence" and "markdown" in kinds
-        if b.feature == "block.code" and b.marginal["code"] > 0.5 or fence:
-            pieces.append(text[at : b.start])
-            own = text[b.start : b.end]
-            held.append(re.sub(r"(?m)^\s*(?:```+|~~~+)[^\n]*\n?", "", own).rstrip("\n") if fence else own)
-            pieces.append(f"\ue002{len(held) - 1}\ue003")
-            at = b.end
+        own = text[b.start : b.end]
+        if fence:  # code keeps its lines
+            hold(b.start, b.end, re.sub(r"(?m)^\s*(?:```+|~~~+)[^\n]*\n?", "", own).rstrip("\n"))
+        elif b.feature == "block.code" and b.marginal["code"] > 0.5:
+            hold(b.start, b.end, own)
+        else:  # and so does what looks like markup and isn't
+            for c in sorted(descendants(b), key=lambda c: (c.start, -c.end)):
+                if c.label not in KINDS and c.feature not in _WEAK and not c.feature.startswith(("markdown.heading", "markdown.quote", "markdown.setext", "other.dash", "other.bullet", "other.number")):
+                    hold(c.start, c.end, text[c.start : c.end])
     out = "".join(pieces) + text[at:]
     if "latex" in kinds:
         out = _from_latex(out)
@@ -488,15 +561,18 @@ def kinds(texts: DataFrame, id_col: str = "id", column: str = "data") -> DataFra
     """(text_id, markup): a row for each kind of markup of each text."""
     kind = texts.schema[id_col].dataType.simpleString()
     src = spread(texts.select(id_col, column).filter(F.col(column).isNotNull()))
-    return src.mapInPandas(lambda f: _each(f, id_col, column, lambda i, t: [(i, k) for k in read(t)[1]], ["text_id", "markup"]), f"text_id {kind}, markup string").distinct()
+    fitted = model()  # fitted once, here; workers get its tables
+    return src.mapInPandas(lambda f: _each(f, id_col, column, lambda i, t: [(i, k) for k in read(t, fitted)[1]], ["text_id", "markup"]), f"text_id {kind}, markup string").distinct()
 
 
 def cleaned(texts: DataFrame, id_col: str = "id", column: str = "data") -> DataFrame:
     """(text_id, text, changed)."""
     kind = texts.schema[id_col].dataType.simpleString()
 
+    fitted = model()
+
     def emit(i, text):
-        new = clean(text) if text else text
+        new = clean(text, fitted) if text else text
         yield i, new, new != text
 
     return spread(texts.select(id_col, column)).mapInPandas(lambda f: _each(f, id_col, column, emit, ["text_id", "text", "changed"]), f"text_id {kind}, text string, changed boolean")
