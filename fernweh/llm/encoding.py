@@ -268,9 +268,10 @@ def scored_readings(chunks: DataFrame, counts: DataFrame) -> DataFrame:
     )
     score = each.join(counts, "token", "left").crossJoin(F.broadcast(total)).groupBy("chunk", "channel", "reading").agg((F.sum(logp) - KEEP * F.first("kept")).alias("score"))  # total is one row
     worded = F.when(F.col("reading").rlike("(?=\\p{L}{3})\\p{L}*[\\p{L}&&[^\\x00-\\x7f]]|[\\x{2E80}-\\x{9FFF}]"), 0.0).when(F.col("chunk").rlike("[\\x{80}-\\x{9f}]"), 0.0).otherwise(4.0)  # symbols alone prove little, control characters much
-    clean = score.filter("channel = -1").select("chunk", F.col("score").alias("as_is"))
     sure = F.when(F.col("chunk").rlike(f"[\\p{{L}}{LOST}]{LOST}|{LOST}\\p{{L}}"), DAMAGED).otherwise(0.0)  # lost letters are damage by definition, whichever channel reads the rest
-    better = score.filter("channel >= 0").join(clean, "chunk").withColumn("more", F.col("score") - F.col("as_is") - worded).filter("more > 0.5").select("chunk", "channel", "reading", (F.col("more") + sure).alias("gain"))
+    by_chunk = score.groupBy("chunk").agg(F.max(F.when(F.col("channel") == -1, F.col("score"))).alias("as_is"), F.collect_list(F.when(F.col("channel") >= 0, F.struct("channel", "reading", "score"))).alias("said"))  # a row per channel at most
+    better = by_chunk.select("chunk", "as_is", F.explode("said").alias("s")).select("chunk", "s.channel", "s.reading", (F.col("s.score") - F.col("as_is")).alias("more"))
+    better = better.withColumn("more", F.col("more") - worded).filter("more > 0.5").select("chunk", "channel", "reading", (F.col("more") + sure).alias("gain"))
     lost = chunks.select("chunk").filter(sure > 0).distinct()
     return better.unionByName(lost.select("chunk", F.lit(len(CHANNELS)).alias("channel"), F.lit("").alias("reading"), F.lit(DAMAGED).alias("gain")))
 
