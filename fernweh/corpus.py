@@ -23,6 +23,7 @@ class Corpus:
     folder: str
     home: str = HOME
     now: int = NOW
+    postings: str = ""  # a folder of stored postings; they are made anew where there is none
 
     def table(self, name: str) -> DataFrame:
         return read(self.spark, self.folder, name)

@@ -18,9 +18,14 @@ K1, B = 1.2, 0.75
 SORTS = {"name": ["name"], "size": ["size"], "date": ["mtime"], "path": ["path"]}
 
 
-def explicit_sort(hits: DataFrame, sort: str) -> DataFrame:
+def sort_order(sort: str) -> list[Column]:
+    """The columns of an explicit sort; ties are broken by the path, upward."""
     desc, key = sort.startswith("-"), sort.lstrip("-")
-    return hits.orderBy(*[F.desc(c) if desc else F.asc(c) for c in SORTS[key]], F.asc("path"))
+    return [*[F.desc(c) if desc else F.asc(c) for c in SORTS[key]], F.asc("path")]
+
+
+def explicit_sort(hits: DataFrame, sort: str) -> DataFrame:
+    return hits.orderBy(*sort_order(sort))
 
 
 def newest(files: DataFrame, k: int) -> DataFrame:
@@ -32,6 +37,12 @@ def ranked(hits: DataFrame, order: list[Column], k: int, rank: str = "rank") ->
     return hits.orderBy(*order).limit(k).withColumn(rank, (F.row_number().over(W.orderBy(*order)) - 1).cast("int"))
 
 
+def ranked_whole(hits: DataFrame, order: list[Column], most: int) -> DataFrame:
+    """All hits: the first `most` in this order numbered from 0, the others with the rank after the last. hits must be cheap to read twice."""
+    first = ranked(hits, order, most)
+    return first.unionByName(hits.join(first.select("id"), "id", "left_anti").withColumn("rank", F.lit(most)))
+
+
 def fuse(lists: list[tuple[DataFrame, float, str]], k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of (id, rank) lists: (id, score, sources)."""
     each = [df.select("id", (F.lit(w) / (k + F.col("rank") + 1)).alias("part"), F.lit(name).alias("source")) for df, w, name in lists]

@@ -53,6 +53,12 @@ class Ranking:
     idf: bool = True
     word_weight: float = 2
     z_gate: float = Z_GATE
+    word_gate: float = 0.5
+
+
+# Weights where no file has a vector: names and words alone.
+WORDS_ONLY = dict(name=1, name_power=1, coverage=1, every_word=0.5)
+NEVER = ("lean", "olean", "ilean")  # Fixed values: endings of files that meaning never finds.
 
 
 def query_terms(text: str) -> list[str]:
@@ -230,7 +236,7 @@ def rank(best: DataFrame, words: DataFrame, named: DataFrame, kinds: DataFrame,
     m = best.select("file", "z").join(words, "file", "full_outer").join(named, "file", "left").join(kinds, "file")
     share = F.coalesce("coverage", F.lit(0.0))
     counted = share if lookup or not r.idf else F.coalesce("weighted", F.lit(0.0))
-    m = m.filter((F.col("z") >= r.z_gate) | (share >= 0.5))
+    m = m.filter((F.col("z") >= r.z_gate) | (share >= r.word_gate))
     z = F.coalesce("z", F.lit(0.0))
     if pending is not None:
         m = m.join(pending.select("file", F.lit(True).alias("waits")), "file", "left")

@@ -17,14 +17,10 @@ RANGES = ArrayType(StructType([StructField("line", IntegerType()), StructField("
 
 
 def lines(texts: DataFrame, data: str = "data") -> DataFrame:
-    """One row per line: line and page count from 1, a form feed ends a line and a page."""
-    ends = F.regexp_extract_all(F.concat(F.col(data), F.lit("\n")), F.lit("(?s)[^\n\f]*([\n\f])"), 1)
-    rows = F.arrays_zip(T.lines(F.col(data)).alias("text"), ends.alias("end"))
-    pages = F.transform(F.sequence(F.lit(1), F.size(ends)), lambda i: F.size(F.filter(F.slice(ends, 1, i - 1), lambda e: e == "\f")) + 1)
-    has_pages = F.instr(data, "\f") > 0
-    zipped = F.when(has_pages, F.arrays_zip(T.lines(F.col(data)).alias("text"), pages.alias("page"))).otherwise(F.arrays_zip(T.lines(F.col(data)).alias("text"), F.array_repeat(F.lit(1), F.size(T.lines(F.col(data)))).alias("page")))
-    del rows
-    return texts.select("*", F.posexplode(zipped).alias("line", "row")).select(*[c for c in texts.columns if c != data], (F.col("line") + 1).cast("int").alias("line"), F.col("row.page").cast("int").alias("page"), F.col("row.text").alias("text"))
+    """One row per line: line and page count from 1, a form feed ends a line and a page. Pages are split first and number their lines, so that the cost is that of the text's length."""
+    page = lambda p, k: F.transform(F.split(p, "\n", -1), lambda x: F.struct((k + 1).cast("int").alias("page"), x.alias("text")))
+    rows = F.flatten(F.transform(F.split(F.col(data), "\f", -1), page))
+    return texts.select("*", F.posexplode(rows).alias("line", "row")).select(*[c for c in texts.columns if c != data], (F.col("line") + 1).cast("int").alias("line"), "row.page", "row.text")
 
 
 def matching_lines(texts: DataFrame, condition, most: int = 20, data: str = "data", keys=("id",)) -> DataFrame:

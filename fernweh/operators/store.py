@@ -2,23 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from fernweh.operators.duplicates import text_hash
 
 
-def write_contents(old_map: DataFrame, old_texts: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(texts, content_map) after new (id, data) replace those of their files; equal texts stay one, texts that no file has any more go.
+def numbered(rows: DataFrame, by: str, first: Column) -> DataFrame:
+    """rows with `number`, counted from `first` in the order of a hexadecimal column. Rows are ranked within their first two digits, whose sizes, 256 at most, give where each begins."""
+    head = rows.withColumn("head", F.substring(by, 1, 2))
+    sizes = head.groupBy("head").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("head").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    ranked = head.withColumn("rank", F.row_number().over(W.partitionBy("head").orderBy(by)))
+    return ranked.join(F.broadcast(sizes.select("head", "before")), "head").withColumn("number", first + F.col("before") + F.col("rank") - 1).drop("head", "rank", "before")
 
-    Texts are joined by hash; of equal ones the least id stays."""
+
+def write_contents(old_map: DataFrame, old_texts: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(added, removed, content_map) as new (id, data) replace the texts of their files: texts (id, data, hash) that no file had, numbered on from the greatest id; ids of texts that no file has any more; and (id, text, hash) of all files.
+
+    A batch meets the stored texts by hash: of those only (id, hash) is read on, no stored text is shuffled or written again. Of equal stored texts the least id stays; a null text has no row and its file loses its own."""
     fresh = new.select("id", "data", text_hash(F.col("data")).alias("hash"))
-    known = old_texts.select(F.col("id").alias("text"), "data", text_hash(F.col("data")).alias("hash"))
-    kept = old_map.join(fresh.select("id"), "id", "left_anti").join(known.select("text", "hash"), "text").select("id", "hash")
-    users = kept.unionByName(fresh.select("id", "hash"))
-    stored = known.select("hash", "text", "data").unionByName(fresh.select("hash", F.lit(None).cast("bigint").alias("text"), "data"))
-    texts = stored.groupBy("hash").agg(F.min("text").alias("text"), F.first("data").alias("data")).join(users.select("hash").distinct(), "hash", "left_semi")
-    return texts, users
+    known = old_texts.select(F.col("id").alias("text"), text_hash(F.col("data")).alias("hash"))
+    asked = fresh.filter("hash IS NOT NULL").groupBy("hash").agg(F.first("data").alias("data"))
+    stored = known.join(asked.select("hash"), "hash", "left_semi").groupBy("hash").agg(F.min("text").alias("text"))
+    last = old_texts.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("first"))
+    added = numbered(asked.join(stored, "hash", "left_anti").crossJoin(F.broadcast(last)), "hash", F.col("first")).select(F.col("number").cast("bigint").alias("id"), "data", "hash")
+    texts = stored.unionByName(added.select("hash", F.col("id").alias("text")))
+    changed = fresh.select("id", "hash").join(texts, "hash").select("id", "text", "hash")
+    kept = old_map.join(fresh.select("id"), "id", "left_anti").join(known, "text").select("id", "text", "hash")
+    users = kept.unionByName(changed)
+    removed = old_texts.select("id").join(users.select(F.col("text").alias("id")), "id", "left_anti")
+    return added, removed, users
+
+
+BUCKETS = 256
+
+
+def write_postings(postings: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
+    """Stores postings (term, col, id) by a hash of the term, so that a query for some words reads their parts only; in a part rows are sorted, and Parquet's statistics skip what isn't asked for."""
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    postings.withColumn("bucket", bucket).repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(folder)
+
+
+def read_postings(spark, folder: str, words: list[str] | None = None, prefixes: list[str] = (), buckets: int = BUCKETS) -> DataFrame:
+    """The stored postings, or those of some words and beginnings."""
+    p = spark.read.parquet(folder)
+    if words is None:
+        return p.drop("bucket")
+    hit = F.col("term").isin(*words)
+    if not prefixes:  # only the words' parts
+        in_parts = F.col("bucket").isin(*[r[0] for r in spark.range(1).select(F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(w)), F.lit(buckets)).cast("int") for w in words]))).collect()])
+        return p.filter(in_parts & hit).drop("bucket")
+    for x in prefixes:
+        hit = hit | F.col("term").startswith(x)
+    return p.filter(hit).drop("bucket")
 
 
 def append_vocabulary(vocab: DataFrame, terms: DataFrame) -> DataFrame:

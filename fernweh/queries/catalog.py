@@ -35,9 +35,9 @@ FILTERS = {
     "filter_year_until": ("mtime:<=2020", "mtime < 1609459200000"),
     "filter_created": ("created:2022", "created >= 1640995200000 AND created < 1672531200000"),
     "filter_tag": ("tag:URGENT tag:work", f"list_contains({TAGS}, 'urgent') AND list_contains({TAGS}, 'work')"),
-    "filter_name": ("name:report", rf"regexp_matches({BASE}, '(?i)report')"),
+    "filter_name": ("name:agenda", rf"regexp_matches({BASE}, '(?i)agenda')"),
     "filter_name_regex": (r"name:/^[a-m].*\d\./i", rf"regexp_matches({BASE}, '(?i)^[a-m].*\d\.')"),
-    "filter_glob": ("*saffron*.md", rf"regexp_matches({BASE}, '(?i)^.*saffron.*\.md$')"),
+    "filter_glob": ("*agenda*.md", rf"regexp_matches({BASE}, '(?i)^.*agenda.*\.md$')"),
     "filter_negated": ("-ext:py -size:<1k", "NOT (ext IN ('py')) AND NOT (size <= 1024)"),
     "filter_negated_tag": ("-tag:red type:image", f"NOT list_contains({TAGS}, 'red') AND kind = 'image'"),
 }

@@ -142,25 +142,21 @@ def moved_files(spark, d):
 
 
 def written_contents(spark, d):
-    """Texts kept after some files got those of others."""
+    """Files after some got the texts of others and some new ones: hash of each file's text, and whether the text is a new row."""
     c = Corpus(spark, d)
-    new = c.content.filter("id % 5 = 0").select((F.col("id") + 1).alias("id"), "data")
-    texts, _ = store.write_contents(c.table("content_map").select("id", "text"), c.table("texts"), new)
-    return texts.select("hash", F.length("data").alias("chars"))
+    given = c.content.filter("id % 5 = 0").select((F.col("id") + 1).alias("id"), F.when(F.col("id") % 2 == 0, F.col("data")).otherwise(F.concat("data", F.lit(" again"))).alias("data"))
+    added, removed, users = store.write_contents(c.table("content_map").select("id", "text"), c.table("texts"), given)
+    kept = c.table("texts").select("id").join(removed, "id", "left_anti").select(F.col("id").alias("text"), F.lit(False).alias("new"))
+    return users.join(kept.unionByName(added.select(F.col("id").alias("text"), F.lit(True).alias("new"))), "text").select("id", "hash", "new")
 
 
-def vocabulary_append_all(spark, d):
+def vocabulary_append(spark, d):
     """Words that texts of odd ids add to those of even ids."""
     t = Corpus(spark, d).table("texts")
     terms = lambda rest: t.filter(F.col("id") % 2 == rest).select(F.explode(T.terms(F.col("data"))).alias("term"))
     return store.append_vocabulary(terms(0).distinct(), terms(1))
 
 
-def vocabulary_append(spark, d):
-    """Those of them that SQL folds alike."""
-    return vocabulary_append_all(spark, d).filter(F.col("term").rlike("^[a-z]+$"))
-
-
 def tidied(spark, d):
     return Corpus(spark, d).table("texts").select("id", F.length(T.tidy(F.col("data"))).alias("chars"))
 
@@ -182,8 +178,9 @@ def last_runs(spark, d):
     return Corpus(spark, d).table("index_runs").groupBy("status").agg(F.count("*").alias("runs"), F.max("run_id").alias("last"))
 
 
-QUERIES = {f.__name__: f for f in (index_stats, problem_counts, problem_list, problem_page, problem_reasons, retry, text_reasons, machine_names, dataset_folders, estimate, diagnosis, unreadable_files, crawled, ignored, crawl_targets, access, wants_content, work_order, text_dedup, duplicate_groups, hard_links, folded_hits, index_diff, index_diff_protected, moved_files, written_contents, vocabulary_append, vocabulary_append_all, tidied, metadata_text, stale_reads, last_runs)}
+QUERIES = {f.__name__: f for f in (index_stats, problem_counts, problem_list, problem_page, problem_reasons, retry, text_reasons, machine_names, dataset_folders, estimate, diagnosis, unreadable_files, crawled, ignored, crawl_targets, access, wants_content, work_order, text_dedup, duplicate_groups, hard_links, folded_hits, index_diff, index_diff_protected, moved_files, written_contents, vocabulary_append, tidied, metadata_text, stale_reads, last_runs)}
 
+_FOLD = "lower(translate(regexp_replace({}, '([A-Za-z])[" + chr(0x300) + "-" + chr(0x36F) + "]+', '\\1', 'g'), '" + T.ACCENTED + "', '" + T.BASE + "'))"
 _Q = lambda xs: ", ".join(f"'{x}'" for x in xs)
 _MEDIA, _DOCS, _OCR = _Q(paths.MEDIA_EXTS), _Q(paths.DOCUMENT_EXTS), _Q(paths.OCR_EXTS)
 _PARENT = r"CASE WHEN regexp_extract(path, '^(.*)/[^/]*$', 1) = '' THEN '/' ELSE regexp_extract(path, '^(.*)/[^/]*$', 1) END"
@@ -261,8 +258,9 @@ SQL = {
     "index_diff": f"WITH {_DIFF} SELECT path, action FROM fin",
     "index_diff_protected": f"WITH {_DIFF} SELECT CASE WHEN action = 'removed' AND {_IN('/home/u/Downloads')} THEN 'kept' ELSE action END AS action, count(*) AS n FROM fin GROUP BY 1",
     "moved_files": f"WITH {_DIFF} SELECT old_path, new_path FROM mv",
-    "written_contents": f"""WITH n AS (SELECT id + 1 AS id, data FROM {CONTENT} WHERE id % 5 = 0), u AS (SELECT t.data FROM content_map m JOIN texts t ON t.id = m.text WHERE m.id NOT IN (SELECT id FROM n) UNION ALL SELECT data FROM n) SELECT DISTINCT left(sha256(data), 32) AS hash, length(data)::INT AS chars FROM u""",
-    "vocabulary_append": r"WITH t AS (SELECT id, unnest(list_distinct(regexp_extract_all(lower(strip_accents(data)), '[\p{L}\p{N}]+'))) AS term FROM texts) SELECT DISTINCT term FROM t WHERE id % 2 = 1 AND term NOT IN (SELECT term FROM t WHERE id % 2 = 0) AND regexp_matches(term, '^[a-z]+$') AND length(term) <= 1024",
+    "written_contents": f"""WITH n AS (SELECT id + 1 AS id, CASE WHEN id % 2 = 0 THEN data ELSE data || ' again' END AS data FROM {CONTENT} WHERE id % 5 = 0), u AS (SELECT m.id, t.data FROM content_map m JOIN texts t ON t.id = m.text WHERE m.id NOT IN (SELECT id FROM n) UNION ALL SELECT id, data FROM n)
+        SELECT id, left(sha256(data), 32) AS hash, data NOT IN (SELECT data FROM texts WHERE data IS NOT NULL) AS new FROM u""",
+    "vocabulary_append": rf"WITH t AS (SELECT id, unnest(list_distinct(regexp_extract_all({_FOLD.format('data')}, '[\p{{L}}\p{{N}}]+'))) AS term FROM texts) SELECT DISTINCT term FROM t WHERE id % 2 = 1 AND term NOT IN (SELECT term FROM t WHERE id % 2 = 0) AND length(term) <= 1024",
     "tidied": r"SELECT id, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(data, '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \t\n\v\r]+', ''), '[ \t\n\v\r]+$', ''))::INT AS chars FROM texts",
     "metadata_text": """SELECT id, array_to_string(list_transform(list_sort(json_keys(metadata)), lambda k: k || ': ' || replace(json_extract_string(metadata, '$."' || k || '"'), chr(10), ', ')), chr(10)) AS head FROM files WHERE metadata <> '' AND json_valid(metadata)""",
     "stale_reads": f"SELECT id FROM files WHERE read_at IS NOT NULL AND read_at < {NOW} - 30 * 86400000::BIGINT",

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from fernweh.corpus import Corpus
 from fernweh.functions import formats, fuzzy, paths
 from fernweh.functions import text as T
-from fernweh.operators import ranking, search, snippets
+from fernweh.operators import ranking, search, snippets, store
+from fernweh.operators.policy import Settings
 from fernweh.plans.compile import Matcher, pattern_of
 from fernweh.plans.query import groups, parse
 from fernweh.queries.catalog import CONTENT, DISPLAY
+from fernweh.runtime import shared_path
 
-FOLD = "lower(strip_accents({}))"
+FOLD = "lower(translate(regexp_replace({}, '([A-Za-z])[" + chr(0x300) + "-" + chr(0x36F) + "]+', '\\1', 'g'), '" + T.ACCENTED + "', '" + T.BASE + "'))"  # the same letters as the operator's
 WORDS = r"'[\p{L}\p{N}]+'"
 
 
@@ -49,7 +51,7 @@ def all_words(spark, d):
 
 def whole_word(spark, d):
     c = Corpus(spark, d)
-    m = Matcher(parse("pass word:on", c.now))
+    m = Matcher(parse("path word:on", c.now))
     return c.content.filter(m.matches(F.col("data"))).select("id")
 
 
@@ -67,18 +69,13 @@ def find_ranked(spark, d):
 
 
 def fold_terms(spark, d):
-    """Number of distinct folded words per text; letters of other alphabets keep their marks."""
-    return Corpus(spark, d).table("texts").filter(~F.col("data").rlike("[^\\x00-\\x7f\\x{c0}-\\x{17f}’“”–—…]")).select("id", F.size(T.terms(F.col("data"))).alias("terms"))
-
-
-def fold_terms_all(spark, d):
-    """The same of all texts; DuckDB's folding differs beyond Latin letters and signs, so no SQL states it."""
-    return Corpus(spark, d).table("texts").select("id", F.size(T.terms(F.col("data"))).alias("terms"))
+    """Distinct folded words of each text, as a digest of their sorted list; letters of other alphabets keep their marks."""
+    return Corpus(spark, d).table("texts").select("id", F.md5(F.array_join(F.array_sort(T.terms(F.col("data"))), " ").cast("binary")).alias("terms"))
 
 
 def vocabulary_long(spark, d):
-    """Long words of letters and digits, which are left out of typo search."""
-    return search.vocabulary(Corpus(spark, d)).filter("is_long").select("term", "df")
+    """How many words are long ones of letters and digits, which are left out of typo search."""
+    return search.vocabulary(Corpus(spark, d)).groupBy("is_long").agg(F.count("*").alias("words"), F.sum("df").alias("uses"))
 
 
 def _lookup(v):
@@ -88,11 +85,6 @@ def _lookup(v):
 
 def vocabulary_lookup(spark, d):
     """Words by a part, an ending and a beginning."""
-    return _lookup(search.vocabulary(Corpus(spark, d)).filter(F.col("term").rlike("^[a-z]+$")))
-
-
-def vocabulary_lookup_all(spark, d):
-    """The same among all words."""
     return _lookup(search.vocabulary(Corpus(spark, d)))
 
 
@@ -129,17 +121,11 @@ def phrase_words(spark, d):
 
 
 def document_frequency(spark, d):
-    return search.postings(Corpus(spark, d)).filter(F.col("term").isin("saffron", "narrow", "barley")).groupBy("term").agg(F.countDistinct("id").alias("df"))
+    return search.postings(Corpus(spark, d), ["saffron", "narrow", "barley"]).groupBy("term").agg(F.countDistinct("id").alias("df"))
 
 
 def typo_terms(spark, d):
     """Words of the vocabulary like a misspelt one."""
-    v = search.vocabulary(Corpus(spark, d)).filter(F.col("term").rlike("^[a-z]+$"))
-    return search.similar_terms(v, "saffrno").unionByName(search.similar_terms(v, "barly"))
-
-
-def typo_terms_all(spark, d):
-    """The same among all words."""
     v = search.vocabulary(Corpus(spark, d))
     return search.similar_terms(v, "saffrno").unionByName(search.similar_terms(v, "barly"))
 
@@ -155,16 +141,11 @@ def identifiers(spark, d):
 
 
 def name_tokens(spark, d):
-    return Corpus(spark, d).files.select("id", F.size(T.name_tokens(F.col("name"))).alias("n"))
+    return Corpus(spark, d).files.select("id", F.array_join(F.array_sort(T.name_tokens(F.col("name"))), " ").alias("tokens"))
 
 
 def stems(spark, d):
-    v = search.vocabulary(Corpus(spark, d)).filter(F.col("term").rlike("^[a-z]{3,}$"))
-    return v.select("term", T.stem(F.col("term")).alias("stem"))
-
-
-def stems_all(spark, d):
-    """The same of all words, those with digits or of other alphabets included."""
+    """Words without their English endings; those with digits or of other alphabets stay."""
     return search.vocabulary(Corpus(spark, d)).select("term", T.stem(F.col("term")).alias("stem"))
 
 
@@ -184,12 +165,35 @@ def typo_names(spark, d):
 
 def group_or(spark, d):
     c = Corpus(spark, d)
-    return search.search_group(c, groups("(saffron ext:md) OR (barley ext:csv)")).select("id", "score")
+    return search.search_group(c, groups("(saffron ext:md) OR (barley ext:csv)")).select("id", F.round("score", 6).alias("score"), F.array_join("sources", ",").alias("sources"))
 
 
 def group_and(spark, d):
     c = Corpus(spark, d)
-    return search.search_group(c, groups("(saffron OR barley) type:markdown")).select("id", "score")
+    return search.search_group(c, groups("(saffron OR barley) type:markdown")).select("id", F.round("score", 6).alias("score"), F.array_join("sources", ",").alias("sources"))
+
+
+def group_sorted(spark, d):
+    """A group in the order it asks for."""
+    return search.search(Corpus(spark, d), "(saffron OR barley) sort:-size limit:30").select("id", "path")
+
+
+def sort_with_text(spark, d):
+    """Hits of a word by name: the first of all hits, not of the best."""
+    return search.search(Corpus(spark, d), "saffron sort:name limit:25").select("id", "path")
+
+
+def search_allowed(spark, d):
+    """What a policy lets be found: one folder is left out, one is searched by name only, and so are links."""
+    s = Settings(excluded=("/home/u/Archive",), names_only=("/home/u/Documents",))
+    return search.search(Corpus(spark, d), "saffron", limit=60, settings=s).select("id", "path", F.round("score", 6).alias("score"), F.array_join("sources", ",").alias("sources"))
+
+
+def stored_postings(spark, d):
+    """Keyword search over postings stored by term."""
+    folder = shared_path(spark, "postings")
+    store.write_postings(search.postings(Corpus(spark, d)), folder)
+    return search.keyword_ids(Corpus(spark, d, postings=folder), ["saffron", "narr"], prefix_last=True, any_word=True)
 
 
 def lines_found(spark, d):
@@ -248,7 +252,7 @@ def bm25(spark, d):
     m = search.keyword_ids(c, words).select("id").join(c.catalog.select("id", "mtime", "name", paths.parent(F.col("display")).alias("dirs")), "id")
     count = lambda col, w: F.regexp_count(F.array_join(T.name_tokens(F.col(col)), " "), F.lit(rf"(?i)\b{w}\b"))
     m = m.select("id", "mtime", *[count("name", w).alias(f"tf_name_{i}") for i, w in enumerate(words)], *[count("dirs", w).alias(f"tf_dirs_{i}") for i, w in enumerate(words)])
-    p = search.postings(c).filter(F.col("term").isin(*words))
+    p = search.postings(c, words)
     stats = p.agg(*[F.countDistinct(F.when(F.col("term") == w, F.col("id"))).alias(f"df_{i}") for i, w in enumerate(words)]).crossJoin(c.files.agg(F.count("*").alias("n")))
     tf = [F.regexp_count(F.lower("data"), F.lit(rf"(?<![\p{{L}}\p{{N}}]){w}(?![\p{{L}}\p{{N}}])")) for w in words]
     return ranking.bm25(m, stats, c.content, tf, 50).select("id", F.round("score", 6).alias("score"))
@@ -273,7 +277,7 @@ def strong_hits(spark, d):
 
 
 QUERIES = {name: _counts(text) for name, (text, _) in COUNTS.items()}
-QUERIES |= {f.__name__: f for f in (all_words, whole_word, name_regex, find_ranked, fold_terms, fold_terms_all, vocabulary_long, vocabulary_lookup, vocabulary_lookup_all, keyword_all, keyword_any, keyword_without, keyword_prefix, keyword_fallback, phrase_words, document_frequency, typo_terms, typo_terms_all, did_you_mean, identifiers, name_tokens, stems, stems_all, fuzzy_candidates, fuzzy_names, typo_names, group_or, group_and, lines_found, lines_pages, lines_folded, lines_clipped, lines_around, line_range, page_starts, highlight_ranges, match_counts, bm25, rrf, paged, strong_hits)}
+QUERIES |= {f.__name__: f for f in (all_words, whole_word, name_regex, find_ranked, fold_terms, vocabulary_long, vocabulary_lookup, keyword_all, keyword_any, keyword_without, keyword_prefix, keyword_fallback, phrase_words, document_frequency, typo_terms, did_you_mean, identifiers, name_tokens, stems, fuzzy_candidates, fuzzy_names, typo_names, group_or, group_and, group_sorted, sort_with_text, search_allowed, stored_postings, lines_found, lines_pages, lines_folded, lines_clipped, lines_around, line_range, page_starts, highlight_ranges, match_counts, bm25, rrf, paged, strong_hits)}
 
 _NAMES = rf"(SELECT id, unnest(list_distinct(regexp_extract_all({FOLD.format('name')} || ' ' || {FOLD.format(chr(39) + chr(39))}, {WORDS}))) AS term FROM files)"
 _SPLIT = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '([\p{{Ll}}\p{{N}}])(\p{{Lu}})', '\1 \2', 'g'), '(\p{{Lu}})(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g'), '(\p{{L}})(\p{{N}})', '\1 \2', 'g'), '(\p{{N}})(\p{{L}})', '\1 \2', 'g')"
@@ -283,12 +287,29 @@ _POST = rf"""(SELECT id, unnest(list_distinct(regexp_extract_all({_BOTH('name')}
    UNION SELECT m.id, term FROM content_map m JOIN (SELECT id AS t, unnest(list_distinct(regexp_extract_all({FOLD.format('data')}, {WORDS}))) AS term FROM texts) x ON x.t = m.text)"""
 _LINES = "(SELECT id, unnest(string_split_regex(data, '[\\n\\f]')) AS text, generate_subscripts(string_split_regex(data, '[\\n\\f]'), 1)::INT AS line FROM texts)"
 _VOC = rf"(SELECT term, count(*) AS df FROM (SELECT id, unnest(list_distinct(regexp_extract_all({FOLD.format('data')}, {WORDS}))) AS term FROM texts) GROUP BY term)"
-_LEAF = lambda word, cond: f"SELECT id, sum(score) AS score FROM (SELECT id, 1.0::DOUBLE AS score FROM files WHERE {cond} AND contains(lower({DISPLAY}), '{word}') UNION ALL SELECT c.id, least(10000, len(regexp_extract_all(lower(data), '{word}')))::DOUBLE FROM {CONTENT} c JOIN files f ON f.id = c.id WHERE NOT f.is_dir AND {cond} AND contains(lower(data), '{word}')) GROUP BY id"
+_OPENS = "(SELECT path, count(*) AS n, max(ts) AS last FROM (SELECT DISTINCT path, ts, via FROM opens WHERE path IS NOT NULL) GROUP BY path)"
+_BOOST = """(1 + coalesce(least(30, 8 * log2(1 + n)) * exp(-((1706745600000 - epoch_us(last) / 1000) / 86400000.0) / 30), 0) / 200
+    + (CASE WHEN (1706745600000 - f.mtime) / 86400000.0 < 7 THEN 4 WHEN (1706745600000 - f.mtime) / 86400000.0 < 30 THEN 2 ELSE 0 END) / 400)"""
+
+
+def _fused(word, cond, names_most=5000, body_most=5000, tail=True, names_order="id", body_order="count DESC, mtime DESC, id"):
+    """Hits of one word in names and texts, fused and boosted; those after the last rank share it, or are cut."""
+    last = lambda most: f"least(r, {most})" if tail else "r"
+    keep = lambda most: "true" if tail else f"r < {most}"
+    names = f"SELECT id, {last(names_most)} AS r FROM (SELECT id, row_number() OVER (ORDER BY {names_order}) - 1 AS r FROM files f WHERE {cond} AND contains(lower({DISPLAY}), '{word}')) WHERE {keep(names_most)}"
+    hits = f"SELECT c.id, f.mtime, f.size, f.path, f.name, least(10000, len(regexp_extract_all(lower(data), '{word}'))) AS count FROM {CONTENT} c JOIN files f ON f.id = c.id WHERE NOT f.is_dir AND {cond} AND contains(lower(data), '{word}')"
+    body = f"SELECT id, {last(body_most)} AS r FROM (SELECT id, row_number() OVER (ORDER BY {body_order}) - 1 AS r FROM ({hits})) WHERE {keep(body_most)}"
+    return f"SELECT f.id, s * {_BOOST} AS score, bys FROM (SELECT id, sum(1.0::DOUBLE / (20 + r + 1)) AS s, list_sort(list_distinct(list(b))) AS bys FROM (SELECT id, r, 'name' AS b FROM ({names}) UNION ALL SELECT id, r, 'content' FROM ({body})) GROUP BY id) x JOIN files f ON f.id = x.id LEFT JOIN {_OPENS} o ON o.path = f.path"
+
+
+
+_PERMIT = "(f.path = '/home/u' OR starts_with(f.path, '/home/u/')) AND coalesce(f.source_path, '') = '' AND NOT (f.path = '/home/u/Archive' OR starts_with(f.path, '/home/u/Archive/'))"
+_READ = "NOT (f.path = '/home/u/Documents' OR starts_with(f.path, '/home/u/Documents/'))"
 
 SQL = {name: sql for name, (_, sql) in COUNTS.items()}
 SQL |= {
     "all_words": f"SELECT id FROM {CONTENT} WHERE contains(lower(data), 'saffron') AND contains(lower(data), 'narrow') AND contains(lower(data), 'barley')",
-    "whole_word": rf"SELECT id FROM {CONTENT} WHERE regexp_matches(data, '(?i)(^|[^\p{{L}}\p{{N}}])pass($|[^\p{{L}}\p{{N}}])')",
+    "whole_word": rf"SELECT id FROM {CONTENT} WHERE regexp_matches(data, '(?i)(^|[^\p{{L}}\p{{N}}])path($|[^\p{{L}}\p{{N}}])')",
     "name_regex": f"SELECT id FROM files WHERE regexp_matches({DISPLAY}, '(?i)s[a-z]+on')",
     "find_ranked": f"""WITH docs AS (SELECT * FROM files WHERE kind IN ('doc', 'pdf', 'markdown', 'text', 'slides', 'sheet', 'ebook')),
         names AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS r FROM docs WHERE contains(lower({DISPLAY}), 'saffron') ORDER BY id LIMIT 20),
@@ -300,9 +321,9 @@ SQL |= {
           + (CASE WHEN (1706745600000 - f.mtime) / 86400000.0 < 7 THEN 4 WHEN (1706745600000 - f.mtime) / 86400000.0 < 30 THEN 2 ELSE 0 END) / 400) AS score
           FROM fused JOIN files f USING (id) LEFT JOIN body b USING (id) LEFT JOIN o ON o.path = f.path)
         SELECT id, path, round(score, 6) AS score, count FROM scored ORDER BY scored.score DESC, mtime DESC, id LIMIT 20""",
-    "fold_terms": rf"SELECT id, len(list_filter(list_distinct(regexp_extract_all({FOLD.format('data')}, {WORDS})), lambda w: length(w) <= 1024))::INT AS terms FROM texts WHERE NOT regexp_matches(data, '[^\x00-\x7f\x{{c0}}-\x{{17f}}’“”–—…]')",
-    "vocabulary_long": f"SELECT term, df FROM {_VOC} WHERE regexp_matches(term, '^[a-z0-9]{{32,64}}$')",
-    "vocabulary_lookup": f"SELECT term, CASE WHEN contains(term, 'arl') THEN 'part' WHEN suffix(term, 'tion') THEN 'end' WHEN starts_with(term, 'sub') THEN 'start' END AS by FROM {_VOC} WHERE regexp_matches(term, '^[a-z]+$') AND (contains(term, 'arl') OR suffix(term, 'tion') OR starts_with(term, 'sub'))",
+    "fold_terms": rf"SELECT id, md5(array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all({FOLD.format('data')}, {WORDS})), lambda w: length(w) <= 1024)), ' ')) AS terms FROM texts",
+    "vocabulary_long": f"SELECT regexp_matches(term, '^[a-z0-9]{{32,64}}$') AS is_long, count(*) AS words, sum(df)::BIGINT AS uses FROM {_VOC} WHERE length(term) <= 1024 GROUP BY 1",
+    "vocabulary_lookup": f"SELECT term, CASE WHEN contains(term, 'arl') THEN 'part' WHEN suffix(term, 'tion') THEN 'end' WHEN starts_with(term, 'sub') THEN 'start' END AS by FROM {_VOC} WHERE length(term) <= 1024 AND (contains(term, 'arl') OR suffix(term, 'tion') OR starts_with(term, 'sub'))",
     "keyword_all": f"SELECT id FROM {_POST} WHERE term IN ('saffron', 'narrow') GROUP BY id HAVING count(DISTINCT term) = 2",
     "keyword_any": f"SELECT id, count(DISTINCT term)::INT AS hits FROM {_POST} WHERE term IN ('saffron', 'zanzibarite') GROUP BY id",
     "keyword_without": f"SELECT DISTINCT id FROM {_POST} WHERE term = 'saffron' AND id NOT IN (SELECT id FROM {_POST} WHERE term = 'narrow')",
@@ -311,7 +332,7 @@ SQL |= {
     "phrase_words": f"SELECT id FROM {_POST} WHERE term IN ('saffron', 'narrow') GROUP BY id HAVING count(DISTINCT term) = 2",
     "document_frequency": f"SELECT term, count(DISTINCT id) AS df FROM {_POST} WHERE term IN ('saffron', 'narrow', 'barley') GROUP BY term",
     "typo_terms": f"""SELECT damerau_levenshtein(term, w)::INT AS distance, term FROM {_VOC}, (VALUES ('saffrno'), ('barly')) x(w)
-        WHERE regexp_matches(term, '^[a-z]+$') AND NOT regexp_matches(term, '^[a-z0-9]{{32,64}}$') AND term <> w AND damerau_levenshtein(term, w) <= 1 AND (term[1] = w[1] OR term[-1] = w[-1])""",
+        WHERE NOT regexp_matches(term, '^[a-z0-9]{{32,64}}$') AND term <> w AND damerau_levenshtein(term, w) <= 1 AND (term[1] = w[1] OR term[-1] = w[-1])""",
     "typo_names": rf"""SELECT id, max(56 - 12 * damerau_levenshtein(w, 'saffrno'))::BIGINT AS score FROM (SELECT id, unnest(list_distinct(regexp_extract_all({_BOTH('name')}, {WORDS}))) AS w FROM files) WHERE damerau_levenshtein(w, 'saffrno') <= 1 GROUP BY id""",
     "bm25": rf"""WITH post AS {_POST}, m AS (SELECT id FROM post WHERE term IN ('saffron', 'narrow') GROUP BY id HAVING count(DISTINCT term) = 2),
         st AS (SELECT (SELECT count(*) FROM files)::DOUBLE AS n, count(DISTINCT CASE WHEN term = 'saffron' THEN id END) AS d0, count(DISTINCT CASE WHEN term = 'narrow' THEN id END) AS d1 FROM post),
@@ -325,11 +346,17 @@ SQL |= {
         SELECT id, round(ps + w0 * coalesce(b0, 0) * 2.2 / (coalesce(b0, 0) + 1.2 * (0.25 + 0.75 * l / mean)) + w1 * coalesce(b1, 0) * 2.2 / (coalesce(b1, 0) + 1.2 * (0.25 + 0.75 * l / mean)), 6) AS score FROM q, a
         ORDER BY score DESC, mtime DESC, id LIMIT 50""",
     "identifiers": rf"SELECT id, trim(regexp_replace({_SPLIT.format('name')}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS parts FROM files",
-    "stems": f"""SELECT term, CASE WHEN suffix(term, 'ies') AND length(term) >= 6 THEN left(term, length(term) - 3) WHEN suffix(term, 'ing') AND length(term) >= 7 THEN left(term, length(term) - 3) WHEN suffix(term, 'ed') AND length(term) >= 6 THEN left(term, length(term) - 2)
-        WHEN suffix(term, 'es') AND length(term) >= 6 THEN left(term, length(term) - 2) WHEN suffix(term, 's') AND NOT suffix(term, 'ss') AND length(term) >= 5 THEN left(term, length(term) - 1) ELSE term END AS stem FROM {_VOC} WHERE regexp_matches(term, '^[a-z]{{3,}}$')""",
+    "stems": f"""SELECT term, CASE WHEN regexp_matches(term, '[0-9]') THEN term WHEN suffix(term, 'ies') AND length(term) >= 6 THEN left(term, length(term) - 3) WHEN suffix(term, 'ing') AND length(term) >= 7 THEN left(term, length(term) - 3) WHEN suffix(term, 'ed') AND length(term) >= 6 THEN left(term, length(term) - 2)
+        WHEN suffix(term, 'es') AND length(term) >= 6 THEN left(term, length(term) - 2) WHEN suffix(term, 's') AND NOT suffix(term, 'ss') AND length(term) >= 5 THEN left(term, length(term) - 1) ELSE term END AS stem FROM {_VOC} WHERE length(term) <= 1024""",
     "fuzzy_candidates": f"SELECT id FROM files WHERE regexp_matches(lower({DISPLAY}), '(?s)s.*f.*r.*n') AND NOT contains(lower({DISPLAY}), 'archive') AND suffix(lower({DISPLAY}), '.md')",
-    "group_or": f"SELECT id, sum(score) AS score FROM ({_LEAF('saffron', chr(39) + 'md' + chr(39) + ' = ext')} UNION ALL {_LEAF('barley', chr(39) + 'csv' + chr(39) + ' = ext')}) GROUP BY id",
-    "group_and": f"SELECT id, sum(score) AS score FROM ({_LEAF('saffron', 'true')} UNION ALL {_LEAF('barley', 'true')}) WHERE id IN (SELECT id FROM files WHERE kind = 'markdown') GROUP BY id",
+    "group_or": f"SELECT id, round(sum(score), 6) AS score, array_to_string(list_sort(list_distinct(flatten(list(bys)))), ',') AS sources FROM ({_fused('saffron', chr(39) + 'md' + chr(39) + ' = ext')} UNION ALL {_fused('barley', chr(39) + 'csv' + chr(39) + ' = ext')}) GROUP BY id",
+    "group_and": f"SELECT id, round(sum(score), 6) AS score, array_to_string(list_sort(list_distinct(flatten(list(bys)))), ',') AS sources FROM ({_fused('saffron', 'true')} UNION ALL {_fused('barley', 'true')}) WHERE id IN (SELECT id FROM files WHERE kind = 'markdown') GROUP BY id",
+    "group_sorted": f"SELECT id, path FROM files WHERE id IN (SELECT id FROM ({_fused('saffron', 'true')} UNION ALL {_fused('barley', 'true')})) ORDER BY size DESC, path LIMIT 30",
+    "sort_with_text": f"SELECT id, path FROM files WHERE id IN (SELECT id FROM ({_fused('saffron', 'true')})) ORDER BY name, path LIMIT 25",
+    "search_allowed": f"SELECT id, path, round(score, 6) AS score, array_to_string(bys, ',') AS sources FROM (SELECT x.*, f.path, f.mtime FROM ({_fused('saffron', _PERMIT, 60, 300, False).replace('NOT f.is_dir AND', 'NOT f.is_dir AND ' + _READ + ' AND')}) x JOIN files f USING (id)) y ORDER BY y.score DESC, mtime DESC, id LIMIT 60",
+    "stored_postings": f"SELECT id, count(DISTINCT term)::INT AS hits FROM {_POST} WHERE term = 'saffron' OR starts_with(term, 'narr') GROUP BY id",
+    "name_tokens": rf"SELECT id, array_to_string(list_sort(list_distinct(list_filter(list_concat(regexp_split_to_array(name, '[^\p{{L}}\p{{N}}]+'), regexp_split_to_array({_SPLIT.format('name')}, '[^\p{{L}}\p{{N}}]+')), lambda w: w <> ''))), ' ') AS tokens FROM files",
+    "did_you_mean": f"SELECT damerau_levenshtein(term, 'schedlue')::INT AS distance, term FROM {_VOC} WHERE NOT regexp_matches(term, '^[a-z0-9]{{32,64}}$') AND term <> 'schedlue' AND length(term) BETWEEN 6 AND 10 AND damerau_levenshtein(term, 'schedlue') <= 2 AND (term[1] = 's' OR term[-1] = 'e') ORDER BY 1, 2 LIMIT 1",
     "lines_found": f"SELECT id, line, text FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY line) AS r FROM {_LINES} WHERE contains(lower(text), 'saffron')) WHERE r <= 3",
     "lines_pages": r"""SELECT id, line, (1 + len(regexp_extract_all(array_to_string(list_slice(ends, 1, line - 1), ''), '\f')))::INT AS page, length(text)::INT AS chars FROM (
         SELECT id, unnest(string_split_regex(data, '[\n\f]')) AS text, generate_subscripts(string_split_regex(data, '[\n\f]'), 1)::INT AS line, regexp_extract_all(data, '[\n\f]') AS ends FROM texts WHERE contains(data, chr(12)))""",

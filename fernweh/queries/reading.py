@@ -34,8 +34,9 @@ def pages_of_lines(spark, d):
 
 
 def key_sweep(spark, d):
-    """Texts that hold a private key and have to be read again."""
-    return reading.key_holders(Corpus(spark, d).content)
+    """Texts that hold a private key and have to be read again; every seventh file gets one first."""
+    key = F.when(F.col("id") % 7 == 0, "-----BEGIN RSA PRIVATE KEY-----\nMIIB\n-----END RSA PRIVATE KEY-----\n").otherwise("")
+    return reading.key_holders(Corpus(spark, d).content.withColumn("data", F.concat("data", key)))
 
 
 def recent_paths(spark, d):
@@ -76,7 +77,7 @@ def prompts_embedded(spark, d):
 
 
 def recently_read(spark, d):
-    return reading.retry_due(Corpus(spark, d).files.withColumn("note", F.when(F.col("content_state") == 2, "OCR timed out")), None, NOW)
+    return reading.retry_due(Corpus(spark, d).files.withColumn("note", F.when(F.col("content_state") == 3, "OCR timed out")).withColumn("content_state", F.when(F.col("content_state") == 3, 2).otherwise(F.col("content_state"))), None, NOW)
 
 
 QUERIES = {f.__name__: f for f in (passage_lines, preview_window, preview_folded, pages_of_lines, key_sweep, recent_paths, state_record, completions, containing_terms, negated_words, line_counts, prompts_embedded, recently_read)}
@@ -90,12 +91,12 @@ SQL = {
     "preview_folded": f"WITH l AS (SELECT * FROM {_LINES}) SELECT id, line FROM (SELECT id, line, row_number() OVER (PARTITION BY id ORDER BY line) AS o FROM (SELECT DISTINCT l.id, l.line FROM l JOIN {_HITS} h ON h.id = l.id AND abs(h.line - l.line) <= 2)) WHERE o <= 400",
     "pages_of_lines": r"""SELECT id, line, page FROM (SELECT id, line, (1 + len(regexp_extract_all(array_to_string(list_slice(ends, 1, line - 1), ''), '\f')))::INT AS page, row_number() OVER (PARTITION BY id ORDER BY line) AS o FROM (
         SELECT id, unnest(string_split_regex(data, '[\n\f]')) AS text, generate_subscripts(string_split_regex(data, '[\n\f]'), 1)::INT AS line, regexp_extract_all(data, '[\n\f]') AS ends FROM texts WHERE contains(data, chr(12))) WHERE length(text) > 60) WHERE o <= 5""",
-    "key_sweep": f"SELECT id FROM {CONTENT} WHERE regexp_matches(data, '-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----|PuTTY-User-Key-File')",
+    "key_sweep": f"SELECT id FROM {CONTENT} WHERE id % 7 = 0 OR regexp_matches(data, '-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----|PuTTY-User-Key-File')",
     "recent_paths": "SELECT name FROM (SELECT arg_max(path, struct_pack(ts, path)) AS name, max(ts) AS t FROM opens WHERE path IS NOT NULL GROUP BY upper(path)) ORDER BY t DESC, name LIMIT 50",
     "state_record": f"SELECT count(*) FILTER (WHERE NOT is_dir) AS files, count(*) FILTER (WHERE content_state = 2) AS errors, (SELECT max(run_id) FROM index_runs) AS last_run, (SELECT arg_max(status, run_id) FROM index_runs) AS last_status, count(DISTINCT {_category()})::INT AS categories FROM files",
     "containing_terms": f"SELECT term FROM {_VOC} WHERE contains(term, 'affro') AND term <> 'affro' AND NOT regexp_matches(term, '^[a-z0-9]{{32,64}}$')",
     "negated_words": f"SELECT DISTINCT id FROM {_POST} WHERE term = 'saffron' AND id NOT IN (SELECT id FROM {_POST} WHERE term IN ('barley', 'narrow')) AND id IN (SELECT id FROM files WHERE kind NOT IN ('code', 'data'))",
     "line_counts": r"SELECT id, len(string_split_regex(data, '[\n\f]'))::BIGINT AS lines, (1 + len(regexp_extract_all(data, '\f')))::INT AS pages FROM texts",
     "prompts_embedded": "SELECT DISTINCT hash, 1.0::DOUBLE AS norm FROM passages WHERE prompt IS NOT NULL",
-    "recently_read": "SELECT id FROM files WHERE content_state = 2 AND kind IN ('image', 'audio', 'video')",
+    "recently_read": "SELECT id FROM files WHERE content_state = 3 AND kind IN ('image', 'audio', 'video')",
 }

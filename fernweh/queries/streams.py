@@ -79,19 +79,19 @@ def versioned_state(spark, d):
 def html_texts(spark, d):
     """Stored web pages as text."""
     c = Corpus(spark, d)
-    pages = c.files.filter("kind = 'web'").select("id").join(c.content, "id")
+    pages = c.files.filter("NOT is_dir").select("id").join(c.content, "id")
 
     def run(frames):
         for pdf in frames:
-            yield pd.DataFrame({"id": pdf["id"], "chars": [len(extract.html_text(t or "")) for t in pdf["data"]]})
+            yield pd.DataFrame({"id": pdf["id"], "text": [extract.html_text(t or "") for t in pdf["data"]]})
 
-    return pages.mapInPandas(run, "id bigint, chars int")
+    return pages.mapInPandas(run, "id bigint, text string")
 
 
 def extracted_texts(spark, d):
     """Stored texts read again as files of their name."""
     c = Corpus(spark, d)
-    src = c.files.filter("kind IN ('text', 'markdown', 'code', 'data', 'web')").select("id", F.concat(F.col("id").cast("string"), F.lit("."), "ext").alias("path")).join(c.content, "id").select("path", F.encode("data", "utf-8").alias("content"))
+    src = c.files.filter("NOT is_dir").select("id", F.concat(F.col("id").cast("string"), F.lit("."), "ext").alias("path")).join(c.content, "id").select("path", F.encode("data", "utf-8").alias("content"))
     return extract.extracted(src).select("path", "status", "note", "chars")
 
 

@@ -56,7 +56,7 @@ def best_by_file(spark, d):
 def word_coverage(spark, d):
     """Share of the query's words each file holds, plain and weighted."""
     c = Corpus(spark, d)
-    hits = search.postings(c).filter(F.col("term").isin(*WORDS)).select("id", "term").distinct()
+    hits = search.postings(c, WORDS).select("id", "term").distinct()
     total = c.files.count()
     return semantic.coverage(hits, WORDS, total).select("file", "coverage", F.round("weighted", 6).alias("weighted"))
 
@@ -65,18 +65,30 @@ def semantic_rank(spark, d):
     """Meaning and words fused into one score."""
     c = Corpus(spark, d)
     best = semantic.best_by_file(semantic.meaning(_scored(c)))
-    hits = search.postings(c).filter(F.col("term").isin(*WORDS)).select("col", "id", "term")
+    hits = search.postings(c, WORDS).select("col", "id", "term")
     words = semantic.coverage(hits.select("id", "term").distinct(), WORDS, c.files.count())
     named = hits.filter("col = 'name'").select("id", "term").distinct().groupBy("id").agg((F.count("*") / F.lit(float(len(WORDS)))).alias("named")).withColumnRenamed("id", "file")
     kinds = c.files.select(F.col("id").alias("file"), "kind")
     return semantic.rank(best, words, named, kinds, False, ["pdf"]).limit(100).select("file", F.round("score", 6).alias("score"))
 
 
+def search_semantic(spark, d):
+    """A query by meaning through the search entry: only files of the types asked for, code left out."""
+    c = Corpus(spark, d)
+    asked = _query(_vectors(c))
+    return search.search(c, "s:saffron narrow -type:image", limit=100, embed=lambda text: asked).select(F.col("id").alias("file"), F.round("score", 6).alias("score"))
+
+
+def search_semantic_words(spark, d):
+    """The same without vectors, by name: words alone decide."""
+    return search.search(Corpus(spark, d), "s:saffron narrow barley type:docs sort:name limit:40").select(F.col("id").alias("file"), "path")
+
+
 def semantic_rank_fused(spark, d):
     """The alternative: rank fusion of the two orders."""
     c = Corpus(spark, d)
     best = semantic.best_by_file(semantic.meaning(_scored(c)))
-    hits = search.postings(c).filter(F.col("term").isin(*WORDS)).select("id", "term").distinct()
+    hits = search.postings(c, WORDS).select("id", "term").distinct()
     words = semantic.coverage(hits, WORDS, c.files.count())
     return semantic.rank_fused(best, words).select("file", F.round("score", 9).alias("score"))
 
@@ -172,7 +184,7 @@ def run_overlap(spark, d):
     return metrics.overlap(a, b, 10)
 
 
-QUERIES = {f.__name__: f for f in (cosine_scores, cosine_topk, meaning_z, best_by_file, word_coverage, semantic_rank, semantic_rank_fused, related_files, passages_sharing, vectors_missing, vectors_loaded, has_words, prompt_hashes, chunks, index_actions, coverage_status, vector_stats, add_vectors, evaluation, run_overlap)}
+QUERIES = {f.__name__: f for f in (cosine_scores, cosine_topk, meaning_z, best_by_file, word_coverage, semantic_rank, search_semantic, search_semantic_words, semantic_rank_fused, related_files, passages_sharing, vectors_missing, vectors_loaded, has_words, prompt_hashes, chunks, index_actions, coverage_status, vector_stats, add_vectors, evaluation, run_overlap)}
 
 _V = """(SELECT hash, list_transform(vec, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(vec, lambda y: y::DOUBLE * y::DOUBLE)))) AS vec FROM (SELECT hash, min(vec) AS vec FROM vectors
     WHERE vec IS NOT NULL AND len(vec) = 128 AND NOT list_bool_or(list_transform(vec, lambda x: x IS NULL OR isnan(x))) GROUP BY hash) WHERE list_sum(list_transform(vec, lambda y: y::DOUBLE * y::DOUBLE)) > 0)"""
@@ -188,7 +200,7 @@ _CAND = f"(SELECT f.id AS file, {_SIG} AS sig FROM files f JOIN content_map m ON
 
 
 def _sql():
-    from fernweh.queries.matching import _POST
+    from fernweh.queries.matching import _POST, FOLD
 
     hits = f"SELECT DISTINCT id, term FROM {_POST} WHERE term IN ('saffron', 'narrow')"
     cover = f"""hits AS MATERIALIZED ({hits}), nn AS (SELECT count(*)::DOUBLE AS n FROM files), idf AS (SELECT term, ln(1 + any_value(n) / count(*)) AS idf FROM hits, nn GROUP BY term),
@@ -199,9 +211,13 @@ def _sql():
         "meaning_z": f"WITH {_S} SELECT file, n, round(z, 6) AS z FROM zz",
         "best_by_file": f"WITH {_S} SELECT file, round(z, 6) AS z FROM bf",
         "word_coverage": f"WITH {cover} SELECT file, coverage, round(weighted, 6) AS weighted FROM cov",
-        "semantic_rank": rf"""WITH {_S}, {cover}, nmd AS (SELECT id AS file, count(DISTINCT term) / 2.0::DOUBLE AS named FROM (SELECT id, unnest(list_distinct(regexp_extract_all(lower(strip_accents(name)), '[\p{{L}}\p{{N}}]+'))) AS term FROM files) WHERE term IN ('saffron', 'narrow') GROUP BY id)
+        "semantic_rank": rf"""WITH {_S}, {cover}, nmd AS (SELECT id AS file, count(DISTINCT term) / 2.0::DOUBLE AS named FROM (SELECT id, unnest(list_distinct(regexp_extract_all({FOLD.format('name')}, '[\p{{L}}\p{{N}}]+'))) AS term FROM files) WHERE term IN ('saffron', 'narrow') GROUP BY id)
             SELECT file, round(score, 6) AS score FROM (SELECT x.file, greatest(coalesce(z, 0), 0) + 3 * coalesce(weighted, 0) ** 1.5 + 2 * coalesce(named, 0) ** 2 + (CASE WHEN kind = 'pdf' THEN 1 ELSE 0 END) - (CASE WHEN kind IN ('code', 'data') THEN 1.5 * coalesce(weighted, 0) ** 1.5 ELSE 0 END) AS score
               FROM (SELECT coalesce(b.file, c.file) AS file, z, coverage, weighted FROM bf b FULL JOIN cov c ON c.file = b.file) x LEFT JOIN nmd USING (file) JOIN files f ON f.id = x.file WHERE z >= 2 OR coalesce(coverage, 0) >= 0.5) ORDER BY score DESC, file LIMIT 100""",
+        "search_semantic": rf"""WITH may AS (SELECT id FROM files WHERE NOT is_dir AND kind NOT IN ('code', 'data', 'image') AND ext NOT IN ('lean', 'olean', 'ilean')), {_S.replace(_P, f"(SELECT * FROM {_P} WHERE file IN (SELECT id FROM may))")}, {cover}, nmd AS (SELECT id AS file, count(DISTINCT term) / 2.0::DOUBLE AS named FROM (SELECT id, unnest(list_distinct(regexp_extract_all({FOLD.format('name')}, '[\p{{L}}\p{{N}}]+'))) AS term FROM files) WHERE term IN ('saffron', 'narrow') GROUP BY id)
+            SELECT file, round(score, 6) AS score FROM (SELECT x.file, greatest(coalesce(z, 0), 0) + 3 * coalesce(weighted, 0) ** 1.5 + 2 * coalesce(named, 0) ** 2 AS score
+              FROM (SELECT coalesce(b.file, c.file) AS file, z, coverage, weighted FROM bf b FULL JOIN cov c ON c.file = b.file) x LEFT JOIN nmd USING (file) JOIN may ON may.id = x.file WHERE z >= 2 OR coalesce(coverage, 0) >= 0.5) ORDER BY score DESC, file LIMIT 100""",
+        "search_semantic_words": f"SELECT file, path FROM (SELECT id AS file, count(DISTINCT term) AS n FROM {_POST} WHERE term IN ('saffron', 'narrow', 'barley') GROUP BY id) h JOIN files f ON f.id = h.file WHERE n >= 2 AND NOT is_dir AND kind IN ('doc', 'pdf', 'markdown', 'text', 'slides', 'sheet', 'ebook') AND ext NOT IN ('lean', 'olean', 'ilean') ORDER BY name, path LIMIT 40",
         "semantic_rank_fused": f"""WITH {_S}, {cover} SELECT file, round(sum(p), 9) AS score FROM (SELECT file, 1.0 / (60 + row_number() OVER (ORDER BY z DESC, file) - 1) AS p FROM (SELECT * FROM bf ORDER BY z DESC, file LIMIT 1000)
             UNION ALL SELECT file, 1.0 / (60 + row_number() OVER (ORDER BY coverage DESC, file) - 1) FROM (SELECT * FROM cov ORDER BY coverage DESC, file LIMIT 1000)) GROUP BY file""",
         "related_files": f"""WITH vv AS MATERIALIZED {_V}, rows AS MATERIALIZED (SELECT p.file, p.n, p.hash, v.vec FROM {_P} p JOIN vv v USING (hash)), src AS (SELECT file FROM rows GROUP BY file ORDER BY count(*) DESC, file LIMIT 1),

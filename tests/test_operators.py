@@ -146,8 +146,13 @@ def test_store(spark):
     m = spark.createDataFrame([(1, 10), (2, 11)], "id long, text long")
     t = spark.createDataFrame([(10, "x"), (11, "y")], "id long, data string")
     new = spark.createDataFrame([(1, "y"), (3, "z")], "id long, data string")
-    texts, users = store.write_contents(m, t, new)
-    assert sorted(r.data for r in texts.collect()) == ["y", "z"] and users.count() == 3
+    added, removed, users = store.write_contents(m, t, new)
+    assert [(r.id, r.data) for r in added.collect()] == [(12, "z")] and rows(removed) == [(10,)] and rows(users.select("id", "text")) == [(1, 11), (2, 11), (3, 12)]
+    many = spark.createDataFrame([(k, f"t{k % 300}") for k in range(1000)] + [(5000, None)], "id long, data string")
+    added, removed, users = store.write_contents(m, t, many)
+    assert sorted(r.id for r in added.collect()) == list(range(12, 312)) and users.count() == 1000 and rows(removed) == [(10,), (11,)]
+    nothing = store.write_contents(m.limit(0), t.limit(0), new)
+    assert sorted(r.id for r in nothing[0].collect()) == [1, 2] and nothing[1].count() == 0
     v = spark.createDataFrame([("a",)], "term string")
     assert rows(store.append_vocabulary(v, spark.createDataFrame([("a",), ("b",), ("b",)], "term string"))) == [("b",)]
 
