@@ -11,9 +11,12 @@ one by one: an overfull list costs more tasks, not more memory in one.
 Equal vectors are one entry: their hashes are expanded at the end, so that a vector that a third of all rows share
 costs as much as any other.
 
-Bounds: the sample has at most SAMPLE vectors; there are about n / LEAF centroids for n vectors, and at most about
-SAMPLE / LEAF_LEAST * 2. Centroids are what is broadcast; the sample only reaches the driver. Every vector is indexed. Accuracy: recall against brute force is measured
-in the tests and stated in the README.
+Bounds: the sample is a quarter of the vectors, SAMPLE at most; there are about n / LEAF centroids for n vectors, and
+at most about SAMPLE / LEAF_LEAST * 2. Centroids are what is broadcast; the sample only reaches the driver. Every
+vector is indexed. Accuracy: recall against brute force is measured in the tests and stated in the README.
+
+Vectors travel as they were stored, in 16-bit numbers where these say the same, and are brought to length one where
+they are compared.
 
 Defined cases: null vectors, those of another length, with null, NaN or infinite numbers or all zero take no part;
 each hash counts once (of different rows of a hash the least vector counts); ties are broken by hash; fewer than k
@@ -30,15 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from fernweh.runtime import materialize, spread
+from fernweh.runtime import materialize, scatter, spread
 
 DIM = 128
 K = 5
-SAMPLE = 100_000
+SAMPLE, SAMPLE_LEAST = 100_000, 10_000
 LEAF, LEAF_LEAST = 64, 8  # vectors per leaf of the whole collection that lists are aimed at; sample vectors per leaf, at least
-GROUP = 4_000  # vectors per group of lists
+GROUP = 5_000  # vectors per group of lists
 REPLICAS, CLOSURE = 4, 1.12  # lists a vector is put into, and how much farther than the nearest they may be
-PROBES, RATIO, PROBES_LEAST = 24, 1.45, 6  # PROBES is the graph's beam, no limit to the lists that are visited
+PROBES, RATIO, PROBES_LEAST = 24, 1.15, 6  # PROBES is the graph's beam, no limit to the lists that are visited
 BLOCK = 20_000
 
 
@@ -80,7 +83,7 @@ class Index:
         cents = np.stack([p.mean(axis=0) for p in leaves])
         self.cents = (cents / np.maximum(np.linalg.norm(cents, axis=1, keepdims=True), 1e-12)).astype(np.float32)
         k = len(self.cents)
-        groups = int(min(k, max(8, 2.5 * n / GROUP)))
+        groups = int(min(k, max(16, n / GROUP)))
         self.group = (np.cumsum([len(p) for p in leaves]) * groups // (len(sample) + 1)).astype(np.int32)
         deg = min(24, k)
         self.links = np.empty((k, deg), dtype=np.int32)
@@ -116,60 +119,80 @@ class Index:
         return best, np.maximum(2 - 2 * np.take_along_axis(sims, best, axis=1), 0)
 
 
+def pack(x: np.ndarray) -> bytes:
+    """The numbers in 16 bits where that loses nothing, else in 32."""
+    with np.errstate(over="ignore"):
+        half = x.astype(np.float16)
+    return half.tobytes() if np.array_equal(half.astype(np.float32), x) else x.tobytes()
+
+
+def units_of(packed, dim: int) -> np.ndarray:
+    """Unit vectors of packed ones, a row each."""
+    out = np.empty((len(packed), dim), dtype=np.float32)
+    short = np.fromiter((len(v) == 2 * dim for v in packed), dtype=bool, count=len(packed))
+    for kind, rows in ((np.float16, np.flatnonzero(short)), (np.float32, np.flatnonzero(~short))):
+        if len(rows):
+            out[rows] = np.frombuffer(b"".join(packed[i] for i in rows), dtype=kind).reshape(len(rows), dim)
+    top = np.abs(out).max(axis=1, keepdims=True)  # first, so that no square is too large or small
+    out /= np.maximum(top, np.finfo(np.float32).tiny)
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
 def _unit(frames, dim: int):
     for pdf in frames:
-        out = []
-        for h, v in zip(pdf["hash"], pdf["vec"]):
-            if v is None or len(v) != dim:
-                continue
-            x = np.asarray(v, dtype=np.float64)
-            n = np.linalg.norm(x)
-            if not np.isfinite(n) or n == 0:
-                continue
-            u = (x / n).astype(np.float32)
-            out.append((h, u.tobytes(), blake2b(u.round(6).tobytes(), digest_size=12).digest()))
-        yield pd.DataFrame(out, columns=["hash", "vec", "entry"])
-
-
-def _place(frames, index: Index):
+        rows = [(h, np.asarray(v, dtype=np.float32)) for h, v in zip(pdf["hash"], pdf["vec"]) if v is not None and len(v) == dim]
+        rows = [(h, v) for h, v in rows if np.isfinite(v).all() and v.any()]
+        packed = [pack(v) for _, v in rows]
+        entries = [blake2b((u + np.float32(0)).tobytes(), digest_size=12).digest() for u in units_of(packed, dim).round(6)]
+        yield pd.DataFrame({"hash": [h for h, _ in rows], "vec": packed, "entry": entries})
+
+
+def _place(frames, index: Index, dim: int):
     """(entry, vec, grp, lists, probes) per group of lists that the vector is in or that its search visits; probes -1 is all of a group's lists."""
     sizes = np.bincount(index.group)
+    slack = 0.02  # so that vectors on a centroid still look around
     for pdf in frames:
         if not len(pdf):
             continue
-        x = np.frombuffer(b"".join(pdf["vec"]), dtype=np.float32).reshape(len(pdf), -1)
-        out = []
+        packed, entries = list(pdf["vec"]), list(pdf["entry"])
+        x = units_of(packed, dim)
+        out: tuple = ([], [], [], [], [])
         step = max(64, 4_000_000 // len(index.cents))  # bounds what a search remembers
         for lo in range(0, len(x), step):
             part = x[lo : lo + step]
             best, d = index.near(part, PROBES)
-            slack = 0.02  # so that vectors on a centroid still look around
-            wide = np.flatnonzero((d[:, -1] <= (d[:, 0] + slack) * RATIO**2) & (best.shape[1] < len(index.cents)))
-            every = dict(zip(wide.tolist(), np.maximum(2 - 2 * part[wide] @ index.cents.T, 0)))
-            for i in range(len(best)):
-                b, far = best[i], d[i]
-                if i in every:
-                    b = np.argsort(every[i], kind="stable")
-                    far = every[i][b]
-                place = np.arange(len(b))
-                member = (far <= (far[0] + slack) * CLOSURE**2) & (place < REPLICAS)
-                probe = (far <= (far[0] + slack) * RATIO**2) | (place < PROBES_LEAST)
-                groups, k = index.group[b], lo + i
-                for g in np.unique(groups[probe]):
-                    own = groups == g
-                    asked = b[own & probe].astype(np.int32).tolist()
-                    out.append((pdf["entry"].iat[k], pdf["vec"].iat[k], int(g), b[own & member].astype(np.int32).tolist(), asked if len(asked) < sizes[g] else [-1]))
-        yield pd.DataFrame(out, columns=["entry", "vec", "grp", "lists", "probes"])
-
-
-def _search(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
+            limit = (d[:, :1] + slack) * RATIO**2
+            place = np.arange(best.shape[1])
+            probe = (d <= limit) | (place < PROBES_LEAST)
+            member = (d <= (d[:, :1] + slack) * CLOSURE**2) & (place < REPLICAS)
+            row, at = np.nonzero(probe)
+            cent, own = best[row, at], member[row, at]
+            wide = np.flatnonzero((d[:, -1] <= limit[:, 0]) & (best.shape[1] < len(index.cents)))
+            if len(wide):  # the graph's beam ended within the ratio: all centroids are compared
+                far = np.maximum(2 - 2 * part[wide] @ index.cents.T, 0)
+                far[np.arange(len(wide))[:, None], best[wide]] = 9  # those of the beam are there already
+                more_row, more = np.nonzero(far <= limit[wide])
+                row, cent, own = np.concatenate((row, wide[more_row])), np.concatenate((cent, more)), np.concatenate((own, np.zeros(len(more), dtype=bool)))
+            grp = index.group[cent]
+            order = np.lexsort((grp, row))
+            row, cent, own, grp = row[order], cent[order].astype(np.int32), own[order], grp[order]
+            cuts = np.flatnonzero((np.diff(row) != 0) | (np.diff(grp) != 0)) + 1
+            for i, g, lists, mine in zip(row[np.concatenate(([0], cuts))], grp[np.concatenate(([0], cuts))], np.split(cent, cuts), np.split(own, cuts)):
+                out[0].append(entries[lo + i])
+                out[1].append(packed[lo + i])
+                out[2].append(g)
+                out[3].append(lists[mine])
+                out[4].append(lists if len(lists) < sizes[g] else np.array([-1], dtype=np.int32))
+        yield pd.DataFrame(dict(zip(["entry", "vec", "grp", "lists", "probes"], out)))
+
+
+def _search(pdf: pd.DataFrame, k: int, dim: int) -> pd.DataFrame:
     """Best k per query among the members of one block of a group."""
     member, query = pdf[pdf["lists"].str.len() > 0], pdf[pdf["asks"]]
     empty = pd.DataFrame({"entry": [], "other": [], "sim": []}).astype({"sim": "float32"})
     if not len(member) or not len(query):
         return empty
-    m = np.frombuffer(b"".join(member["vec"]), dtype=np.float32).reshape(len(member), -1)
-    q = np.frombuffer(b"".join(query["vec"]), dtype=np.float32).reshape(len(query), -1)
+    m, q = units_of(list(member["vec"]), dim), units_of(list(query["vec"]), dim)
     in_list: dict[int, list[int]] = {}
     in_list[-1] = list(range(len(member)))
     asks: dict[int, list[int]] = {}
@@ -208,7 +231,7 @@ def _search(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def usable(vectors: DataFrame, dim: int = DIM) -> DataFrame:
-    """(hash, vec, entry): unit vectors as bytes, one per hash; equal vectors have the same entry."""
+    """(hash, vec, entry): packed vectors, one per hash; vectors that are equal to six decimals once they are of length one have the same entry."""
     src = spread(vectors.select("hash", "vec").filter(F.col("hash").isNotNull() & (F.size("vec") == dim)))
     units = src.mapInPandas(lambda f: _unit(f, dim), "hash string, vec binary, entry binary")
     return units.groupBy("hash").agg(F.min(F.struct("entry", "vec")).alias("u")).select("hash", "u.vec", "u.entry")
@@ -218,12 +241,13 @@ def nearest(vectors: DataFrame, k: int = K, dim: int = DIM) -> DataFrame:
     """(hash, other, sim, place): the k most similar others of every usable vector."""
     units = materialize(usable(vectors, dim), "units")
     spark = units.sparkSession
-    entries = units.groupBy("entry").agg(F.min("vec").alias("vec"))
-    sample = entries.select("vec").orderBy(F.xxhash64("vec")).limit(SAMPLE).collect()
+    entries = materialize(units.groupBy("entry").agg(F.min("vec").alias("vec")), "entries")
+    n = entries.count()
+    sample = entries.select("vec").orderBy(F.xxhash64("entry")).limit(min(SAMPLE, max(SAMPLE_LEAST, n // 4))).collect()
     if not sample:
         return spark.createDataFrame([], "hash string, other string, sim float, place int")
-    index = spark.sparkContext.broadcast(Index(np.frombuffer(b"".join(bytes(r[0]) for r in sample), dtype=np.float32).reshape(len(sample), -1), entries.count()))
-    placed = materialize(entries.mapInPandas(lambda f: _place(f, index.value), "entry binary, vec binary, grp int, lists array<int>, probes array<int>"), "posting-lists")
+    index = spark.sparkContext.broadcast(Index(units_of([bytes(r[0]) for r in sample], dim), n))
+    placed = materialize(scatter(entries, "entry").mapInPandas(lambda f: _place(f, index.value, dim), "entry binary, vec binary, grp int, lists array<int>, probes array<int>"), "posting-lists")
     blocks = placed.filter(F.size("lists") > 0).groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rows = placed.join(F.broadcast(blocks), "grp")  # a row per group, of which there are at most as many as centroids
     own = F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int")
@@ -232,7 +256,7 @@ def nearest(vectors: DataFrame, k: int = K, dim: int = DIM) -> DataFrame:
     rows = rows.withColumn("lists", F.when(F.col("own") == F.col("block"), F.col("lists")).otherwise(F.array().cast("array<int>")))
     part = rows.withColumn("part", F.explode(F.when(F.size("lists") > 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
     part = part.withColumn("asks", F.col("part") == F.col("own")).select("grp", "block", "part", "entry", "vec", "lists", "probes", "asks")
-    found = part.groupBy("grp", "block", "part").applyInPandas(lambda pdf: _search(pdf, k), "entry binary, other binary, sim float")
+    found = part.groupBy("grp", "block", "part").applyInPandas(lambda pdf: _search(pdf, k, dim), "entry binary, other binary, sim float")
     best = W.partitionBy("entry").orderBy(F.desc("sim"), "other")
     found = found.groupBy("entry", "other").agg(F.max("sim").alias("sim")).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).drop("place")
     # hashes of equal vectors: at most k + 1 of each entry are ever needed as others, found in two steps so that no task sorts them all
