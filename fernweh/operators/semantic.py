@@ -289,8 +289,20 @@ def signature(title: Column) -> Column:
     return F.concat_ws(":", F.col("size").cast("string"), F.col("mtime").cast("string"), F.col("content_len").cast("string"), title, F.lit("text"), F.coalesce("hash", F.concat(F.lit("#"), F.col("text").cast("string"))))
 
 
-def index_actions(candidates: DataFrame, state: DataFrame) -> DataFrame:
-    """(file, action): keep, resume, embed or drop. candidates: file, sig; state: file, sig, upto, total (one row per file)."""
-    j = candidates.join(state.select("file", F.col("sig").alias("old"), "upto", "total"), "file", "full_outer")
-    action = F.when(F.col("sig").isNull(), "drop").when(F.col("old").isNull() | (F.col("old") != F.col("sig")), "embed").when(F.col("upto") < F.col("total"), "resume").otherwise("keep")
+def rounds(passages_: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, n, round, mtime): the first FIRST_ROUND passages of every file are round 1, the others round 2; in a round the newest files come first."""
+    return passages_.join(files.select(F.col("id").alias("file"), "mtime"), "file").select("file", "n", F.when(F.col("n") < FIRST_ROUND, 1).otherwise(2).alias("round"), "mtime")
+
+
+def round_order() -> list[Column]:
+    return [F.asc("round"), F.desc("mtime"), F.asc("file"), F.asc("n")]
+
+
+def index_actions(candidates: DataFrame, state: DataFrame, fingerprint: str | None = None, generation: int | None = None) -> DataFrame:
+    """(file, action): keep, resume, embed, chunk or drop. candidates: file, sig; state: file, sig, upto, total (one row per file), with the model's fingerprint and the cutter's generation where these are told: vectors of another model are made anew, passages of another cutter are cut anew and keep the vectors of equal ones."""
+    kept = state.select("file", F.col("sig").alias("old"), "upto", "total", *[c for c in ("fingerprint", "generation") if c in state.columns])
+    j = candidates.join(kept, "file", "full_outer")
+    other = F.lit(False) if fingerprint is None else ~F.col("fingerprint").eqNullSafe(F.lit(fingerprint))
+    recut = F.lit(False) if generation is None else ~F.col("generation").eqNullSafe(F.lit(generation))
+    action = F.when(F.col("sig").isNull(), "drop").when(F.col("old").isNull() | (F.col("old") != F.col("sig")) | other, "embed").when(recut, "chunk").when(F.col("upto") < F.col("total"), "resume").otherwise("keep")
     return j.select("file", action.alias("action"))

@@ -81,6 +81,22 @@ def line_range(texts: DataFrame, first: int, count: int, budget: int = 20_000) -
     return texts.select("id", F.inline(F.filter(sized, lambda r: (r["total"] <= budget) | (r["line"] == first)))).select("id", "line", "text")
 
 
+def read_on(texts: DataFrame, line: int = 1, column: int = 0, budget: int = 20_000) -> DataFrame:
+    """(id, text, next_line, next_column) from a place on, as many characters as the budget allows; the place after them is where reading goes on, null at the end. Lines end with a line or form feed; a place beyond a line's end is that end, one beyond the text gives no row."""
+    lines_ = T.lines(F.col("data"))
+    before = F.aggregate(F.slice(lines_, 1, line - 1), F.lit(0), lambda a, x: a + F.length(x) + 1) if line > 1 else F.lit(0)
+    at = before + F.least(F.lit(column), F.length(F.element_at(lines_, line)))
+    part = F.substring("data", F.col("at") + 1, budget)
+    end = F.col("at") + F.length("text")
+    rows = texts.filter(F.size(lines_) >= line).select("id", "data", at.alias("at")).select("id", "data", "at", part.alias("text"))
+    said = F.split("text", r"[\n\f]", -1)
+    more = end < F.length("data")
+    next_line = F.when(more, F.lit(line) + F.size(said) - 1)
+    own = F.length(F.element_at(said, -1))
+    next_column = F.when(more, F.when(F.size(said) > 1, own).otherwise(F.least(F.lit(column), F.length(F.element_at(T.lines(F.col("data")), line))) + own))
+    return rows.select("id", "text", next_line.cast("int").alias("next_line"), next_column.cast("int").alias("next_column"))
+
+
 def page_starts(texts: DataFrame) -> DataFrame:
     """(id, page, line): where each page begins."""
     parts = F.split(F.col("data"), "\f", -1)

@@ -74,6 +74,23 @@ def ignored(spark, d):
     return policy.ignored(Corpus(spark, d).files, RULES)
 
 
+def ignore_files(spark, d):
+    """The same rules, read from ignore files that stand in the folders."""
+    c = Corpus(spark, d)
+    by_folder: dict = {}
+    for base, pattern in RULES:
+        by_folder.setdefault(base, []).append(pattern)
+    rows = [(-1 - k, f"{base}/.gitignore", "# rules\n\n" + "\n".join(lines), False, 100, "") for k, (base, lines) in enumerate(by_folder.items())]
+    extra = spark.createDataFrame(rows, "id bigint, path string, data string, is_dir boolean, size bigint, source_path string")
+    rules = policy.rules_in(extra.drop("data"), extra.select("id", "data"))
+    return policy.ignored_by(c.files, rules)
+
+
+def policy_changes(spark, d):
+    """What other settings change."""
+    return policy.policy_changes(Corpus(spark, d).files, policy.Settings(excluded=("/home/u/Archive",)), policy.Settings(names_only=("/home/u/Desktop",), excluded=("/home/u/Downloads",)))
+
+
 def crawl_targets(spark, d):
     """The least walk that covers what was opened."""
     c = Corpus(spark, d)
@@ -178,7 +195,7 @@ def last_runs(spark, d):
     return Corpus(spark, d).table("index_runs").groupBy("status").agg(F.count("*").alias("runs"), F.max("run_id").alias("last"))
 
 
-QUERIES = {f.__name__: f for f in (index_stats, problem_counts, problem_list, problem_page, problem_reasons, retry, text_reasons, machine_names, dataset_folders, estimate, diagnosis, unreadable_files, crawled, ignored, crawl_targets, access, wants_content, work_order, text_dedup, duplicate_groups, hard_links, folded_hits, index_diff, index_diff_protected, moved_files, written_contents, vocabulary_append, tidied, metadata_text, stale_reads, last_runs)}
+QUERIES = {f.__name__: f for f in (index_stats, problem_counts, problem_list, problem_page, problem_reasons, retry, text_reasons, machine_names, dataset_folders, estimate, diagnosis, unreadable_files, crawled, ignored, ignore_files, policy_changes, crawl_targets, access, wants_content, work_order, text_dedup, duplicate_groups, hard_links, folded_hits, index_diff, index_diff_protected, moved_files, written_contents, vocabulary_append, tidied, metadata_text, stale_reads, last_runs)}
 
 _FOLD = "lower(translate(regexp_replace({}, '([A-Za-z])[" + chr(0x300) + "-" + chr(0x36F) + "]+', '\\1', 'g'), '" + T.ACCENTED + "', '" + T.BASE + "'))"
 _Q = lambda xs: ", ".join(f"'{x}'" for x in xs)
@@ -240,6 +257,10 @@ SQL = {
         WHERE NOT list_has_any(list_slice(parts, 1, (len(parts) - 1)::INT), [{_Q(policy.SKIP_DIRS)}]) AND len(parts) <= 64 AND len(list_filter(parts, lambda p: starts_with(p, '.'))) = 0
         AND len(list_filter(list_slice(parts, 1, (len(parts) - 1)::INT), lambda p: regexp_matches(p, '(?i).\\.({'|'.join(policy.PACKAGES)})$'))) = 0""",
     "ignored": _ignored_sql(),
+    "ignore_files": _ignored_sql(),
+    "policy_changes": f"""SELECT * FROM (SELECT id, CASE WHEN d0 = 0 AND d1 = 1 THEN 'remove' WHEN d0 = 0 AND h0 = 0 AND (d1 = 1 OR h1 = 1) THEN 'drop' WHEN (d0 = 1 OR h0 = 1) AND d1 = 0 AND h1 = 0 THEN 'read' END AS action FROM (
+        SELECT id, (NOT r OR l OR a)::INT AS d0, s::INT AS h0, (NOT r OR l OR o)::INT AS d1, (s OR n)::INT AS h1 FROM (SELECT id, path = '/home/u' OR {_IN('/home/u')} AS r, coalesce(source_path, '') <> '' AS l, path = '/home/u/Archive' OR {_IN('/home/u/Archive')} AS a, path = '/home/u/Downloads' OR {_IN('/home/u/Downloads')} AS o,
+          path = '/home/u/Desktop' OR {_IN('/home/u/Desktop')} AS n, regexp_matches(regexp_extract(path, '([^/]*)$', 1), '(?i)^(id_(rsa|dsa|ecdsa|ed25519)|.*[.](pem|key|p12|pfx|kdbx|ppk))$') AS s FROM files WHERE NOT is_dir))) WHERE action IS NOT NULL""",
     "crawl_targets": rf"""WITH RECURSIVE c0 AS (SELECT DISTINCT CASE WHEN regexp_extract(path, '([^/]*)$', 1) IN ('.gitignore', '.ignore') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE path END AS path FROM opens WHERE path IS NOT NULL AND (path = '/home/u' OR starts_with(path, '/home/u/'))),
         an AS (SELECT path, list_transform(range(2, len(string_split(path, '/'))), lambda n: array_to_string(list_slice(string_split(path, '/'), 1, n::INT), '/')) AS a FROM c0), ex AS (SELECT path, unnest(a) AS dir FROM an),
         gone AS (SELECT path, min(dir) AS g FROM ex WHERE starts_with(dir, '/home/u/') AND dir NOT IN (SELECT path FROM files WHERE is_dir) GROUP BY path),

@@ -230,6 +230,11 @@ def line_range(spark, d):
     return snippets.line_range(Corpus(spark, d).table("texts"), 3, 4, 2000)
 
 
+def read_on(spark, d):
+    """Three hundred characters from the middle of the second line on, and where reading goes on."""
+    return snippets.read_on(Corpus(spark, d).table("texts"), 2, 10, 300)
+
+
 def page_starts(spark, d):
     return snippets.page_starts(Corpus(spark, d).table("texts").filter(F.instr("data", "\f") > 0))
 
@@ -277,7 +282,7 @@ def strong_hits(spark, d):
 
 
 QUERIES = {name: _counts(text) for name, (text, _) in COUNTS.items()}
-QUERIES |= {f.__name__: f for f in (all_words, whole_word, name_regex, find_ranked, fold_terms, vocabulary_long, vocabulary_lookup, keyword_all, keyword_any, keyword_without, keyword_prefix, keyword_fallback, phrase_words, document_frequency, typo_terms, did_you_mean, identifiers, name_tokens, stems, fuzzy_candidates, fuzzy_names, typo_names, group_or, group_and, group_sorted, sort_with_text, search_allowed, stored_postings, lines_found, lines_pages, lines_folded, lines_clipped, lines_around, line_range, page_starts, highlight_ranges, match_counts, bm25, rrf, paged, strong_hits)}
+QUERIES |= {f.__name__: f for f in (all_words, whole_word, name_regex, find_ranked, fold_terms, vocabulary_long, vocabulary_lookup, keyword_all, keyword_any, keyword_without, keyword_prefix, keyword_fallback, phrase_words, document_frequency, typo_terms, did_you_mean, identifiers, name_tokens, stems, fuzzy_candidates, fuzzy_names, typo_names, group_or, group_and, group_sorted, sort_with_text, search_allowed, stored_postings, lines_found, lines_pages, lines_folded, lines_clipped, lines_around, line_range, read_on, page_starts, highlight_ranges, match_counts, bm25, rrf, paged, strong_hits)}
 
 _NAMES = rf"(SELECT id, unnest(list_distinct(regexp_extract_all({FOLD.format('name')} || ' ' || {FOLD.format(chr(39) + chr(39))}, {WORDS}))) AS term FROM files)"
 _SPLIT = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '([\p{{Ll}}\p{{N}}])(\p{{Lu}})', '\1 \2', 'g'), '(\p{{Lu}})(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g'), '(\p{{L}})(\p{{N}})', '\1 \2', 'g'), '(\p{{N}})(\p{{L}})', '\1 \2', 'g')"
@@ -364,6 +369,8 @@ SQL |= {
     "lines_around": f"""WITH l AS (SELECT * FROM {_LINES}), m AS (SELECT id, line FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY line) AS r FROM l WHERE contains(lower(text), 'saffron')) WHERE r <= 2)
         SELECT DISTINCT l.id, l.line, l.text FROM l JOIN m ON m.id = l.id AND abs(l.line - m.line) <= 1""",
     "line_range": f"SELECT id, line, text FROM (SELECT *, sum(length(text) + 1) OVER (PARTITION BY id ORDER BY line) AS total FROM {_LINES} WHERE line BETWEEN 3 AND 6) WHERE total <= 2000 OR line = 3",
+    "read_on": r"""WITH l AS (SELECT id, data, string_split_regex(data, '[\n\f]') AS ls FROM texts), a AS (SELECT id, data, ls, length(ls[1]) + 1 + least(10, length(ls[2])) AS pos FROM l WHERE len(ls) >= 2), t AS (SELECT *, substr(data, pos + 1, 300) AS text FROM a), s AS (SELECT *, string_split_regex(text, '[\n\f]') AS x FROM t)
+        SELECT id, text, CASE WHEN pos + length(text) < length(data) THEN 1 + len(x) END::INT AS next_line, CASE WHEN pos + length(text) < length(data) THEN length(x[-1]) + CASE WHEN len(x) = 1 THEN least(10, length(ls[2])) ELSE 0 END END::INT AS next_column FROM s""",
     "page_starts": r"""SELECT id, page, (CASE WHEN page = 1 THEN 1 ELSE 1 + len(regexp_extract_all(array_to_string(list_slice(parts, 1, page - 1), chr(12)) || chr(12), '[\n\f]')) END)::INT AS line
         FROM (SELECT id, string_split(data, chr(12)) AS parts, generate_subscripts(string_split(data, chr(12)), 1)::INT AS page FROM texts WHERE contains(data, chr(12)))""",
     "highlight_ranges": "SELECT id, len(regexp_extract_all(lower(data), 'saffron'))::INT AS ranges FROM texts WHERE contains(lower(data), 'saffron')",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fernweh.corpus import Corpus
 from fernweh.operators.incremental import RunState, content_hash
+from fernweh.operators.policy import PACKAGES, SKIP_DIRS, Settings
 from fernweh.runtime import shared_path
 from fernweh.sources import extract, sinks
 from fernweh.streaming import changes
@@ -29,6 +30,16 @@ def coalesced_events(spark, d):
     return changes.coalesce_round(changed, ["/home/u"], per_folder=5)
 
 
+def watched_events(spark, d):
+    """Paths of opens that a crawl would take in, read as a stream."""
+    schema = spark.read.parquet(f"{d}/opens.parquet").schema
+    src = spark.readStream.schema(schema).parquet(f"{d}/opens.parquet*")
+    out, mark = _folder(spark, "watched"), _folder(spark, "watched-log")
+    q = changes.watched(src, Settings(excluded=("/home/u/Archive",))).select("path", "via").writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema("path string, via string").parquet(out).groupBy("path").agg(F.count("*").alias("n"))
+
+
 def streamed_frecency(spark, d):
     """Opens folded by a stream that reads the table in micro-batches until it is through."""
     schema = spark.read.parquet(f"{d}/opens.parquet").schema
@@ -106,7 +117,7 @@ def json_lines(spark, d):
     return sinks.rendered(Corpus(spark, d).files.filter("ext = 'csv'").select("id", "path", "size"), "json")
 
 
-QUERIES = {f.__name__: f for f in (applied_changes, coalesced_events, streamed_frecency, versioned_state, html_texts, extracted_texts, merged_pages, json_lines)}
+QUERIES = {f.__name__: f for f in (applied_changes, coalesced_events, watched_events, streamed_frecency, versioned_state, html_texts, extracted_texts, merged_pages, json_lines)}
 
 SQL = {
     "applied_changes": """WITH a AS (SELECT id, path, size + 1 AS size, seq + 1000000 AS seq FROM files WHERE id % 2 = 0 UNION ALL SELECT id, path, size, seq FROM files), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS r FROM a) WHERE r = 1)
@@ -114,6 +125,9 @@ SQL = {
     "coalesced_events": r"""WITH c AS (SELECT DISTINCT path FROM opens WHERE path IS NOT NULL), k AS (SELECT path, CASE WHEN regexp_extract(path, '^(.*)/[^/]*$', 1) = '' THEN '/' ELSE regexp_extract(path, '^(.*)/[^/]*$', 1) END AS dir FROM c WHERE NOT EXISTS (SELECT 1 FROM c x WHERE starts_with(c.path, x.path || '/'))),
         b AS (SELECT dir FROM k WHERE dir = '/home/u' OR starts_with(dir, '/home/u/') GROUP BY dir HAVING count(*) > 5) SELECT path FROM k WHERE dir NOT IN (SELECT dir FROM b) UNION ALL SELECT dir FROM b""",
     "streamed_frecency": "SELECT path, count(*) AS count, epoch_us(max(ts)) AS last_us FROM (SELECT DISTINCT path, ts, via FROM opens WHERE path IS NOT NULL) GROUP BY path",
+    "watched_events": f"""SELECT path, count(*) AS n FROM (SELECT path, list_slice(string_split(path, '/'), 4, len(string_split(path, '/'))::INT) AS parts FROM opens WHERE starts_with(path, '/home/u/') AND NOT starts_with(path, '/home/u/Archive/') AND path <> '/home/u/Archive')
+        WHERE NOT list_has_any(list_slice(parts, 1, (len(parts) - 1)::INT), [{", ".join(f"'{x}'" for x in SKIP_DIRS)}]) AND len(parts) <= 64 AND len(list_filter(parts, lambda p: starts_with(p, '.'))) = 0
+        AND len(list_filter(list_slice(parts, 1, (len(parts) - 1)::INT), lambda p: regexp_matches(p, '(?i).\\.({'|'.join(PACKAGES)})$'))) = 0 GROUP BY path""",
     "versioned_state": "SELECT id, size FROM files WHERE NOT is_dir UNION ALL SELECT id, size + 1 FROM files WHERE NOT is_dir AND id % 23 = 0",
     "merged_pages": "SELECT id, sha256(data) AS sha FROM texts t WHERE contains(data, chr(12))",
     "json_lines": """SELECT '{"id":' || id || ',"path":"' || path || '","size":' || size || '}' AS line FROM files WHERE ext = 'csv'""",

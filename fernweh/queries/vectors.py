@@ -72,6 +72,20 @@ def semantic_rank(spark, d):
     return semantic.rank(best, words, named, kinds, False, ["pdf"]).limit(100).select("file", F.round("score", 6).alias("score"))
 
 
+def embedding_rounds(spark, d):
+    """The first passages that a pass embeds: of every file the first ones, newest files first."""
+    c = Corpus(spark, d)
+    p = c.table("passages").filter("start_pos >= 0").select("file", "n").distinct()
+    return semantic.rounds(p, c.files).orderBy(*semantic.round_order()).limit(500).select("file", "n", "round")
+
+
+def index_actions_after_change(spark, d):
+    """What a pass does after a change of the model for some files and of the cutter for others."""
+    c = Corpus(spark, d)
+    state = _state(c).withColumn("fingerprint", F.when(F.col("file") % 3 == 0, "old").otherwise("now")).withColumn("generation", F.when(F.col("file") % 4 == 0, 1).otherwise(2))
+    return semantic.index_actions(_candidates(c), state, "now", 2)
+
+
 def search_semantic(spark, d):
     """A query by meaning through the search entry: only files of the types asked for, code left out."""
     c = Corpus(spark, d)
@@ -184,7 +198,7 @@ def run_overlap(spark, d):
     return metrics.overlap(a, b, 10)
 
 
-QUERIES = {f.__name__: f for f in (cosine_scores, cosine_topk, meaning_z, best_by_file, word_coverage, semantic_rank, search_semantic, search_semantic_words, semantic_rank_fused, related_files, passages_sharing, vectors_missing, vectors_loaded, has_words, prompt_hashes, chunks, index_actions, coverage_status, vector_stats, add_vectors, evaluation, run_overlap)}
+QUERIES = {f.__name__: f for f in (cosine_scores, cosine_topk, meaning_z, best_by_file, word_coverage, semantic_rank, search_semantic, search_semantic_words, embedding_rounds, index_actions_after_change, semantic_rank_fused, related_files, passages_sharing, vectors_missing, vectors_loaded, has_words, prompt_hashes, chunks, index_actions, coverage_status, vector_stats, add_vectors, evaluation, run_overlap)}
 
 _V = """(SELECT hash, list_transform(vec, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(vec, lambda y: y::DOUBLE * y::DOUBLE)))) AS vec FROM (SELECT hash, min(vec) AS vec FROM vectors
     WHERE vec IS NOT NULL AND len(vec) = 128 AND NOT list_bool_or(list_transform(vec, lambda x: x IS NULL OR isnan(x))) GROUP BY hash) WHERE list_sum(list_transform(vec, lambda y: y::DOUBLE * y::DOUBLE)) > 0)"""
@@ -233,6 +247,8 @@ def _sql():
         "has_words": r"SELECT id, length(regexp_replace(data, '[^\p{L}]', '', 'g')) > 0 AND length(regexp_replace(data, '[^\p{L}]', '', 'g')) * 4 >= length(regexp_replace(data, '[\p{L}\s]', '', 'g')) AS has_words FROM texts",
         "prompt_hashes": "SELECT left(sha256(prompt), 32) AS h, count(*) AS uses FROM (SELECT DISTINCT file, n, prompt FROM passages WHERE prompt IS NOT NULL) GROUP BY 1",
         "index_actions": f"SELECT coalesce(c.file, s.file) AS file, CASE WHEN c.sig IS NULL THEN 'drop' WHEN s.sig IS NULL OR s.sig <> c.sig THEN 'embed' WHEN s.upto < s.total THEN 'resume' ELSE 'keep' END AS action FROM {_CAND} c FULL JOIN {_STATE} s ON s.file = c.file",
+        "embedding_rounds": "SELECT file, n, round FROM (SELECT DISTINCT p.file, p.n, CASE WHEN n < 40 THEN 1 ELSE 2 END AS round, mtime FROM passages p JOIN files f ON f.id = p.file WHERE start_pos >= 0) ORDER BY round, mtime DESC, file, n LIMIT 500",
+        "index_actions_after_change": f"SELECT coalesce(c.file, s.file) AS file, CASE WHEN c.sig IS NULL THEN 'drop' WHEN s.sig IS NULL OR s.sig <> c.sig OR s.file % 3 = 0 THEN 'embed' WHEN s.file % 4 = 0 THEN 'chunk' WHEN s.upto < s.total THEN 'resume' ELSE 'keep' END AS action FROM {_CAND} c FULL JOIN {_STATE} s ON s.file = c.file",
         "coverage_status": f"SELECT count(*) AS files, count(*) FILTER (WHERE coalesce(s.sig = c.sig AND s.upto >= s.total, false)) AS current, count(*) FILTER (WHERE NOT coalesce(s.sig = c.sig AND s.upto >= s.total, false)) AS pending FROM {_CAND} c LEFT JOIN {_STATE} s ON s.file = c.file",
         "vector_stats": "SELECT (SELECT count(DISTINCT file) FROM passages) AS files, (SELECT count(*) FROM passages) AS passages, (SELECT count(DISTINCT hash) FROM vectors) AS vectors, (SELECT count(*) FROM vec_files WHERE upto < total) AS partial",
         "add_vectors": "SELECT DISTINCT hash FROM passages WHERE prompt IS NOT NULL AND hash NOT IN (SELECT hash FROM vectors WHERE hash IS NOT NULL)",

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from fernweh.functions import paths
 from fernweh.operators.incremental import RunState
+from fernweh.operators.policy import Settings, crawled
 
 PER_FOLDER, MOST_PATHS = 128, 1000
 
@@ -55,9 +56,15 @@ def frecency_stream(opens: DataFrame, late: str = "1 day", on: str = "ts") -> Da
     return opens.filter("path IS NOT NULL").withWatermark(on, late).dropDuplicatesWithinWatermark(["path", "ts", "via"]).groupBy("path").agg(F.count("*").alias("count"), F.max("ts").alias("last"))
 
 
-def quiet_batches(events: DataFrame, gap: str = "1 second") -> DataFrame:
-    """Events of a folder joined while no pause is longer than the gap."""
-    return events.withWatermark("ts", "10 seconds").groupBy(F.session_window("ts", gap), "folder").agg(F.count("*").alias("events"), F.max("ts").alias("last"))
+def watched(events: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """Events of paths that a crawl takes in: below the roots, outside skipped, hidden and excluded folders. A stream stays one."""
+    return crawled(events.filter("path IS NOT NULL"), s)
+
+
+def quiet_batches(events: DataFrame, gap: str = "1 second", most: int = 10) -> DataFrame:
+    """Events of a folder joined while no pause is longer than the gap, and over `most` seconds at most: sessions end at the marks of a clock of that step."""
+    slot = F.floor(F.unix_micros("ts") / (most * 1_000_000)).alias("slot")
+    return events.withWatermark("ts", f"{most} seconds").groupBy(F.session_window("ts", gap), "folder", slot).agg(F.count("*").alias("events"), F.max("ts").alias("last"))
 
 
 class LatestTable(RunState):
