@@ -9,8 +9,9 @@ Defined cases: null prompts and texts within the limit are no case; without an e
 text and the title is empty; repeated rows count once, and of rows of one (file, n) that differ the least (hash,
 start_pos, end_pos, prompt) counts. Offsets map through squeezed blanks by counting the other characters
 (`exact`), after moving to where the passage stands now (`moved`), by plain addition when the lengths agree and no
-text is at hand (`assumed`), and are null when the text no longer holds the passage (`stale`). Extra columns are
-ignored.
+text is at hand (`assumed`). When the text no longer holds the passage (`stale`) they are those of the text it was
+cut from, by the piece's share of the passage, and without a place of the passage (`relative`) they count from the
+passage's beginning. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fernweh.runtime import keep_keys, materialize
+
 MAX_CHARS = 1800
 OVERLAP = 200
 
@@ -112,8 +115,10 @@ def _split(frames, limit: int, overlap: int):
                     s, e = (solid[i], solid[j] + 1) if j >= i else (None, None)
                 elif state == "assumed":
                     s, e = base + a, base + b
+                elif start is not None and end is not None and 0 <= start <= end:  # in the text as it was, by the share of the passage
+                    s, e = start + a * (end - start) // len(body), start + b * (end - start) // len(body)
                 else:
-                    s = e = None
+                    s, e, state = a, b, "relative"
                 out.append((file, n, k, s, e, head + gap + body[a:b], state))
         yield pd.DataFrame(out, columns=["file", "n", "piece", "start_pos", "end_pos", "prompt", "offsets"]).astype(
             {"file": "Int64", "n": "Int64", "piece": "int32", "start_pos": "Int64", "end_pos": "Int64"}
@@ -135,8 +140,10 @@ def split_oversized(passages: DataFrame, texts: DataFrame | None = None, content
         .select("file", "n", "p.start_pos", "p.end_pos", "p.prompt")
     )
     if texts is not None and content_map is not None:
-        raw = content_map.select(F.col("id").alias("file"), "text").join(texts.select(F.col("id").alias("text"), F.col("data").alias("raw")), "text").select("file", "raw")
-        big = big.join(raw, "file", "left")
+        big = materialize(big, "oversized")
+        owners = materialize(keep_keys(content_map.select(F.col("id").alias("file"), "text"), big.select("file").distinct(), "file"), "oversized-texts")
+        raw = keep_keys(texts.select(F.col("id").alias("text"), F.col("data").alias("raw")), owners.select("text").filter("text IS NOT NULL").distinct(), "text")
+        big = big.join(owners.join(raw, "text").select("file", "raw"), "file", "left")
     return big.mapInPandas(
         lambda frames: _split(frames, limit, overlap),
         "file bigint, n bigint, piece int, start_pos bigint, end_pos bigint, prompt string, offsets string",

@@ -49,7 +49,8 @@ def test_defined_cases(spark):
     two = sorted((r for r in out if r.file == 2), key=lambda r: r.piece)
     assert two[0].offsets == "assumed" and two[0].start_pos == 0 and two[0].prompt.startswith("T\n\nWord.")
     assert all(len(r.prompt.partition("\n\n")[2] or r.prompt) <= 1800 for r in out)
-    assert all(r.start_pos is None for r in out if r.file == 3)
+    assert [(r.start_pos, r.offsets) for r in out if r.file == 3][0] == (0, "relative") and all(r.end_pos - r.start_pos <= 1800 for r in out if r.file == 3)
+    assert all(r.offsets == "stale" and 0 <= r.start_pos <= r.end_pos <= 9 for r in out if r.file == 5)
     assert P.split_oversized(df.limit(0)).count() == 0
 
 
