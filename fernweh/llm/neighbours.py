@@ -41,7 +41,8 @@ SAMPLE, SAMPLE_LEAST = 100_000, 10_000
 LEAF, LEAF_LEAST = 64, 8  # vectors per leaf of the whole collection that lists are aimed at; sample vectors per leaf, at least
 GROUP = 5_000  # vectors per group of lists
 REPLICAS, CLOSURE = 4, 1.12  # lists a vector is put into, and how much farther than the nearest they may be
-PROBES, RATIO, PROBES_LEAST = 24, 1.15, 6  # PROBES is the graph's beam, no limit to the lists that are visited
+PROBES, RATIO, PROBES_LEAST = 24, 1.15, 2  # PROBES is the graph's beam, no limit to the lists that are visited
+WALK = 4096  # centroids from which on they are found by walking the graph; fewer cost less to compare outright
 BLOCK = 20_000
 
 
@@ -95,6 +96,12 @@ class Index:
         """(centroids, squared distances) nearest to each row of x: a greedy search through the graph from evenly spread entries, all rows at once."""
         n = len(self.cents)
         beam = min(beam, n)
+        if n <= WALK:
+            sims = x @ self.cents.T
+            best = np.argpartition(-sims, beam - 1, axis=1)[:, :beam]
+            own = np.take_along_axis(sims, best, axis=1)
+            order = np.argsort(-own, axis=1, kind="stable")
+            return np.take_along_axis(best, order, axis=1), np.maximum(2 - 2 * np.take_along_axis(own, order, axis=1), 0)
         entry = x @ self.cents[self.entries].T
         first = min(beam, len(self.entries))
         best = self.entries[np.argsort(-entry, axis=1)[:, :first]]

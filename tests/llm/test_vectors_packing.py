@@ -110,3 +110,25 @@ def test_containers(spark):
     assert len(g) <= -(-c.tokens.sum() // P.CAPACITY) + 2
     assert P.containers(df.limit(0)).count() == 0
     assert isinstance(c, pd.DataFrame)
+
+
+def test_walking_the_graph_finds_the_nearest_centroids(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((4000, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = N.Index(x, 4000)
+    want = index.near(x[:300], 8)[0]
+    monkeypatch.setattr(N, "WALK", 1)
+    got = index.near(x[:300], 24)[0]
+    assert sum(len(set(a) & set(b)) for a, b in zip(got.tolist(), want.tolist())) / want.size > 0.95
+
+
+def test_packed_vectors_lose_nothing():
+    rng = np.random.default_rng(6)
+    half, full = rng.standard_normal(16).astype(np.float16).astype(np.float32), rng.standard_normal(16).astype(np.float32)
+    rows = [half, full, full * np.float32(1e30), full * np.float32(1e-30)]
+    packed = [N.pack(v) for v in rows]
+    assert [len(v) for v in packed] == [32, 64, 64, 64]
+    got = N.units_of(packed, 16)
+    assert np.allclose(got[1], got[2], atol=1e-6) and np.allclose(got[1], got[3], atol=1e-6) and np.allclose(np.linalg.norm(got, axis=1), 1, atol=1e-6)
+    assert np.allclose(got[0], half / np.linalg.norm(half), atol=1e-6)
