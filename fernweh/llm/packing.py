@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from fernweh.runtime import materialize, spread
 
 CAPACITY = 2048
-SHARD = 8192
+SHARD = 8192  # documents that are packed together; more would hardly fill containers better, see the README
 FULL = 0.985  # bins filled below this go to the second round
 MERGE = 16
 VOCABULARY = os.environ.get("FERNWEH_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
@@ -66,7 +66,7 @@ def sizes(docs: DataFrame, id_col: str = "doc_id", column: str = "text", vocabul
     return src.mapInPandas(lambda f: _sizes(f, id_col, column, vocabulary, capacity), f"doc_id {kind}, piece int, start_token int, tokens int")
 
 
-def pack(tokens: list[int], capacity: int = CAPACITY, rounds: int = 4) -> list[list[int]]:
+def pack(tokens: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     """Bins as lists of positions in tokens."""
     order = sorted(range(len(tokens)), key=lambda i: (-tokens[i], i))
     bins: list[list[int]] = []
@@ -81,58 +81,100 @@ def pack(tokens: list[int], capacity: int = CAPACITY, rounds: int = 4) -> list[l
         bins[b].append(i)
         if room > tokens[i]:
             insort(free, (room - tokens[i], b))
-    return improve(bins, tokens, capacity, rounds)
-
-
-def improve(bins: list[list[int]], tokens: list[int], capacity: int, rounds: int) -> list[list[int]]:
-    """Local search: every step takes tokens from an emptier bin into a fuller one, so the sum of squared fills grows."""
-    bins = list(bins)
-    fill = [sum(tokens[i] for i in b) for b in bins]
-    for _ in range(rounds):
+    return improve(bins, tokens, capacity)
+
+
+class Stock:
+    """The documents of the bins that aren't full, by size."""
+
+    def __init__(self, bins: list[list[int]], tokens: list[int], capacity: int):
+        self.bins, self.tokens, self.capacity = [list(b) for b in bins], tokens, capacity
+        self.fill = [sum(tokens[i] for i in b) for b in self.bins]
+        self.home = {i: b for b, items in enumerate(self.bins) for i in items}
+        self.of: dict[int, set[int]] = {}
+        self.sizes: list[int] = []
+        for b in range(len(self.bins)):
+            if 0 < self.fill[b] < capacity:
+                for i in self.bins[b]:
+                    self.add(i)
+
+    def add(self, i: int) -> None:
+        own = self.of.setdefault(self.tokens[i], set())
+        if not own:
+            insort(self.sizes, self.tokens[i])
+        own.add(i)
+
+    def drop(self, i: int) -> None:
+        own = self.of.get(self.tokens[i], set())
+        own.discard(i)
+        if not own and (k := bisect_left(self.sizes, self.tokens[i])) < len(self.sizes) and self.sizes[k] == self.tokens[i]:
+            self.sizes.pop(k)
+
+    def largest(self, limit: int, above: int, a: int) -> tuple[int, int] | None:
+        """(size, document) of the largest document of over `above` and at most `limit` tokens in another bin that is no fuller than a; of several the one of the emptiest bin."""
+        k = bisect_right(self.sizes, limit) - 1
+        while k >= 0 and self.sizes[k] > above:
+            fits = [(self.fill[self.home[i]], self.home[i], i) for i in self.of[self.sizes[k]] if self.home[i] != a and self.fill[self.home[i]] <= self.fill[a]]
+            if fits:
+                return self.sizes[k], min(fits)[2]
+            k -= 1
+        return None
+
+    def move(self, i: int, to: int) -> None:
+        self.bins[self.home[i]].remove(i)
+        self.bins[to].append(i)
+        self.fill[self.home[i]] -= self.tokens[i]
+        self.fill[to] += self.tokens[i]
+        self.home[i] = to
+
+
+def improve(bins: list[list[int]], tokens: list[int], capacity: int) -> list[list[int]]:
+    """Local search: every step takes tokens from an emptier bin into a fuller one, so the sum of squared fills grows; it ends where no move and no exchange of one or two for one does so.
+
+    A bin is asked by the sizes it holds: those that differ are 63 at most where the capacity is 2,048, as their sum must fit."""
+    stock = Stock(bins, tokens, capacity)
+    moved = True
+    while moved:
         moved = False
-        under = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (-fill[b], b))
-        for at, a in enumerate(under):
-            if not 0 < fill[a] < capacity:
-                continue
-            donors = [b for b in under[at + 1 :] if 0 < fill[b] <= fill[a]][-64:]  # the emptiest ones; each round looks anew
-            stock = sorted((tokens[i], b, i) for b in donors for i in bins[b])
-            if not stock:
-                continue
-            room = capacity - fill[a]
-            best = None  # (gain, out of a, in from a donor)
-            k = bisect_right(stock, (room, 1 << 60, 0)) - 1
-            if k >= 0:
-                best = (stock[k][0], (), (stock[k],))
-            mine = sorted(((tokens[i], i) for i in bins[a]), reverse=True)[:48]
-            for size, i in mine:
-                if best and best[0] == room:
-                    break
-                k = bisect_right(stock, (room + size, 1 << 60, 0)) - 1
-                if k >= 0 and stock[k][0] > size and (not best or stock[k][0] - size > best[0]):
-                    best = (stock[k][0] - size, (i,), (stock[k],))
-            for x, (s1, i1) in enumerate(mine):
-                if best and best[0] == room:
-                    break
-                for s2, i2 in mine[x + 1 :]:  # two for one
-                    k = bisect_right(stock, (room + s1 + s2, 1 << 60, 0)) - 1
-                    if k >= 0 and stock[k][0] > s1 + s2 and (not best or stock[k][0] - s1 - s2 > best[0]):
-                        best = (stock[k][0] - s1 - s2, (i1, i2), (stock[k],))
-            if not best or best[0] <= 0:
-                continue
-            gain, out, come = best
-            b = come[0][1]
-            size_out = sum(tokens[i] for i in out)
-            new_a, new_b = fill[a] + gain, fill[b] - gain
-            if new_b < 0 or new_a > capacity or new_a**2 + new_b**2 <= fill[a] ** 2 + fill[b] ** 2:
-                continue
-            assert size_out + gain == come[0][0]
-            bins[a] = [i for i in bins[a] if i not in out] + [come[0][2]]
-            bins[b] = [i for i in bins[b] if i != come[0][2]] + list(out)
-            fill[a], fill[b] = new_a, new_b
-            moved = True
-        if not moved:
-            break
-    return [b for b in bins if b]
+        for a in sorted((b for b in range(len(stock.bins)) if 0 < stock.fill[b] < capacity), key=lambda b: (-stock.fill[b], b)):
+            while 0 < stock.fill[a] < capacity and (step := _step(stock, a)):
+                out, come = step
+                b = stock.home[come]
+                for i in out:
+                    stock.move(i, b)
+                stock.move(come, a)
+                for x in (a, b):
+                    if not 0 < stock.fill[x] < capacity:
+                        for i in stock.bins[x]:
+                            stock.drop(i)
+                moved = True
+    return [b for b in stock.bins if b]
+
+
+def _step(stock: Stock, a: int) -> tuple[tuple[int, ...], int] | None:
+    """The move or exchange that lets bin a grow most: (documents that leave it, the one that comes)."""
+    room = stock.capacity - stock.fill[a]
+    mine: dict[int, list[int]] = {}
+    for i in stock.bins[a]:
+        mine.setdefault(stock.tokens[i], []).append(i)
+    sizes = sorted(mine, reverse=True)
+    ways = [()] + [(s,) for s in sizes] + [(s, t) for k, s in enumerate(sizes) for t in sizes[k:] if s != t or len(mine[s]) > 1]
+    best = None
+    for out in ways:
+        gone = sum(out)
+        got = stock.largest(room + gone, gone + (best[0] if best else 0), a)
+        if got:
+            best = (got[0] - gone, out, got[1])
+            if best[0] == room:
+                break
+    if not best:
+        return None
+    taken: dict[int, int] = {}
+    leave = []
+    for s in best[1]:
+        leave.append(mine[s][taken.get(s, 0)])
+        taken[s] = taken.get(s, 0) + 1
+    return tuple(leave), best[2]
 
 
 def _pack_group(pdf: pd.DataFrame, capacity: int, level: int) -> pd.DataFrame:

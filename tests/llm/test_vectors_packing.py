@@ -81,7 +81,7 @@ def test_packing_is_valid_and_tight():
 def test_local_search_gains_on_a_bad_start():
     size = [1000, 1040, 1048, 1008, 900, 1148, 10, 38]
     bad = [[0, 3], [1], [2], [4], [5], [6], [7]]
-    out = P.improve(bad, size, 2048, 10)
+    out = P.improve(bad, size, 2048)
     square = lambda bins: sum(sum(size[i] for i in b) ** 2 for b in bins)
     assert square(out) > square(bad) and len(out) < len(bad) and sorted(i for b in out for i in b) == list(range(8))
     assert max(sum(size[i] for i in b) for b in out) <= 2048
