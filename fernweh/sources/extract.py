@@ -34,7 +34,7 @@ _plugins: dict = {}
 
 
 def register(ext: str, reader) -> None:
-    """reader(bytes) -> text for an extension; it must be importable on executors."""
+    """reader(bytes) -> text for an extension; `extracted` takes those known when it is called along to the executors."""
     _plugins[ext] = reader
 
 
@@ -406,10 +406,10 @@ _BY_EXT = {e: r for exts, r in READERS.items() for e in exts.split()}
 _KEY = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----.*?(?:-----END \1PRIVATE KEY-----|\Z)", re.S)
 
 
-def extract(name: str, data: bytes | None) -> tuple[str, str | None, str | None]:
-    """(status, note, text) of one file."""
+def extract(name: str, data: bytes | None, readers: dict | None = None) -> tuple[str, str | None, str | None]:
+    """(status, note, text) of one file. readers by extension come before the built-in ones; without them those registered here do."""
     ext = name.rpartition(".")[2].lower() if "." in name[1:] else ""
-    reader = _plugins.get(ext) or _BY_EXT.get(ext)
+    reader = (_plugins if readers is None else readers).get(ext) or _BY_EXT.get(ext)
     if not data:
         return "skipped", "empty", None
     if len(data) > (MOST_DOCUMENT if reader else MOST_TEXT):
@@ -438,11 +438,13 @@ def extract(name: str, data: bytes | None) -> tuple[str, str | None, str | None]
 
 def extracted(files: DataFrame) -> DataFrame:
     """Rows (path, content) to (path, status, note, text, chars)."""
+    readers = dict(_plugins)  # goes along; a worker's own table is empty
+
     def run(frames):
         for pdf in frames:
             rows = []
             for path, data in zip(pdf["path"], pdf["content"]):
-                status, note, text = extract(path.rpartition("/")[2], None if data is None else bytes(data))
+                status, note, text = extract(path.rpartition("/")[2], None if data is None else bytes(data), readers)
                 rows.append((path, status, note, text, len(text or "")))
             yield pd.DataFrame(rows, columns=["path", "status", "note", "text", "chars"])
 

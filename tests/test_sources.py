@@ -82,3 +82,12 @@ def test_merged_pages(spark):
     own = spark.createDataFrame([(1, "text one\f--\flast page")], "id long, text string")
     scan = spark.createDataFrame([(1, "zz\fscanned page\fqq")], "id long, text string")
     assert extract.merge_pages(own, scan).first().text == "text one\fscanned page\flast page"
+
+
+def test_a_registered_reader_reaches_the_workers(spark):
+    extract.register("zzz", lambda data: data.decode()[::-1])
+    try:
+        got = extract.extracted(spark.createDataFrame([("/a/b.zzz", bytearray(b"abc"))], "path string, content binary")).collect()
+        assert [(r.text, r.status) for r in got] == [("cba", got[0].status)]
+    finally:
+        extract._plugins.pop("zzz")
