@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernweh.functions import paths
+from fernweh.sources import legacy as compound
 
 MOST_CHARS = 2_000_000
 MOST_TEXT, MOST_DOCUMENT = 8 << 20, 64 << 20
@@ -390,8 +391,8 @@ def legacy(data: bytes) -> str:
         return rtf(data)
     if re.match(rb"\s*(?:<!doctype html|<html|<\?xml|<table)", data[:512], re.I):
         return html_text(decode(data))
-    if data[:8] == b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1":
-        return strings(data)
+    if data[:8] == compound.MAGIC:
+        return compound.text(data)
     if is_binary(data):
         raise ValueError("not a valid document")
     return decode(data)
