@@ -27,7 +27,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from functools import reduce
+from functools import lru_cache, reduce
 from zlib import crc32
 
 import pandas as pd
@@ -50,6 +50,7 @@ _WORD = re.compile(r"[^\W_][^\s.,;:?()\[\]\"“”«»/|]*(?:-[^\s.,;:?()\[\]\"
 _FOLD = str.maketrans({"0": "o", "5": "s", "9": "g", "@": "a", "f": "t"})
 
 
+@lru_cache(maxsize=100_000)
 def fold(s: str) -> str:
     """Equal for a line and its misread forms: strokes that scans confuse are left out, words still count."""
     s = s.casefold()
@@ -241,11 +242,6 @@ def channel(shown: str, meant: str) -> float | None:
 
 def _count(frames, column: str):
     words: Counter = Counter()
-    pairs: Counter = Counter()
-
-    def rows():
-        return pd.DataFrame([(a, None, n) for a, n in words.items()] + [(a, b, n) for (a, b), n in pairs.items()], columns=["a", "b", "n"])
-
     for pdf in frames:
         for text in pdf[column]:
             for line in re.split("[\n\f]", text.lower() if text else ""):
@@ -253,33 +249,45 @@ def _count(frames, column: str):
                 if ws and HYPHEN.search(line):
                     ws.pop()
                 words.update(ws)
-                pairs.update(zip(ws, ws[1:]))
-        if len(pairs) > 300_000:
-            yield rows()
+        if len(words) > 300_000:
+            yield pd.DataFrame(list(words.items()), columns=["word", "n"])
             words.clear()
-            pairs.clear()
-    yield rows()
+    yield pd.DataFrame(list(words.items()), columns=["word", "n"])
 
 
 def counts(scans: DataFrame, column: str = "data") -> DataFrame:
-    """(a, b, n): counts of words (b null) and of pairs of neighbours, over all texts."""
-    return spread(scans.select(column)).mapInPandas(lambda f: _count(f, column), "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    """(word, n) over all texts; halves at line ends don't count."""
+    return spread(scans.select(column)).mapInPandas(lambda f: _count(f, column), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 RECORD = "furniture array<int>, divided array<struct<line: int, a: string, b: string>>, rows array<struct<line: int, end: int, half: int, words: array<string>>>"
 
 
-def _records(frames, marks: bytes, kind: str):
-    """Of each text what can be noise: numbers of its furniture, divided words, lines with words that may need a decision."""
-    known: dict[str, bool] = {}
+def bit_map(words: DataFrame) -> bytes:
+    """MARKS bits of which those of the words (one column, word) are set."""
+    bits = bytearray(MARKS // 8)
+    for (h,) in words.select(F.col("word").cast("binary").alias("w")).select(F.crc32("w").bitwiseAND(MARKS - 1)).distinct().collect():  # at most MARKS numbers
+        bits[h >> 3] |= 1 << (h & 7)
+    return bytes(bits)
+
+
+def _records(frames, doubtful: bytes, meant: bytes):
+    """Of each text what can be noise: numbers of its furniture, divided words, lines with words that may need a decision; and, over many texts, counts of pairs of which the second word may be meant by one."""
+    known: dict[str, int] = {}
+    pairs: Counter = Counter()
 
-    def marked(w: str) -> bool:
+    def flags(w: str) -> int:
         h = crc32(w.encode("utf-8", "replace")) & MARKS - 1
         if len(known) > 500_000:
             known.clear()
-        known[w] = got = bool(marks[h >> 3] >> (h & 7) & 1)
+        known[w] = got = (doubtful[h >> 3] >> (h & 7) & 1) | (meant[h >> 3] >> (h & 7) & 1) << 1
         return got
 
+    def counted():
+        frame = pd.DataFrame([(None, None, None, None, a, b, n) for (a, b), n in pairs.items()], columns=COLUMNS)
+        pairs.clear()
+        return frame
+
     for pdf in frames:
         out = []
         for i, text in zip(pdf["id"], pdf["text"]):
@@ -289,14 +297,20 @@ def _records(frames, marks: bytes, kind: str):
             rows = []
             for no, end, half, words in page.rows:
                 low = [w.lower() for w in words]
-                if half or any([known[w] if w in known else marked(w) for w in low]):
+                said = [known[w] if w in known else flags(w) for w in low]
+                if half or any([f & 1 for f in said]):
                     rows.append({"line": no, "end": end, "half": half, "words": words})
+                pairs.update([(x, y) for x, y, f in zip(low, low[1:], said[1:]) if f & 2])
             shown = [no for no, x in page.lines if no in page.furniture and x.strip()]
             if shown or rows:
-                out.append((i, shown, [{"line": no, "a": a, "b": b} for no, a, b in page.divided], rows))
-        frame = pd.DataFrame(out, columns=["id", "furniture", "divided", "rows"])
-        frame["id"] = frame["id"].astype(pdf["id"].dtype)
-        yield frame
+                out.append((i, shown, [{"line": no, "a": a, "b": b} for no, a, b in page.divided], rows, None, None, None))
+        yield pd.DataFrame(out, columns=COLUMNS).astype({"id": object})
+        if len(pairs) > 300_000:
+            yield counted()
+    yield counted()
+
+
+COLUMNS = ["id", "furniture", "divided", "rows", "a", "b", "n"]
 
 
 def _channels(frames):
@@ -436,11 +450,10 @@ class Reading:
 
 def evidence(scans: DataFrame, id_col: str, column: str):
     """(texts, records, known, grams, total): what is asked of each text, the candidates and the counts it needs."""
-    table = materialize(counts(scans, column), "scan-counts")
-    words = table.filter("b IS NULL").select(F.col("a").alias("word"), "n")
+    words = materialize(counts(scans, column), "scan-counts")
     most, total = words.agg(F.max("n"), F.sum("n")).first()
     most, total = most or 0, float(total or 1)
-    kind = scans.schema[id_col].dataType.simpleString()
+    spark, kind = scans.sparkSession, scans.schema[id_col].dataType.simpleString()
     src = spread(scans.select(F.col(id_col).alias("id"), F.col(column).alias("text")).filter(F.col("id").isNotNull() & F.col("text").isNotNull()))
     meant = words.filter(~F.col("word").rlike(ODD)).select(F.col("word").alias("candidate"), "n", stroke_key(F.col("word")).alias("key"))
 
@@ -451,13 +464,13 @@ def evidence(scans: DataFrame, id_col: str, column: str):
         return pairs.select("word", "candidate", "n").mapInPandas(_channels, "word string, candidate string, channel double, n bigint")
 
     first = materialize(useful_of(words.filter((F.col("n") <= max(RATIO * most, 1)) & ~F.col("word").rlike("^[0-9]+$")).select("word", F.col("n").alias("own"))), "scan-candidates")
-    marks = bytearray(MARKS // 8)
-    for (h,) in first.select(F.col("word").cast("binary").alias("w")).select(F.crc32("w").bitwiseAND(MARKS - 1)).distinct().collect():  # at most MARKS numbers
-        marks[h >> 3] |= 1 << (h & 7)
-    records = materialize(src.mapInPandas(lambda f, marks=bytes(marks): _records(f, marks, kind), f"id {kind}, {RECORD}"), "scan-lines")
+    bits = spark.sparkContext.broadcast((bit_map(first), bit_map(first.select(F.col("candidate").alias("word")))))
+    read = materialize(src.mapInPandas(lambda f: _records(f, *bits.value), f"id {kind}, {RECORD}, a string, b string, n bigint"), "scan-lines")
+    records = read.filter("a IS NULL").select("id", "furniture", "divided", "rows")
+    pairs = read.filter("a IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("n"))
     row = records.select("id", F.explode("rows").alias("r")).select("id", F.transform("r.words", F.lower).alias("ws"), F.col("r.half").alias("half"))
     spots = row.select("id", "half", "ws", F.posexplode("ws").alias("k", "word")).select(
-        "id", "word", F.try_element_at("ws", F.when(F.col("k") > 0, F.col("k"))).alias("before"), F.try_element_at("ws", F.col("k") + 2).alias("after"), ((F.col("half") > 0) & (F.col("k") == F.size("ws") - 1)).alias("divided")
+        "id", "word", F.try_element_at("ws", F.when(F.col("k") > 0, F.col("k"))).alias("before"), ((F.col("half") > 0) & (F.col("k") == F.size("ws") - 1)).alias("divided")
     )
     both = records.select("id", F.explode("divided").alias("d")).select("id", F.explode(F.array(F.lower(F.concat("d.a", F.lit("-"), "d.b")), F.lower(F.concat("d.a", "d.b")))).alias("word"))  # both readings need their counts
     whole = spots.filter("divided").select("word").unionByName(both.select("word")).distinct()
@@ -467,10 +480,11 @@ def evidence(scans: DataFrame, id_col: str, column: str):
     kept = useful.unionByName(itself.join(useful.select("word").unionByName(whole).distinct(), "word", "left_semi"))  # words whose own counts matter
     own = spots.select("id", "word").unionByName(both).distinct()
     known = own.join(kept, "word").groupBy("id").agg(F.collect_set(F.struct("word", "candidate", "channel", "n")).alias("known"))
-    near = spots.join(useful.select("word", "candidate"), "word")
-    asked = near.select("id", F.explode(F.array(F.struct(F.col("before").alias("a"), F.col("candidate").alias("b")), F.struct(F.col("candidate").alias("a"), F.col("after").alias("b")))).alias("p"))
-    asked = asked.select("id", "p.a", "p.b").filter("a IS NOT NULL AND b IS NOT NULL").distinct()
-    grams = asked.join(table.filter("b IS NOT NULL"), ["a", "b"]).join(words.select(F.col("word").alias("a"), F.col("n").alias("na")), "a").groupBy("id").agg(F.collect_list(F.struct("a", "b", "n", "na")).alias("grams"))
+    # what stands before a doubtful word may be doubtful itself, and then each of its candidates may stand there
+    beside = spots.filter("before IS NOT NULL").select("id", "before", "word").join(useful.select("word", "candidate"), "word").select("id", "before", F.col("candidate").alias("b")).distinct()
+    other = beside.join(useful.select(F.col("word").alias("before"), F.col("candidate").alias("a")), "before").select("id", "a", "b")
+    asked = beside.select("id", F.col("before").alias("a"), "b").unionByName(other).distinct()
+    grams = asked.join(pairs, ["a", "b"]).join(words.select(F.col("word").alias("a"), F.col("n").alias("na")), "a").groupBy("id").agg(F.collect_list(F.struct("a", "b", "n", "na")).alias("grams"))
     return src, records, known.join(grams, "id", "left"), total
 
 
