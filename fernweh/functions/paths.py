@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import mimetypes
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Extensions by kind, where the media type alone wouldn't tell.
+# Extensions by kind.
 EXTENSIONS = {
     "code": "c h cc cpp hpp cs go rs swift py ipynb rb php pl lua r jl hs ml clj scala java kt js mjs jsx ts tsx vue sh bash zsh ps1 bat sql css scss tf cmake",
     "markdown": "md markdown rst adoc org tex bib",
@@ -20,7 +18,9 @@ EXTENSIONS = {
     "slides": "ppt pptx pptm ppsx odp key",
     "ebook": "epub mobi azw3 fb2 djvu",
     "email": "eml emlx msg mbox ics vcf",
-    "image": "heic heif webp raw psd",
+    "image": "png jpg jpeg gif bmp tif tiff webp heic heif avif ico icns raw cr2 cr3 nef arw dng orf rw2 psd xcf ai eps sketch fig",
+    "audio": "mp3 wav flac aac m4a ogg oga opus wma aiff aif alac mid midi caf",
+    "video": "mp4 m4v mov avi mkv webm wmv flv mpg mpeg 3gp ogv",
     "archive": "zip tar gz tgz bz2 xz zst 7z rar dmg iso jar",
     "app": "app exe dll so dylib class pyc wasm bin",
 }
@@ -39,17 +39,7 @@ ALIASES = [
 KIND_ALIASES = {name: kinds.split() for names, kinds in ALIASES for name in names.split()}
 
 
-def _kinds() -> dict[str, str]:
-    """Extension -> kind: media types name pictures, sound and video, the lists above the rest."""
-    out = {}
-    for ext, mime in mimetypes.MimeTypes().types_map[True].items():
-        if (top := mime.split("/")[0]) in ("image", "audio", "video"):
-            out[ext[1:]] = top
-    out.update({e: kind for kind, exts in EXTENSIONS.items() for e in exts.split()})
-    return out
-
-
-KIND_OF_EXT = _kinds()
+KIND_OF_EXT = {e: kind for kind, exts in EXTENSIONS.items() for e in exts.split()}
 
 
 def ext_of(name: Column) -> Column:
