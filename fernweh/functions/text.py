@@ -29,7 +29,7 @@ _WORD = r"[\p{L}\p{N}]+"
 def fold(text: Column) -> Column:
     """Lower case without the accents of Latin letters; composed or followed by combining marks."""
     bare = F.regexp_replace(text, r"(?<=[A-Za-z])[\x{300}-\x{36F}]+", "")
-    return F.lower(F.translate(bare, ACCENTED, BASE))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.lower(F.translate(bare, ACCENTED, BASE))).otherwise(F.lower(text))  # most texts have nothing to fold but case
 
 
 def fold_py(text: str) -> str:
@@ -42,6 +42,15 @@ def terms(text: Column, most: int = 1024) -> Column:
     return F.filter(F.array_distinct(F.regexp_extract_all(fold(text), F.lit(_WORD), 0)), lambda w: F.length(w) <= most)
 
 
+def terms_among(text: Column, words: list[str], prefixes: list[str] = (), most: int = 1024) -> Column:
+    """The distinct folded words of a text that are among these, or begin so; words are folded ones."""
+    each = [re.escape(w) for w in sorted(set(words), key=lambda w: (-len(w), w))] + [re.escape(p) + r"[\p{L}\p{N}]*" for p in prefixes]
+    if not each:
+        return F.array().cast("array<string>")
+    pattern = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(each)})(?![\p{{L}}\p{{N}}])"
+    return F.filter(F.array_distinct(F.regexp_extract_all(fold(text), F.lit(pattern), 0)), lambda w: F.length(w) <= most)
+
+
 def is_long_word(term: Column) -> Column:
     return term.rlike("^[a-z0-9]{32,64}$")
 

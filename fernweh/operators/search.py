@@ -83,16 +83,14 @@ def decorated(c: Corpus, fused: DataFrame, k: int, sort: str | None = None) -> D
 
 
 def postings(c: Corpus, words: list[str] | None = None, prefixes: list[str] = ()) -> DataFrame:
-    """(term, col, id) with set semantics: which of name, dirs and body hold the term; stored ones where the corpus has them. With words or beginnings only theirs: texts without any of them are left out before a word of theirs is made."""
+    """(term, col, id) with set semantics: which of name, dirs and body hold the term; stored ones where the corpus has them. With words or beginnings only theirs: one pattern finds them in a text, no other word is made."""
     if c.postings:
         return read_postings(c.spark, c.postings, words, prefixes)
-    parts = [*(words or []), *prefixes]
-    hit = F.lit(True) if words is None else reduce(Column.__or__, [F.col("term").isin(*words), *[F.col("term").startswith(x) for x in prefixes]])
-    may = (lambda text: F.lit(True)) if words is None else lambda text: reduce(Column.__or__, [T.fold(text).contains(w) for w in parts], F.lit(False))
-    each = lambda df, col, terms: df.select(F.lit(col).alias("col"), "id", F.explode(terms).alias("term")).filter(hit)
-    names = each(c.files, "name", T.terms(F.array_join(T.name_tokens(F.col("name")), " ")))
-    dirs = each(c.catalog, "dirs", T.terms(F.array_join(T.name_tokens(paths.parent(F.col("display"))), " ")))
-    body = each(c.table("texts").filter(may(F.col("data"))), "body", T.terms(F.col("data"))).withColumnRenamed("id", "text").join(c.table("content_map").select("id", "text"), "text").select("col", "id", "term")
+    of = T.terms if words is None else lambda text: T.terms_among(text, words, prefixes)
+    each = lambda df, col, terms: df.select(F.lit(col).alias("col"), "id", F.explode(terms).alias("term"))
+    names = each(c.files, "name", of(F.array_join(T.name_tokens(F.col("name")), " ")))
+    dirs = each(c.catalog, "dirs", of(F.array_join(T.name_tokens(paths.parent(F.col("display"))), " ")))
+    body = each(c.table("texts"), "body", of(F.col("data"))).withColumnRenamed("id", "text").join(c.table("content_map").select("id", "text"), "text").select("col", "id", "term")
     return reduce(DataFrame.unionByName, [names, dirs, body])
 
 
