@@ -5,8 +5,9 @@ centroids, linked to their nearest ones, are a graph that is held in memory and
 put into the list of its nearest centroid and, where it lies near a boundary, into the next ones too; a query visits
 the lists whose centroid is at most a given ratio farther than the nearest one, however many these are: where the
 graph's beam ends within the ratio, as in dense regions, all centroids are compared. Lists are kept in groups of near ones,
-so that a vector travels once per group, and a group that holds too many vectors is cut into blocks that are searched
-one by one: an overfull list costs more tasks, not more memory in one.
+so that a vector travels once per group. A group that holds too many vectors is cut into blocks and one that too many
+vectors visit into parts, and each block is searched with each part by itself: a list that is overfull or much visited
+costs more tasks, not more memory in one.
 
 Equal vectors are one entry: their hashes are expanded at the end, so that a vector that a third of all rows share
 costs as much as any other.
@@ -29,6 +30,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -43,7 +45,9 @@ GROUP = 5_000  # vectors per group of lists
 REPLICAS, CLOSURE = 4, 1.12  # lists a vector is put into, and how much farther than the nearest they may be
 PROBES, RATIO, PROBES_LEAST = 24, 1.15, 2  # PROBES is the graph's beam, no limit to the lists that are visited
 WALK = 4096  # centroids from which on they are found by walking the graph; fewer cost less to compare outright
-BLOCK = 20_000
+BLOCK, ASKED = 20_000, 20_000  # members and queries of a group that one call searches
+REMEMBERED = 2_000_000  # similarities that are held at once
+PLACED = 8_192  # rows of vectors in groups that are made at once
 
 
 def split(x: np.ndarray, ways: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -88,8 +92,9 @@ class Index:
         self.group = (np.cumsum([len(p) for p in leaves]) * groups // (len(sample) + 1)).astype(np.int32)
         deg = min(24, k)
         self.links = np.empty((k, deg), dtype=np.int32)
-        for lo in range(0, k, 1024):
-            self.links[lo : lo + 1024] = np.argsort(-(self.cents[lo : lo + 1024] @ self.cents.T), axis=1)[:, :deg]
+        step = max(16, REMEMBERED // k)
+        for lo in range(0, k, step):
+            self.links[lo : lo + step] = np.argsort(-(self.cents[lo : lo + step] @ self.cents.T), axis=1)[:, :deg]
         self.entries = np.unique(np.linspace(0, k - 1, min(k, max(64, int(4 * k**0.5)))).astype(np.int64))
 
     def near(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +147,25 @@ def units_of(packed, dim: int) -> np.ndarray:
             out[rows] = np.frombuffer(b"".join(packed[i] for i in rows), dtype=kind).reshape(len(rows), dim)
     top = np.abs(out).max(axis=1, keepdims=True)  # first, so that no square is too large or small
     out /= np.maximum(top, np.finfo(np.float32).tiny)
-    return out / np.linalg.norm(out, axis=1, keepdims=True)
+    out /= np.linalg.norm(out, axis=1, keepdims=True)
+    return out
+
+
+def _column(table, name: str, kind: pa.DataType) -> pa.Array:
+    """A column in one piece."""
+    column = table.column(name)
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+        column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    return column.cast(kind)
+
+
+def _pairs(lists: pa.ListArray) -> dict[int, np.ndarray]:
+    """Of each list, the rows that name it."""
+    row, name = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+    order = np.argsort(name, kind="stable")
+    names, starts = np.unique(name[order], return_index=True)
+    return dict(zip(names.tolist(), np.split(row[order], starts[1:])))
 
 
 def _unit(frames, dim: int):
@@ -154,19 +177,21 @@ def _unit(frames, dim: int):
         yield pd.DataFrame({"hash": [h for h, _ in rows], "vec": packed, "entry": entries})
 
 
-def _place(frames, index: Index, dim: int):
-    """(entry, vec, grp, lists, probes) per group of lists that the vector is in or that its search visits; probes -1 is all of a group's lists."""
+def _runs(values: np.ndarray, keep: np.ndarray, starts: np.ndarray) -> pa.ListArray:
+    """Of each run of values that begins at starts, those to be kept."""
+    ends = np.cumsum(np.add.reduceat(keep.astype(np.int64), starts))
+    return pa.ListArray.from_arrays(np.concatenate(([0], ends)).astype(np.int32), pa.array(values[keep], pa.int32()))
+
+
+def _place(batches, index: Index, dim: int):
+    """(entry, vec, grp, lists, probes) per group of lists that the vector is in or that its search visits; probes -1 is all of a group's lists. A vector may visit any number of groups, so rows leave in batches of PLACED."""
     sizes = np.bincount(index.group)
     slack = 0.02  # so that vectors on a centroid still look around
-    for pdf in frames:
-        if not len(pdf):
-            continue
-        packed, entries = list(pdf["vec"]), list(pdf["entry"])
-        x = units_of(packed, dim)
-        out: tuple = ([], [], [], [], [])
-        step = max(64, 4_000_000 // len(index.cents))  # bounds what a search remembers
-        for lo in range(0, len(x), step):
-            part = x[lo : lo + step]
+    for batch in batches:
+        entries, packed = batch.column("entry").cast(pa.binary()), batch.column("vec").cast(pa.binary())
+        step = max(16, REMEMBERED // len(index.cents))
+        for lo in range(0, len(packed), step):
+            part = units_of(packed.slice(lo, step).to_pylist(), dim)
             best, d = index.near(part, PROBES)
             limit = (d[:, :1] + slack) * RATIO**2
             place = np.arange(best.shape[1])
@@ -183,41 +208,38 @@ def _place(frames, index: Index, dim: int):
             grp = index.group[cent]
             order = np.lexsort((grp, row))
             row, cent, own, grp = row[order], cent[order].astype(np.int32), own[order], grp[order]
-            cuts = np.flatnonzero((np.diff(row) != 0) | (np.diff(grp) != 0)) + 1
-            for i, g, lists, mine in zip(row[np.concatenate(([0], cuts))], grp[np.concatenate(([0], cuts))], np.split(cent, cuts), np.split(own, cuts)):
-                out[0].append(entries[lo + i])
-                out[1].append(packed[lo + i])
-                out[2].append(g)
-                out[3].append(lists[mine])
-                out[4].append(lists if len(lists) < sizes[g] else np.array([-1], dtype=np.int32))
-        yield pd.DataFrame(dict(zip(["entry", "vec", "grp", "lists", "probes"], out)))
-
-
-def _search(pdf: pd.DataFrame, k: int, dim: int) -> pd.DataFrame:
+            starts = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(grp) != 0))))
+            count = np.diff(np.concatenate((starts, [len(row)])))
+            whole = np.repeat(count == sizes[grp[starts]], count)
+            first = np.zeros(len(row), dtype=bool)
+            first[starts] = True
+            vector, group = pa.array(lo + row[starts]), pa.array(grp[starts], pa.int32())
+            lists, probes = _runs(cent, own, starts), _runs(np.where(whole, -1, cent), first | ~whole, starts)
+            for at in range(0, len(starts), PLACED):
+                who = vector.slice(at, PLACED)
+                yield pa.RecordBatch.from_arrays([entries.take(who), packed.take(who), group.slice(at, PLACED), lists.slice(at, PLACED), probes.slice(at, PLACED)], ["entry", "vec", "grp", "lists", "probes"])
+
+
+def _search(table: pa.Table, k: int, dim: int) -> pa.Table:
     """Best k per query among the members of one block of a group."""
-    member, query = pdf[pdf["lists"].str.len() > 0], pdf[pdf["asks"]]
-    empty = pd.DataFrame({"entry": [], "other": [], "sim": []}).astype({"sim": "float32"})
-    if not len(member) or not len(query):
-        return empty
-    m, q = units_of(list(member["vec"]), dim), units_of(list(query["vec"]), dim)
-    in_list: dict[int, list[int]] = {}
-    in_list[-1] = list(range(len(member)))
-    asks: dict[int, list[int]] = {}
-    for i, lists in enumerate(member["lists"]):
-        for x in lists:
-            in_list.setdefault(x, []).append(i)
-    for i, lists in enumerate(query["probes"]):
-        for x in lists:
-            asks.setdefault(x, []).append(i)
+    # Arrow, as frames of objects would stay until Python collects its garbage
+    lists, asks = _column(table, "lists", pa.list_(pa.int32())), np.flatnonzero(_column(table, "asks", pa.bool_()).to_numpy(zero_copy_only=False))
+    belongs = np.flatnonzero(lists.value_lengths().to_numpy() > 0)
+    packed, entries = _column(table, "vec", pa.binary()), _column(table, "entry", pa.binary())
+    if not len(belongs) or not len(asks):
+        return pa.table({"entry": entries[:0], "other": entries[:0], "sim": pa.array([], pa.float32())})
+    m, q = units_of(packed.take(pa.array(belongs)).to_pylist(), dim), units_of(packed.take(pa.array(asks)).to_pylist(), dim)
+    in_list = _pairs(lists.take(pa.array(belongs)))
+    in_list[-1] = np.arange(len(m))
     best = np.full((len(q), k + 1), -9.0, dtype=np.float32)
     who = np.full((len(q), k + 1), -1, dtype=np.int64)
-    for x, qi in asks.items():
-        mi = np.array(in_list.get(x, ()), dtype=np.int64)
-        if not len(mi):
+    for x, qi in _pairs(_column(table, "probes", pa.list_(pa.int32())).take(pa.array(asks))).items():
+        mi = in_list.get(x)
+        if mi is None:
             continue
-        step = min(4096, max(64, 4_000_000 // len(mi)))  # bounds the products held at once
+        step = min(4096, max(64, REMEMBERED // len(mi)))  # bounds the products held at once
         for lo in range(0, len(qi), step):
-            rows = np.array(qi[lo : lo + step])
+            rows = qi[lo : lo + step]
             sims = q[rows] @ m[mi].T
             kk = min(k + 1, len(mi))
             top = np.argpartition(-sims, kk - 1, axis=1)[:, :kk]
@@ -230,11 +252,10 @@ def _search(pdf: pd.DataFrame, k: int, dim: int) -> pd.DataFrame:
             s[:, 1:][w[:, 1:] == w[:, :-1]] = -9.0
             order = np.argsort(-s, axis=1, kind="stable")[:, : k + 1]
             best[rows], who[rows] = np.take_along_axis(s, order, axis=1), np.take_along_axis(w, order, axis=1)
-    ids, others = query["entry"].to_numpy(), member["entry"].to_numpy()
     r, c = np.nonzero((who >= 0) & (best > -8))
-    a, b = ids[r], others[who[r, c]]
-    keep = a != b
-    return pd.DataFrame({"entry": a[keep], "other": b[keep], "sim": best[r, c][keep]})
+    a, b = asks[r], belongs[who[r, c]]
+    keep = a != b  # an entry has one row
+    return pa.table({"entry": entries.take(pa.array(a[keep])), "other": entries.take(pa.array(b[keep])), "sim": pa.array(best[r, c][keep], pa.float32())})
 
 
 def usable(vectors: DataFrame, dim: int = DIM) -> DataFrame:
@@ -244,26 +265,36 @@ def usable(vectors: DataFrame, dim: int = DIM) -> DataFrame:
     return units.groupBy("hash").agg(F.min(F.struct("entry", "vec")).alias("u")).select("hash", "u.vec", "u.entry")
 
 
+def sampled(entries: DataFrame, n: int, most: int) -> DataFrame:
+    """The vectors of the least hashes, `most` of n. Each task sends as many to the driver as are asked for, so the others are left out before."""
+    place, share = F.xxhash64("entry"), (most + 10 * most**0.5) / n
+    few = entries.filter(place < int(2**64 * share) - 2**63) if share < 1 else entries
+    if share < 1 and few.count() < most:  # ten deviations too few
+        few = entries
+    return few.orderBy(place).limit(most).select("vec")
+
+
 def nearest(vectors: DataFrame, k: int = K, dim: int = DIM) -> DataFrame:
     """(hash, other, sim, place): the k most similar others of every usable vector."""
     units = materialize(usable(vectors, dim), "units")
     spark = units.sparkSession
     entries = materialize(units.groupBy("entry").agg(F.min("vec").alias("vec")), "entries")
     n = entries.count()
-    sample = entries.select("vec").orderBy(F.xxhash64("entry")).limit(min(SAMPLE, max(SAMPLE_LEAST, n // 4))).collect()
-    if not sample:
+    if not n:
         return spark.createDataFrame([], "hash string, other string, sim float, place int")
-    index = spark.sparkContext.broadcast(Index(units_of([bytes(r[0]) for r in sample], dim), n))
-    placed = materialize(scatter(entries, "entry").mapInPandas(lambda f: _place(f, index.value, dim), "entry binary, vec binary, grp int, lists array<int>, probes array<int>"), "posting-lists")
-    blocks = placed.filter(F.size("lists") > 0).groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(F.broadcast(blocks), "grp")  # a row per group, of which there are at most as many as centroids
-    own = F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # a query asks every block of a group; queries of a group are in turn cut into parts
-    rows = rows.withColumn("lists", F.when(F.col("own") == F.col("block"), F.col("lists")).otherwise(F.array().cast("array<int>")))
-    part = rows.withColumn("part", F.explode(F.when(F.size("lists") > 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
-    part = part.withColumn("asks", F.col("part") == F.col("own")).select("grp", "block", "part", "entry", "vec", "lists", "probes", "asks")
-    found = part.groupBy("grp", "block", "part").applyInPandas(lambda pdf: _search(pdf, k, dim), "entry binary, other binary, sim float")
+    sample = units_of([bytes(r[0]) for r in sampled(entries, n, min(SAMPLE, max(SAMPLE_LEAST, n // 4))).collect()], dim)
+    index = spark.sparkContext.broadcast(Index(sample, n))
+    placed = materialize(scatter(entries, "entry").mapInArrow(lambda f: _place(f, index.value, dim), "entry binary, vec binary, grp int, lists array<int>, probes array<int>"), "posting-lists")
+    counts = placed.groupBy("grp").agg(F.ceil(F.count_if(F.size("lists") > 0) / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / ASKED).cast("int").alias("parts"))
+    rows = placed.join(F.broadcast(counts.filter("blocks > 0")), "grp")  # a row per group, of which there are at most as many as centroids
+    own, turn = (F.pmod(F.xxhash64("entry"), F.col(c)).cast("int") for c in ("blocks", "parts"))
+    rows = rows.withColumn("own", own).withColumn("turn", turn).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # a query asks every block of a group, and members of a block are asked by every part of the queries
+    none = F.array().cast("array<int>")
+    rows = rows.withColumn("lists", F.when(F.col("own") == F.col("block"), F.col("lists")).otherwise(none))
+    part = rows.withColumn("part", F.explode(F.when(F.size("lists") > 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("turn"))))
+    part = part.withColumn("asks", F.col("part") == F.col("turn")).select("grp", "block", "part", "entry", "vec", "lists", F.when(F.col("asks"), F.col("probes")).otherwise(none).alias("probes"), "asks")
+    found = part.groupBy("grp", "block", "part").applyInArrow(lambda table: _search(table, k, dim), "entry binary, other binary, sim float")
     best = W.partitionBy("entry").orderBy(F.desc("sim"), "other")
     found = found.groupBy("entry", "other").agg(F.max("sim").alias("sim")).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).drop("place")
     # hashes of equal vectors: at most k + 1 of each entry are ever needed as others, found in two steps so that no task sorts them all

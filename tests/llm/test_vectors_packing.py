@@ -69,6 +69,49 @@ def test_a_vector_that_most_rows_share(spark, monkeypatch):
     assert again.sort_values(key).other.tolist() == got.sort_values(key).other.tolist()
 
 
+def test_vectors_that_visit_many_groups_come_in_bounded_pieces(spark, monkeypatch, tmp_path):
+    place, search = N._place, N._search
+
+    def note(name, rows):
+        with open(f"{tmp_path}/{name}", "a") as out:
+            out.write(f"{len(rows)}\n")
+        return rows
+
+    def noted_place(frames, index, dim):
+        for rows in place(frames, index, dim):
+            yield note("place", rows)
+
+    def noted_search(rows, k, dim):
+        return search(note("search", rows), k, dim)
+
+    monkeypatch.setattr(N, "_place", noted_place)
+    monkeypatch.setattr(N, "_search", noted_search)
+    monkeypatch.setattr(N, "GROUP", 40)
+    rng = np.random.default_rng(7)
+    vectors = frame(spark, rng.normal(size=(4000, 128)).astype(np.float32).tolist())
+    whole = set(map(tuple, N.nearest(vectors).select("hash", "other", "place").collect()))
+    placed, searched = ([int(n) for n in (tmp_path / name).read_text().split()] for name in ("place", "search"))
+    assert sum(placed) > 20 * 4000 and max(placed) <= 8192
+    (tmp_path / "search").unlink()
+    for name in ("BLOCK", "ASKED"):
+        monkeypatch.setattr(N, name, 300)
+    assert set(map(tuple, N.nearest(vectors).select("hash", "other", "place").collect())) == whole and len(whole) == 5 * 4000
+    parts = [int(n) for n in (tmp_path / "search").read_text().split()]
+    assert max(searched) > 2 * (300 + 300) > max(parts)
+
+
+def test_the_driver_gets_little_more_than_the_sample(spark):
+    vectors = frame(spark, np.random.default_rng(8).normal(size=(40_000, 16)).astype(np.float32).tolist())
+    conf = spark.sparkContext._jsc.sc().conf()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    conf.set("spark.driver.maxResultSize", "2m")  # a sample of 10,000 is about 1 MB
+    try:
+        N.nearest(vectors, dim=16)
+    finally:
+        conf.remove("spark.driver.maxResultSize")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_packing_is_valid_and_tight():
     rng = np.random.default_rng(3)
     size = rng.integers(1, 1500, 3000).tolist()
